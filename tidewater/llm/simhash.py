@@ -65,23 +65,15 @@ def masks(radius: int = RADIUS) -> list[int]:
 
 def _forest(fps: np.ndarray, nodes: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Edges (node, root) that connect what the links among these fingerprints connect, at most one for each node."""
-    parent = np.arange(len(fps))
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
+    label = np.arange(len(fps))
     for k in range(len(fps) - 1):
-        near = np.flatnonzero(np.bitwise_count(fps[k + 1 :] ^ fps[k]) <= radius)
-        for other in near + k + 1:
-            a, b = root(k), root(other)
-            if a != b:
-                if nodes[a] > nodes[b]:
-                    a, b = b, a
-                parent[b] = a
-    return [(int(nodes[k]), int(nodes[r])) for k in range(len(fps)) if (r := root(k)) != k]
+        near = label[k + 1 :][np.bitwise_count(fps[k + 1 :] ^ fps[k]) <= radius]
+        for other in np.unique(near[near != label[k]]).tolist():
+            low, high = sorted((int(label[k]), other))
+            label[label == high] = low
+    low = np.full(len(fps), np.iinfo(np.int64).max)
+    np.minimum.at(low, label, nodes)
+    return [(a, b) for a, b in zip(nodes.tolist(), low[label].tolist(), strict=True) if a != b]
 
 
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
