@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import WORD_PATTERN, stash, table, words
@@ -21,6 +21,8 @@ SHINGLE, JACCARD = 5, 0.8
 BUCKETS = 1 << 14
 #: Candidate documents whose ids (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: The same for kept lines (4 bytes each).
+BROADCAST_LINES = 4_000_000
 
 
 def line_tokens(docs: DataFrame) -> DataFrame:
@@ -63,8 +65,13 @@ def line_sets(docs: DataFrame, jaccard: float = JACCARD) -> DataFrame:
 
 
 def candidates(sets: DataFrame, jaccard: float = JACCARD) -> DataFrame:
-    """Pairs of first lines (a earlier than b) that share a prefix token and pass the length and position filters."""
-    rows = sets.select(F.struct("doc_id", "line").alias("at"), "size", F.posexplode("prefix").alias("place", "token"))
+    """Pairs of first lines (a earlier than b) that share a prefix token and pass the length and position filters.
+
+    Prefix tokens are dealt once; those of a single set, nearly all, end there, and the few others are written and joined.
+    """
+    every = sets.select("doc_id", "line", "size", F.posexplode("prefix").alias("place", "token"))
+    shared = every.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("_n > 1").drop("_n")
+    rows = stash(shared).select(F.struct("doc_id", "line").alias("at"), "size", "place", "token")
     other = rows.select(*[F.col(c).alias(f"{c}_b") for c in ("at", "size", "place")], "token")
     need = (F.col("size") + F.col("size_b")) * (jaccard / (1 + jaccard)) - 1e-9
     most = F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b"))
@@ -96,7 +103,10 @@ def dedup_lines(docs: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     sets = stash(line_sets(known, jaccard))
     gone = removed_lines(known, sets, jaccard)
     kept = sets.select("doc_id", "line").join(gone, ["doc_id", "line"], "left_anti").groupBy("doc_id").agg(F.collect_list("line").alias("_kept"))
-    joined = docs.join(kept, "doc_id", "left")
+    kept = stash(kept)
+    small = kept.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.size("_kept")), F.lit(0)).alias("lines")).first()
+    near = small.docs <= BROADCAST_IDS and small.lines <= BROADCAST_LINES
+    joined = docs.join(F.broadcast(kept) if near else kept, "doc_id", "left")
     lines = F.split("text", "\n", -1)
     blank = lambda x: ~F.coalesce(x, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     with_words = joined.withColumn("_any", F.coalesce(~blank(F.col("text")), F.lit(False)) & F.col("doc_id").isNotNull())
