@@ -19,15 +19,17 @@ from tidewater.llm.common import WORD_PATTERN, stash, table, words
 SHINGLE, JACCARD = 5, 0.8
 #: Buckets of the token counts.
 BUCKETS = 1 << 14
-#: Candidate documents whose ids (8 bytes each) are broadcast; more are joined by a shuffle.
+#: Candidate lines, or documents with kept lines, whose ids (16 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: The same for kept lines (4 bytes each).
 BROADCAST_LINES = 4_000_000
 
 
-def line_tokens(docs: DataFrame) -> DataFrame:
-    """doc_id, line (place from 0), tokens (distinct hashes) of each line with a word."""
+def line_tokens(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """doc_id, line (place from 0), tokens (distinct hashes) of each line with a word, or of those in ``only`` (doc_id, line)."""
     lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "content")).filter(F.col("content").rlike(WORD_PATTERN))
+    if only is not None:
+        lines = lines.join(only, ["doc_id", "line"], "left_semi")
     hashed = lines.select("doc_id", "line", F.transform(words(F.col("content")), lambda w: F.xxhash64(w)).alias("w"))
     shingle = lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(SHINGLE)])
     many = F.transform(F.sequence(F.lit(0), F.size("w") - SHINGLE), shingle)
@@ -82,10 +84,9 @@ def candidates(sets: DataFrame, jaccard: float = JACCARD) -> DataFrame:
 def removed_lines(docs: DataFrame, sets: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     """doc_id, line of first lines with a similar earlier one."""
     pairs = stash(candidates(sets, jaccard))
-    ids = stash(pairs.select(F.explode(F.array("a.doc_id", "b.doc_id")).alias("doc_id")).distinct())
-    near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct().select("at.doc_id", "at.line")
-    full = line_tokens(docs.join(near, "doc_id", "left_semi")).join(ends, ["doc_id", "line"]).select(F.struct("doc_id", "line").alias("at"), "tokens")
+    ends = stash(pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct().select("at.doc_id", "at.line"))
+    only = F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends
+    full = stash(line_tokens(docs, only)).select(F.struct("doc_id", "line").alias("at"), "tokens")
     both = pairs.join(full.select(F.col("at").alias("a"), F.col("tokens").alias("x")), "a").join(full.select(F.col("at").alias("b"), F.col("tokens").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.filter(shared >= jaccard * (F.size("x") + F.size("y") - shared) - 1e-9).select("b.doc_id", "b.line").distinct()
