@@ -1,0 +1,108 @@
+"""Hand-made rows: log splitting, change filters, boundaries, sinks, and streams equal to batches."""
+
+import datetime as dt
+import json
+
+from pyspark.sql import functions as F
+
+from tidewater import functions as fn
+from tidewater import sinks, sources, streaming
+from tidewater.operators import changes as ch
+from tidewater.operators import logs, windows
+
+T0 = dt.datetime(2024, 1, 1)
+
+
+def at(seconds):
+    return T0 + dt.timedelta(seconds=seconds)
+
+
+def test_log_split_and_dirty(spark):
+    page = {"page": {"page_id": "home"}, "common": {"mid": "m"}, "ts": 1}
+    values = [json.dumps(x) for x in (page, page | {"displays": [{"item": "1"}, {"item": "2"}], "err": {"error_code": 1}}, {"start": {"a": 1}, "err": {"error_code": 2}, "ts": 2}, {"ts": 3})] + ["{bad", "", "7"]
+    good, dirty = logs.parse_log(spark.createDataFrame([(v,) for v in values], "value string"))
+    routes = {k: v.count() for k, v in logs.fan_out(good).items()}
+    assert routes == {"error": 2, "start": 1, "page": 2, "display": 2, "action": 0}
+    assert dirty.count() == 4
+    assert set(logs.fan_out(good)["display"].columns) >= {"item", "page_id", "ts", "common"}
+
+
+def test_change_filters(spark):
+    rows = [("insert", {"sku_num": "1"}, None), ("update", {"sku_num": "3"}, {"sku_num": "1"}), ("update", {"sku_num": "1"}, {"sku_num": "3"}), ("update", {"sku_num": "1"}, {"price": "3"}), ("delete", {"sku_num": "1"}, None)]
+    df = spark.createDataFrame(rows, "type string, data map<string,string>, old map<string,string>")
+    assert [r.n for r in df.filter(ch.increased("sku_num")).select(ch.increase("sku_num").alias("n")).collect()] == [1, 2]
+    assert df.filter(ch.changed("sku_num", True)).count() == 4
+    assert df.filter(ch.changed("sku_num", False)).count() == 2
+    assert df.filter(ch.became("sku_num", "1")).count() == 1
+
+
+def test_favourite_is_bound_to_its_table(spark):
+    rows = [("favor_info", "update", {"is_cancel": "0"}, {"is_cancel": "1"}), ("other", "update", {"is_cancel": "0"}, {"is_cancel": "1"}), ("favor_info", "update", {"is_cancel": "1"}, {"is_cancel": "0"}), ("favor_info", "insert", {"is_cancel": "0"}, None)]
+    df = spark.createDataFrame(rows, "`table` string, type string, data map<string,string>, old map<string,string>")
+    assert ch.of_table(df, "favor_info", ("insert", "update")).filter(ch.favoured()).count() == 2
+
+
+def test_is_new_repair(spark):
+    rows = [("m1", 0, 1), ("m1", 5, 1), ("m1", 90000, 1), ("m2", 0, 0), ("m2", 5, 1)]
+    df = spark.createDataFrame([(m, at(s), s, f) for m, s, f in rows], "mid string, ts timestamp, seq int, is_new int").withColumn("day", F.to_date("ts"))
+    out = {(r.mid, r.seq): r.is_new for r in logs.repair_is_new(df, "mid", "day", "is_new", ["ts", "seq"]).collect()}
+    assert out == {("m1", 0): 1, ("m1", 5): 1, ("m1", 90000): 0, ("m2", 0): 0, ("m2", 5): 0}
+
+
+VISITS = [(1, 0, True), (1, 4, True), (1, 7, False), (2, 0, True), (2, 12, False), (3, 0, True), (4, 0, True), (4, 10, False)]
+
+
+def test_bounces(spark):
+    df = spark.createDataFrame([(u, s, at(s), e) for u, s, e in VISITS], "user_id long, event_id long, ts timestamp, entry boolean")
+    out = {(r.user_id, r.event_id) for r in logs.bounces(df, "user_id", "ts", "event_id", "entry").collect()}
+    assert out == {(1, 0), (2, 0), (3, 0), (4, 0)}
+
+
+def test_returning_boundary(spark):
+    days = spark.createDataFrame([(1, dt.date(2024, 1, 1)), (1, dt.date(2024, 1, 8)), (1, dt.date(2024, 1, 16))], "u int, d date")
+    assert [r.back for r in windows.returning_users(days, "u", "d").orderBy("d").collect()] == [0, 0, 1]
+
+
+def test_latest_and_upsert(spark, tmp_path):
+    path = str(tmp_path / "dim")
+    sinks.upsert(spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "id int, ts int, v string"), path, ["id"], ["ts"])
+    sinks.upsert(spark.createDataFrame([(1, 1, "old"), (2, 1, "c")], "id int, ts int, v string"), path, ["id"], ["ts"])
+    assert sorted((r.id, r.v) for r in spark.read.parquet(path).collect()) == [(1, "b"), (2, "c")]
+
+
+def test_routing(spark):
+    config = spark.createDataFrame([("t", 1, "insert", "d", "id,a", None, None), ("t", 2, "update", "d", "id,b", None, None), ("u", 1, "insert", "e", "id", None, None), ("u", 2, "delete", "e", "id", None, None)], "source_table string, ts int, type string, sink_table string, sink_columns string, sink_pk string, sink_extend string")
+    rows = spark.createDataFrame([("t", "insert", 1, {"id": "1", "a": "x", "b": "y"}), ("t", "delete", 1, {"id": "2"}), ("u", "insert", 1, {"id": "3"})], "`table` string, type string, ts long, data map<string,string>")
+    out = ch.route(rows, sources.routing_config(config)).collect()
+    assert [(r.sink_table, r.sink_pk, r.data) for r in out] == [("d", "id", {"id": "1", "b": "y"})]
+
+
+def test_missing_dimension_keeps_row(spark):
+    facts, dim = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "a")], "id int, n string")
+    assert sorted((r.k, r.name) for r in ch.enrich(facts, dim, "k", "id", name="n").collect()) == [(1, "a"), (2, None)]
+
+
+def test_functions(spark):
+    row = spark.range(1).select(fn.to_millis(F.lit("2024-01-02")).alias("d"), fn.compare_times(F.lit("2024-01-01 00:00:47.302Z"), F.lit("2024-01-01 00:00:47.3Z")).alias("c"), fn.keep_keys(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")), F.lit("b,c")).alias("m"), fn.is_json(F.lit("")).alias("j")).first()
+    assert (row.d, row.c, row.m, row.j) == (1704153600000, 1, {"b": "2"}, False)
+    assert fn.camel("order_detail_id") == "orderDetailId"
+
+
+def _stream(spark, tmp_path, rows, schema, files=3):
+    src = str(tmp_path / "in")
+    size = -(-len(rows) // files)
+    for k in range(0, len(rows), size):
+        spark.createDataFrame(rows[k : k + size], schema).coalesce(1).write.mode("append").parquet(src)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+
+
+def _run(df, name, tmp_path, mode="append"):
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return df.sparkSession.table(name).collect()
+
+
+def test_stream_first_of_day(spark, tmp_path):
+    rows = [(1, 1, at(0)), (1, 2, at(5)), (1, 3, at(86400)), (2, 4, at(86400))]
+    df = _stream(spark, tmp_path, rows, "user_id long, event_id long, ts timestamp", 2)
+    assert {r.event_id for r in _run(streaming.first_of_day(df, ["user_id"], "ts"), "first", tmp_path)} == {1, 3, 4}
