@@ -2,7 +2,7 @@
 
 Spark splits texts into words, so that each word's ids do not depend on its neighbours. Blocks of documents become
 positions in the block's list of distinct words. The lists meet by word hash, where each distinct word is encoded once,
-and its ids and its bytes (the pieces of its ids) return to the blocks, joined by position.
+and its ids return to the blocks, joined by position. Ids become text through the table of id and piece.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from tidewater.llm.common import partitions, stash, table
 from tidewater.llm.packing import ids_of, tokenizer
 
 #: A block ends at this much text or this many distinct words.
-BLOCK_BYTES, BLOCK_WORDS = 16 << 20, 400_000
+BLOCK_BYTES, BLOCK_WORDS = 96 << 20, 600_000
 #: Parts of a block's word list, by word hash, for each shuffle partition.
 PARTS = 2
 TABLE = "kind int, block long, part int, payload binary"
@@ -79,24 +80,21 @@ def blocks(docs: DataFrame, specials: list[str], parts: int) -> DataFrame:
         index: dict[bytes, int] = {}
         ids: list = []
         codes: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
         size = 0
 
         def done() -> Iterator[pa.RecordBatch]:
             nonlocal block, size
             if ids:
                 lists: list[list[bytes]] = [[] for _ in range(parts)]
-                moved = np.empty(len(index), dtype=np.int64)
                 place = []
                 for w in index:
-                    p = crc32(w) % parts
-                    place.append((p, len(lists[p])))
+                    place.append(p := crc32(w) % parts)
                     lists[p].append(w)
-                firsts = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
-                moved[:] = [firsts[p] + k for p, k in place]
-                flat = moved[np.concatenate(codes)] if codes else moved[:0]
+                flat = np.concatenate(codes)
                 planes = [(flat >> s & 255).astype(np.uint8).tobytes() for s in (0, 8, 16, 24)]
                 null = np.array([d is None for d in ids], dtype=np.int64)
-                documents = _pack(planes, np.array([d or 0 for d in ids]), null, np.array([len(c) for c in codes]))
+                documents = _pack([*planes, np.array(place, dtype="<u4").tobytes()], np.array([d or 0 for d in ids]), null, np.concatenate(counts))
                 payload = [_pack(x) for x in lists] + [documents]
                 n = len(payload)
                 yield pa.RecordBatch.from_arrays([pa.array([0] * parts + [1], pa.int32()), pa.array([block] * n, pa.int64()), pa.array([*range(parts), parts], pa.int32()), pa.array(payload, pa.binary())], names=["kind", "block", "part", "payload"])
@@ -104,14 +102,19 @@ def blocks(docs: DataFrame, specials: list[str], parts: int) -> DataFrame:
                 index.clear()
                 ids.clear()
                 codes.clear()
+                counts.clear()
                 size = 0
 
         for batch in batches:
-            for doc, found in zip(batch.column("doc_id"), batch.column("words").cast(pa.list_(pa.binary())), strict=True):
-                found = found.as_py()
-                ids.append(doc.as_py())
-                codes.append(np.fromiter((index.setdefault(w, len(index)) for w in found), dtype=np.int32, count=len(found)))
-                size += sum(map(len, found))
+            for k in range(0, batch.num_rows, 1000):
+                own = batch.slice(k, 1000)
+                coded = own.column("words").flatten().dictionary_encode()
+                distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+                to_block = np.fromiter((index.setdefault(w, len(index)) for w in distinct), dtype=np.int32, count=len(distinct))
+                codes.append(to_block[coded.indices.to_numpy()] if len(distinct) else to_block)
+                counts.append(pc.list_value_length(own.column("words")).to_numpy().astype(np.int64))
+                ids += own.column("doc_id").to_pylist()
+                size += own.column("words").nbytes
                 if size > BLOCK_BYTES or len(index) > BLOCK_WORDS:
                     yield from done()
         yield from done()
@@ -120,12 +123,11 @@ def blocks(docs: DataFrame, specials: list[str], parts: int) -> DataFrame:
 
 
 def word_ids(lists: DataFrame, path: str) -> DataFrame:
-    """The word lists, met by part: each distinct word is encoded once, and each list comes back as its ids and pieces."""
+    """The word lists, met by part: each distinct word is encoded once, and each list comes back as its ids."""
     n = partitions(lists.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, known, last = tokenizer(path), {}, None
-        pieces = piece_table(path)
         for batch in batches:
             for row in batch.to_pylist():
                 if row["part"] != last:
@@ -135,8 +137,7 @@ def word_ids(lists: DataFrame, path: str) -> DataFrame:
                 for w, ids in zip(new, ids_of(tok, [w.decode() for w in new]), strict=True):
                     known[w] = ids
                 ids = [known[w] for w in words]
-                text = [b"".join([pieces[k] for k in np.frombuffer(i, "<u4").tolist()]) for i in ids]
-                yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([row["part"]], pa.int32()), pa.array([_pack(ids + text)], pa.binary())], names=["kind", "block", "part", "payload"])
+                yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([row["part"]], pa.int32()), pa.array([_pack(ids)], pa.binary())], names=["kind", "block", "part", "payload"])
 
     return lists.repartition(n, "part").sortWithinPartitions("part").mapInArrow(run, TABLE)
 
@@ -165,28 +166,29 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     both = written.filter("kind = 1").unionByName(encoded).repartition(n, "block").sortWithinPartitions("block", F.desc("kind"), "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[bytes] = []
-        text: list[bytes] = []
+        pieces, lists = piece_table(path), {}
         for batch in batches:
             for row in batch.to_pylist():
                 values, numbers = _unpack(row["payload"])
                 if row["kind"] == 2:
-                    ids += values[: len(values) // 2]
-                    text += values[len(values) // 2 :]
+                    lists[row["part"]] = iter(values)
                     continue
-                planes = [np.frombuffer(v, np.uint8).astype(np.int32) for v in values]
-                codes = (planes[0] | planes[1] << 8 | planes[2] << 16 | planes[3] << 24).tolist()
-                at, group = 0, []
+                ids = [next(lists[p]) for p in np.frombuffer(values[4], "<u4").tolist()]  # by position in the block's list
+                text = [b"".join([pieces[k] for k in np.frombuffer(i, "<u4").tolist()]) for i in ids]
+                planes = [np.frombuffer(v, np.uint8).astype(np.int32) for v in values[:4]]
+                codes = planes[0] | planes[1] << 8 | planes[2] << 16 | planes[3] << 24
+                at, group, size = 0, [], 0
                 for doc, null, count in zip(*(x.tolist() for x in numbers), strict=True):
-                    own = codes[at : at + count]
+                    own = codes[at : at + count].tolist()
                     at += count
                     group.append((None if null else doc, b"".join([ids[c] for c in own]), b"".join([text[c] for c in own]).decode("utf-8", "replace")))
-                    if sum(len(g[1]) for g in group[-1:]) > 1 << 20 or len(group) >= 500:
+                    size += len(group[-1][1])
+                    if size > 2 << 20:
                         yield out(group)
-                        group = []
+                        group, size = [], 0
                 if group:
                     yield out(group)
-                ids, text = [], []
+                lists = {}
 
     def out(group: list) -> pa.RecordBatch:
         doc, ids, text = zip(*group, strict=True)
