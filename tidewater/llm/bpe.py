@@ -69,6 +69,16 @@ def _unpack(value: bytes) -> tuple[list[bytes], list[np.ndarray]]:
     return [raw[a:b] for a, b in zip([at, *ends], ends, strict=False)], numbers
 
 
+def _planes(numbers: np.ndarray) -> list[bytes]:
+    """The four bytes of each number, apart."""
+    return [(numbers >> s & 255).astype(np.uint8).tobytes() for s in (0, 8, 16, 24)]
+
+
+def _numbers(planes: list[bytes]) -> np.ndarray:
+    a, b, c, d = (np.frombuffer(v, np.uint8).astype(np.uint32) for v in planes)
+    return a | b << 8 | c << 16 | d << 24
+
+
 def blocks(docs: DataFrame, specials: list[str], parts: int) -> DataFrame:
     """Rows of two kinds: 0, a part of a block's distinct words; 1, the block's documents as positions in that list."""
 
@@ -87,12 +97,16 @@ def blocks(docs: DataFrame, specials: list[str], parts: int) -> DataFrame:
             nonlocal block, size
             if ids:
                 lists: list[list[bytes]] = [[] for _ in range(parts)]
-                place = []
-                for w in index:
-                    place.append(p := crc32(w) % parts)
-                    lists[p].append(w)
                 flat = np.concatenate(codes)
-                planes = [(flat >> s & 255).astype(np.uint8).tobytes() for s in (0, 8, 16, 24)]
+                # Frequent words get the small numbers, which compress best.
+                order = np.argsort(-np.bincount(flat, minlength=len(index)), kind="stable")
+                number = np.empty(len(index), dtype=np.int32)
+                number[order] = np.arange(len(index), dtype=np.int32)
+                flat, words, place = number[flat], list(index), []
+                for k in order.tolist():
+                    place.append(p := crc32(words[k]) % parts)
+                    lists[p].append(words[k])
+                planes = _planes(flat)
                 null = np.array([d is None for d in ids], dtype=np.int64)
                 documents = _pack([*planes, np.array(place, dtype="<u4").tobytes()], np.array([d or 0 for d in ids]), null, np.concatenate(counts))
                 payload = [_pack(x) for x in lists] + [documents]
@@ -137,7 +151,8 @@ def word_ids(lists: DataFrame, path: str) -> DataFrame:
                 for w, ids in zip(new, ids_of(tok, [w.decode() for w in new]), strict=True):
                     known[w] = ids
                 ids = [known[w] for w in words]
-                yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([row["part"]], pa.int32()), pa.array([_pack(ids)], pa.binary())], names=["kind", "block", "part", "payload"])
+                packed = _pack(_planes(np.frombuffer(b"".join(ids), "<u4")), np.array([len(i) for i in ids], dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([row["part"]], pa.int32()), pa.array([packed], pa.binary())], names=["kind", "block", "part", "payload"])
 
     return lists.repartition(n, "part").sortWithinPartitions("part").mapInArrow(run, TABLE)
 
@@ -171,12 +186,13 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             for row in batch.to_pylist():
                 values, numbers = _unpack(row["payload"])
                 if row["kind"] == 2:
-                    lists[row["part"]] = iter(values)
+                    raw = _numbers(values).astype("<u4").tobytes()
+                    ends = np.cumsum(numbers[0]).tolist()
+                    lists[row["part"]] = iter([raw[a:b] for a, b in zip([0, *ends], ends, strict=False)])
                     continue
                 ids = [next(lists[p]) for p in np.frombuffer(values[4], "<u4").tolist()]  # by position in the block's list
                 text = [b"".join([pieces[k] for k in np.frombuffer(i, "<u4").tolist()]) for i in ids]
-                planes = [np.frombuffer(v, np.uint8).astype(np.int32) for v in values[:4]]
-                codes = planes[0] | planes[1] << 8 | planes[2] << 16 | planes[3] << 24
+                codes = _numbers(values[:4])
                 at, group, size = 0, [], 0
                 for doc, null, count in zip(*(x.tolist() for x in numbers), strict=True):
                     own = codes[at : at + count].tolist()
