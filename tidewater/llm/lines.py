@@ -67,7 +67,7 @@ def line_sets(docs: DataFrame, jaccard: float = JACCARD) -> DataFrame:
 
 
 def candidates(sets: DataFrame, jaccard: float = JACCARD) -> DataFrame:
-    """Pairs of first lines (a earlier than b) that share a prefix token and pass the length and position filters.
+    """Pairs of first lines (a earlier than b) that share prefix tokens (n of them) and pass the length and position filters.
 
     Prefix tokens are dealt once; those of a single set, nearly all, end there, and the few others are written and joined.
     """
@@ -78,7 +78,7 @@ def candidates(sets: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     need = (F.col("size") + F.col("size_b")) * (jaccard / (1 + jaccard)) - 1e-9
     most = F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b"))
     fits = (F.least("size", "size_b") >= jaccard * F.greatest("size", "size_b") - 1e-9) & (most >= need)
-    return rows.join(other, "token").filter((F.col("at") < F.col("at_b")) & fits).select(F.col("at").alias("a"), F.col("at_b").alias("b")).distinct()
+    return rows.join(other, "token").filter((F.col("at") < F.col("at_b")) & fits).groupBy(F.col("at").alias("a"), F.col("at_b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def removed_lines(docs: DataFrame, sets: DataFrame, jaccard: float = JACCARD) -> DataFrame:
@@ -87,9 +87,17 @@ def removed_lines(docs: DataFrame, sets: DataFrame, jaccard: float = JACCARD) ->
     ends = stash(pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct().select("at.doc_id", "at.line"))
     only = F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends
     full = stash(line_tokens(docs, only)).select(F.struct("doc_id", "line").alias("at"), "tokens")
-    both = pairs.join(full.select(F.col("at").alias("a"), F.col("tokens").alias("x")), "a").join(full.select(F.col("at").alias("b"), F.col("tokens").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.filter(shared >= jaccard * (F.size("x") + F.size("y") - shared) - 1e-9).select("b.doc_id", "b.line").distinct()
+
+    def similar(some: DataFrame) -> DataFrame:
+        both = some.join(full.select(F.col("at").alias("a"), F.col("tokens").alias("x")), "a").join(full.select(F.col("at").alias("b"), F.col("tokens").alias("y")), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        return both.filter(shared >= jaccard * (F.size("x") + F.size("y") - shared) - 1e-9).select("b").distinct()
+
+    # One similar earlier line is enough: the likeliest candidate of each line first, the others of those not yet found after.
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
+    found = stash(similar(best))
+    others = stash(similar(pairs.select("a", "b").join(found, "b", "left_anti").join(best, ["a", "b"], "left_anti")))
+    return found.union(others).select("b.doc_id", "b.line")
 
 
 def dedup_lines(docs: DataFrame, jaccard: float = JACCARD) -> DataFrame:

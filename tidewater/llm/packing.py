@@ -21,7 +21,7 @@ from tidewater.llm.common import partitions, stash, table, text_groups
 
 CAPACITY, END_ID = 4096, 2
 #: Words whose ids a worker remembers; at this number it forgets all and begins again.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 80_000
 
 _tokenizers: dict = {}
 
@@ -50,7 +50,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, known, end = tokenizer(path), {}, np.array([end_id], dtype="<u4").tobytes()
-        for part, texts in text_groups(batches):
+        for part, texts in text_groups(batches, 1 << 20):
             split = [t.split() for t in texts]
             new = [w for w in set().union(*split) if w not in known]
             if len(known) + len(new) > CACHE_WORDS:
