@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import partitions, stash, table, text_groups
 
 CAPACITY, END_ID = 4096, 2
-#: Words whose ids a worker remembers; at this number it forgets all and begins again.
-CACHE_WORDS = 80_000
+#: Words in each of the two generations of words whose ids a worker remembers.
+CACHE_WORDS = 200_000
 
 _tokenizers: dict = {}
 
@@ -41,6 +41,30 @@ def ids_of(tok, words: list[str]) -> list[bytes]:
     return [np.array(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch_fast(words, add_special_tokens=False)]
 
 
+class WordIds:
+    """Ids of words, remembered in two generations: a full one becomes the old one, words met again move to the new one, the rest are forgotten."""
+
+    def __init__(self, tok, most: int = CACHE_WORDS):
+        self.tok, self.most = tok, most
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def of(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """A table with the ids of at least these words."""
+        wanted = [w for w in words if w not in self.new]
+        if wanted and len(self.new) + len(wanted) > self.most:
+            self.old, self.new, wanted = self.new, {}, list(words)
+        unknown = []
+        for w in wanted:
+            ids = self.old.get(w)
+            if ids is None:
+                unknown.append(w)
+            else:
+                self.new[w] = ids
+        self.new.update(zip(unknown, ids_of(self.tok, [w.decode() for w in unknown]), strict=True))
+        return self.new
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, start, length, doc_tokens, ids (binary, unsigned 32-bit) for each piece of each document.
 
@@ -49,13 +73,10 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, known, end = tokenizer(path), {}, np.array([end_id], dtype="<u4").tobytes()
+        remembered, end = WordIds(tokenizer(path)), np.array([end_id], dtype="<u4").tobytes()
         for part, texts in text_groups(batches, 1 << 20):
             split = [t.split() for t in texts]
-            new = [w for w in set().union(*split) if w not in known]
-            if len(known) + len(new) > CACHE_WORDS:
-                known, new = {}, list(set().union(*split))
-            known.update(zip(new, ids_of(tok, [w.decode() for w in new]), strict=True))
+            known = remembered.of(set().union(*split))
             at, start, length, total, ids = [], [], [], [], []
             for k, found in enumerate(split):
                 whole = b"".join(map(known.__getitem__, found)) + end
