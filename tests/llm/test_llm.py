@@ -93,6 +93,18 @@ def test_packing(docs, rows, nothing):
     assert packing.packed_documents(nothing, WORDS).count() == 0
 
 
+def test_words_encoded_together_are_as_alone():
+    rng, t = random.Random(4), packing.tokenizer(WORDS)
+    atoms = ["a", "B", "é", "e\u0301", "\u0338", "<", "<|endoftext|>", "'s", "'", "\x85", "\u00a0", "中", "1", "Σ", "ß", "\u1100", "\x00", "#", "."]
+    words = ["".join(rng.choices(atoms, k=rng.randint(1, 6))) for _ in range(3000)]
+    alone = packing.ids_of(t, words)
+    small = packing.WordIds(t, 50)
+    assert small.encode(words) == alone and small.encode([]) == []
+    for k in range(0, 3000, 30):
+        known = small.of({w.encode() for w in words[k : k + 30]})
+        assert all(known[w.encode()] == ids for w, ids in zip(words[k : k + 30], alone[k : k + 30], strict=True))
+
+
 def test_packing_plan_places_all():
     rng = random.Random(1)
     histogram = {n: rng.randint(1, 50) for n in rng.sample(range(1, 101), 40)}

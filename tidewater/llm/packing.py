@@ -22,6 +22,8 @@ from tidewater.llm.common import partitions, stash, table, text_groups
 CAPACITY, END_ID = 4096, 2
 #: Words in each of the two generations of words whose ids a worker remembers.
 CACHE_WORDS = 200_000
+#: Words encoded as one text.
+TOGETHER = 5_000
 
 _tokenizers: dict = {}
 
@@ -61,9 +63,19 @@ class WordIds:
                 unknown.append(w)
             else:
                 self.new[w] = ids
-        self.new.update(zip(unknown, ids_of(self.tok, [w.decode() for w in unknown]), strict=True))
+        for k in range(0, len(unknown), TOGETHER):
+            some = unknown[k : k + TOGETHER]
+            self.new.update(zip(some, self.encode([w.decode() for w in some]), strict=True))
         return self.new
 
+    def encode(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, from one text of all of them: a token belongs to the word in which it begins."""
+        found = self.tok.encode(" ".join(words), add_special_tokens=False)
+        begins = np.cumsum([0, *(len(w) + 1 for w in words)])
+        cuts = (4 * np.searchsorted([a for a, _ in found.offsets], begins)).tolist()
+        raw = np.array(found.ids, dtype="<u4").tobytes()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, start, length, doc_tokens, ids (binary, unsigned 32-bit) for each piece of each document.
