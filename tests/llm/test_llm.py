@@ -192,6 +192,21 @@ def test_lines(docs, rows, nothing):
     assert lines.dedup_lines(nothing).count() == 0
 
 
+def test_lines_similar_to_a_middle_one(spark):
+    """A tree of copies of copies, one word changed at a time: many lines resemble neither the first one nor the one before."""
+    rng = random.Random(8)
+    family = [[f"w{rng.randint(0, 400)}" for _ in range(60)]]
+    for k in range(120):
+        one = list(rng.choice(family))
+        one[rng.randrange(60)] = f"new{k}"
+        family.append(one)
+    rows = [(k, " ".join(one)) for k, one in enumerate(family)]
+    rng.shuffle(rows)
+    rows = [(k, text) for k, (_, text) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()} == line_oracle(rows)
+
+
 def test_sketch(docs, rows, nothing):
     got = {r.doc_id: r for r in sketch.edited_pairs(docs).collect()}
     for (k, t), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
