@@ -66,24 +66,28 @@ def line_sets(docs: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     return firsts.select("set", "f.doc_id", "f.line", F.col("set.size").alias("size"), "f.prefix")
 
 
-def candidates(sets: DataFrame, jaccard: float = JACCARD) -> DataFrame:
-    """Pairs of first lines (a earlier than b) that share prefix tokens (n of them) and pass the length and position filters.
+def shared_prefixes(sets: DataFrame) -> DataFrame:
+    """at (doc_id, line), size, place, token of prefix tokens that two sets or more have; first and prev: the token's first line and the line before.
 
-    Prefix tokens are dealt once; those of a single set, nearly all, end there, and the few others are written and joined.
+    Prefix tokens are dealt once; those of a single set, nearly all, end there.
     """
-    every = sets.select("doc_id", "line", "size", F.posexplode("prefix").alias("place", "token"))
-    shared = every.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("_n > 1").drop("_n")
-    rows = stash(shared).select(F.struct("doc_id", "line").alias("at"), "size", "place", "token")
-    other = rows.select(*[F.col(c).alias(f"{c}_b") for c in ("at", "size", "place")], "token")
-    need = (F.col("size") + F.col("size_b")) * (jaccard / (1 + jaccard)) - 1e-9
-    most = F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b"))
-    fits = (F.least("size", "size_b") >= jaccard * F.greatest("size", "size_b") - 1e-9) & (most >= need)
-    return rows.join(other, "token").filter((F.col("at") < F.col("at_b")) & fits).groupBy(F.col("at").alias("a"), F.col("at_b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    every = sets.select(F.struct("doc_id", "line").alias("at"), "size", F.posexplode("prefix").alias("place", "token"))
+    own = F.struct("at", "size", "place")
+    by_line = Window.partitionBy("token").orderBy("at")
+    met = every.withColumn("first", F.first(own).over(by_line)).withColumn("prev", F.lag(own).over(by_line)).withColumn("_next", F.lead("size").over(by_line))
+    return met.filter("prev is not null or _next is not null").drop("_next")
 
 
-def removed_lines(docs: DataFrame, sets: DataFrame, jaccard: float = JACCARD) -> DataFrame:
-    """doc_id, line of first lines with a similar earlier one."""
-    pairs = stash(candidates(sets, jaccard))
+def fitting(rows: DataFrame, jaccard: float = JACCARD) -> DataFrame:
+    """a, b, n: of ``rows`` (x and y of one token), pairs with a earlier that pass the length and position filters, with how many tokens bring them."""
+    need = (F.col("x.size") + F.col("y.size")) * (jaccard / (1 + jaccard)) - 1e-9
+    most = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
+    fits = (F.least("x.size", "y.size") >= jaccard * F.greatest("x.size", "y.size") - 1e-9) & (most >= need)
+    return rows.filter((F.col("x.at") < F.col("y.at")) & fits).groupBy(F.col("x.at").alias("a"), F.col("y.at").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def similar_to_earlier(docs: DataFrame, pairs: DataFrame, jaccard: float = JACCARD) -> DataFrame:
+    """b of the written ``pairs`` whose token sets are similar in full."""
     ends = stash(pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct().select("at.doc_id", "at.line"))
     only = F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends
     full = stash(line_tokens(docs, only)).select(F.struct("doc_id", "line").alias("at"), "tokens")
@@ -97,7 +101,24 @@ def removed_lines(docs: DataFrame, sets: DataFrame, jaccard: float = JACCARD) ->
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
     found = stash(similar(best))
     others = stash(similar(pairs.select("a", "b").join(found, "b", "left_anti").join(best, ["a", "b"], "left_anti")))
-    return found.union(others).select("b.doc_id", "b.line")
+    return found.union(others)
+
+
+def removed_lines(docs: DataFrame, sets: DataFrame, jaccard: float = JACCARD) -> DataFrame:
+    """doc_id, line of first lines with a similar earlier one.
+
+    Two rounds, so that a group of m near copies does not make its m * m pairs. First a line meets, by each prefix token,
+    only the token's first line and the line before it: pairs grow with the tokens. Then lines found similar are done, and
+    those still open meet every earlier line of their tokens but for the pairs already verified.
+    """
+    rows = stash(shared_prefixes(sets))
+    own = F.struct("at", "size", "place")
+    chain = rows.filter("prev is not null").select(F.explode(F.array_distinct(F.array("first", "prev"))).alias("x"), own.alias("y"))
+    near = stash(fitting(chain, jaccard))
+    found = similar_to_earlier(docs, near, jaccard)
+    still = rows.filter("prev is not null").join(found.select(F.col("b").alias("at")), "at", "left_anti").select("token", own.alias("y"))
+    rest = fitting(rows.select("token", own.alias("x")).join(still, "token"), jaccard).join(near.select("a", "b"), ["a", "b"], "left_anti")
+    return found.union(similar_to_earlier(docs, stash(rest), jaccard)).select("b.doc_id", "b.line")
 
 
 def dedup_lines(docs: DataFrame, jaccard: float = JACCARD) -> DataFrame:
