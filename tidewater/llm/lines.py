@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import WORD_PATTERN, stash, table, words
 
 SHINGLE, JACCARD = 5, 0.8
-#: Buckets of the token counts.
-BUCKETS = 1 << 14
+#: Numbers that hold the levels of the token counts, for 16 buckets each.
+WORDS = 1 << 14
 #: Candidate lines, or documents with kept lines, whose ids (16 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: The same for kept lines (4 bytes each).
@@ -38,26 +38,37 @@ def line_tokens(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
 
 
 def crowding(tokens: DataFrame) -> list[int]:
-    """For each bucket of token hashes how crowded it is: 0 up to twice the mean count over all lines, then the logarithm."""
+    """How crowded each bucket of token hashes is, counted over all lines, as WORDS numbers with 16 levels of 4 bits.
+
+    The count above the mean estimates that of a bucket's most frequent token. Level 0: less than six standard
+    deviations of a chance count (the root of the mean); above it one level more for each doubling.
+    """
+    bucket = F.col("t").bitwiseAND(F.lit(16 * WORDS - 1)).cast("int")
     # explode_outer: explode would first filter by the array's size, and so make every array twice.
-    counts = tokens.select(F.explode_outer("tokens").alias("t")).groupBy(_bucket(F.col("t")).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()  # BUCKETS rows
-    mean = max(1.0, sum(r.n for r in counts) / BUCKETS)
-    levels = [0] * BUCKETS
-    for r in counts:
-        levels[r.b] = int(math.log2(r.n / mean)) if r.n > 2 * mean else 0
-    return levels
+    counts = stash(tokens.select(F.explode_outer("tokens").alias("t")).filter("t is not null").groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")))
+    mean = max(1.0, (counts.agg(F.sum("n")).first()[0] or 0) / (16 * WORDS))
+    above = (F.col("n") - mean) / (6 * math.sqrt(mean))
+    level = F.when(above < 1, F.lit(0)).otherwise(F.least(F.lit(15), F.floor(F.log2(above)).cast("int") + 1)).cast("long")
+    packed = F.call_function("shiftleft", level, F.shiftrightunsigned("b", WORDS.bit_length() - 1) * 4)
+    words_of = counts.groupBy(F.col("b").bitwiseAND(F.lit(WORDS - 1)).alias("w")).agg(F.bit_or(packed).alias("levels")).collect()  # WORDS rows
+    found = [0] * WORDS
+    for r in words_of:
+        found[r.w] = r.levels
+    return found
 
 
-def _bucket(token: Column) -> Column:
-    return token.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+def _level(levels: Column, token: Column) -> Column:
+    word = F.get(levels, token.bitwiseAND(F.lit(WORDS - 1)).cast("int"))
+    place = F.shiftrightunsigned(token, WORDS.bit_length() - 3).bitwiseAND(F.lit(60)).cast("int")
+    return F.call_function("shiftrightunsigned", word, place).bitwiseAND(F.lit(15))
 
 
 def line_sets(docs: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     """set (hashes and size of the token set), doc_id and line of its first line, size, prefix: one row for each distinct set."""
     tokens = line_tokens(docs)
     levels = F.split(F.lit(",".join(map(str, crowding(tokens)))), ",").cast("array<bigint>")
-    # The order: by the bucket's level, then by the hash's upper 57 bits.
-    key = lambda t: F.shiftleft(F.get(levels, _bucket(t)), 57).bitwiseOR(F.shiftrightunsigned(t, 7))
+    # The order: by the bucket's level, then by the hash's upper 59 bits.
+    key = lambda t: F.shiftleft(_level(levels, t), 59).bitwiseOR(F.shiftrightunsigned(t, 5))
     n = F.size("ordered")
     ordered = tokens.select("doc_id", "line", F.sort_array(F.transform("tokens", key)).alias("ordered"))
     prefix = F.slice("ordered", 1, n - F.ceil(n * jaccard - 1e-9).cast("int") + 1)
@@ -66,58 +77,58 @@ def line_sets(docs: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     return firsts.select("set", "f.doc_id", "f.line", F.col("set.size").alias("size"), "f.prefix")
 
 
+def _own() -> Column:
+    """A dealt token's line."""
+    return F.struct("doc_id", "line", "span")
+
+
 def shared_prefixes(sets: DataFrame) -> DataFrame:
-    """at (doc_id, line), size, place, token of prefix tokens that two sets or more have; first and prev: the token's first line and the line before.
+    """doc_id, line, span, token of prefix tokens that two sets or more have; first and prev: the token's first line and the line before.
 
-    Prefix tokens are dealt once; those of a single set, nearly all, end there.
+    ``span`` holds the size in its upper and the place in its lower half, so that a dealt token is four numbers. Tokens
+    are dealt once; those of a single set, nearly all, end there.
     """
-    every = sets.select(F.struct("doc_id", "line").alias("at"), "size", F.posexplode("prefix").alias("place", "token"))
-    own = F.struct("at", "size", "place")
-    by_line = Window.partitionBy("token").orderBy("at")
-    met = every.withColumn("first", F.first(own).over(by_line)).withColumn("prev", F.lag(own).over(by_line)).withColumn("_next", F.lead("size").over(by_line))
+    every = sets.select("doc_id", "line", "size", F.posexplode("prefix").alias("place", "token"))
+    every = every.select("doc_id", "line", F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("place").cast("long")).alias("span"), "token")
+    by_line = Window.partitionBy("token").orderBy("doc_id", "line")
+    met = every.withColumn("first", F.first(_own()).over(by_line)).withColumn("prev", F.lag(_own()).over(by_line)).withColumn("_next", F.lead("span").over(by_line))
     return met.filter("prev is not null or _next is not null").drop("_next")
 
 
 def fitting(rows: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     """a, b, n: of ``rows`` (x and y of one token), pairs with a earlier that pass the length and position filters, with how many tokens bring them."""
-    need = (F.col("x.size") + F.col("y.size")) * (jaccard / (1 + jaccard)) - 1e-9
-    most = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
-    fits = (F.least("x.size", "y.size") >= jaccard * F.greatest("x.size", "y.size") - 1e-9) & (most >= need)
-    return rows.filter((F.col("x.at") < F.col("y.at")) & fits).groupBy(F.col("x.at").alias("a"), F.col("y.at").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    size = lambda c: F.shiftright(f"{c}.span", 32)
+    left = lambda c: size(c) - F.col(f"{c}.span").bitwiseAND(F.lit(0xFFFFFFFF))
+    at = lambda c: F.struct(f"{c}.doc_id", f"{c}.line")
+    need = (size("x") + size("y")) * (jaccard / (1 + jaccard)) - 1e-9
+    fits = (F.least(size("x"), size("y")) >= jaccard * F.greatest(size("x"), size("y")) - 1e-9) & (F.least(left("x"), left("y")) >= need)
+    return rows.filter((at("x") < at("y")) & fits).groupBy(at("x").alias("a"), at("y").alias("b")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def similar_to_earlier(docs: DataFrame, pairs: DataFrame, jaccard: float = JACCARD) -> DataFrame:
-    """b of the written ``pairs`` whose token sets are similar in full."""
+    """b of the written ``pairs`` (a, b) whose token sets are similar in full. Few pairs are sent to the sets; many meet them by shuffles."""
+    near = F.broadcast if pairs.count() <= BROADCAST_IDS // 2 else lambda df: df
     ends = stash(pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct().select("at.doc_id", "at.line"))
-    only = F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends
-    full = stash(line_tokens(docs, only)).select(F.struct("doc_id", "line").alias("at"), "tokens")
-
-    def similar(some: DataFrame) -> DataFrame:
-        both = some.join(full.select(F.col("at").alias("a"), F.col("tokens").alias("x")), "a").join(full.select(F.col("at").alias("b"), F.col("tokens").alias("y")), "b")
-        shared = F.size(F.array_intersect("x", "y"))
-        return both.filter(shared >= jaccard * (F.size("x") + F.size("y") - shared) - 1e-9).select("b").distinct()
-
-    # One similar earlier line is enough: the likeliest candidate of each line first, the others of those not yet found after.
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
-    found = stash(similar(best))
-    others = stash(similar(pairs.select("a", "b").join(found, "b", "left_anti").join(best, ["a", "b"], "left_anti")))
-    return found.union(others)
+    full = stash(line_tokens(docs, near(ends))).select(F.struct("doc_id", "line").alias("at"), "tokens")
+    later = full.select(F.col("at").alias("b"), F.col("tokens").alias("y")).join(near(pairs.select("a", "b")), "b")
+    earlier = full.select(F.col("at").alias("a"), F.col("tokens").alias("x")).join(near(pairs.select("a").distinct()), "a", "left_semi")
+    shared = F.size(F.array_intersect("x", "y"))
+    return later.join(earlier, "a").filter(shared >= jaccard * (F.size("x") + F.size("y") - shared) - 1e-9).select("b").distinct()
 
 
 def removed_lines(docs: DataFrame, sets: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     """doc_id, line of first lines with a similar earlier one.
 
     Two rounds, so that a group of m near copies does not make its m * m pairs. First a line meets, by each prefix token,
-    only the token's first line and the line before it: pairs grow with the tokens. Then lines found similar are done, and
-    those still open meet every earlier line of their tokens but for the pairs already verified.
+    the token's first line and the line before it, and is compared with the one it shares most tokens with. Lines found
+    similar are done; those still open meet every earlier line of their tokens but for the one already compared.
     """
     rows = stash(shared_prefixes(sets))
-    own = F.struct("at", "size", "place")
-    chain = rows.filter("prev is not null").select(F.explode(F.array_distinct(F.array("first", "prev"))).alias("x"), own.alias("y"))
-    near = stash(fitting(chain, jaccard))
-    found = similar_to_earlier(docs, near, jaccard)
-    still = rows.filter("prev is not null").join(found.select(F.col("b").alias("at")), "at", "left_anti").select("token", own.alias("y"))
-    rest = fitting(rows.select("token", own.alias("x")).join(still, "token"), jaccard).join(near.select("a", "b"), ["a", "b"], "left_anti")
+    chain = rows.filter("prev is not null").select(F.explode(F.array_distinct(F.array("first", "prev"))).alias("x"), _own().alias("y"))
+    best = stash(fitting(chain, jaccard).groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")))
+    found = stash(similar_to_earlier(docs, best, jaccard))
+    still = rows.filter("prev is not null").join(found.select("b.doc_id", "b.line"), ["doc_id", "line"], "left_anti").select("token", _own().alias("y"))
+    rest = fitting(rows.select("token", _own().alias("x")).join(still, "token"), jaccard).join(best, ["a", "b"], "left_anti")
     return found.union(similar_to_earlier(docs, stash(rest), jaccard)).select("b.doc_id", "b.line")
 
 
