@@ -24,6 +24,9 @@ from tidewater.llm.packing import ids_of, tokenizer
 BLOCK_BYTES, BLOCK_WORDS = 96 << 20, 600_000
 #: Parts of a block's word list, by word hash, for each shuffle partition.
 PARTS = 2
+#: Leading bytes of numbers with one and with three further bytes; the least number with three.
+TWO, FOUR = 160, 240
+LARGE = TWO + (FOUR - TWO << 8)
 TABLE = "kind int, block long, part int, payload binary"
 
 
@@ -51,7 +54,7 @@ def _pack(parts: list[bytes], *numbers: np.ndarray) -> bytes:
     """Byte strings and int64 arrays as one compressed value."""
     sizes = np.array([len(p) for p in parts], dtype=np.uint32)
     heads = np.array([len(parts), len(numbers), *(len(n) for n in numbers)], dtype=np.int64)
-    return zstandard.compress(b"".join([heads.tobytes(), sizes.tobytes(), *(n.astype(np.int64).tobytes() for n in numbers), *parts]), 3)
+    return zstandard.compress(b"".join([heads.tobytes(), sizes.tobytes(), *(n.astype(np.int64).tobytes() for n in numbers), *parts]), 9)
 
 
 def _unpack(value: bytes) -> tuple[list[bytes], list[np.ndarray]]:
@@ -70,13 +73,24 @@ def _unpack(value: bytes) -> tuple[list[bytes], list[np.ndarray]]:
 
 
 def _planes(numbers: np.ndarray) -> list[bytes]:
-    """The four bytes of each number, apart."""
-    return [(numbers >> s & 255).astype(np.uint8).tobytes() for s in (0, 8, 16, 24)]
+    """Numbers below 2**28 as byte strings: a leading byte for each, then the further bytes of middle and of large numbers, apart.
+
+    Leading bytes: below TWO the number itself, below FOUR one further byte follows, else three.
+    """
+    middle, large = (numbers >= TWO) & (numbers < LARGE), numbers >= LARGE
+    m, g = numbers[middle] - TWO, numbers[large] - LARGE
+    lead = numbers.copy()
+    lead[middle], lead[large] = TWO + (m >> 8), FOUR + (g >> 24)
+    return [x.astype(np.uint8).tobytes() for x in (lead, m & 255, g >> 16 & 255, g >> 8 & 255, g & 255)]
 
 
 def _numbers(planes: list[bytes]) -> np.ndarray:
-    a, b, c, d = (np.frombuffer(v, np.uint8).astype(np.uint32) for v in planes)
-    return a | b << 8 | c << 16 | d << 24
+    lead, m, a, b, c = (np.frombuffer(v, np.uint8).astype(np.uint32) for v in planes)
+    middle, large = (lead >= TWO) & (lead < FOUR), lead >= FOUR
+    found = lead.copy()
+    found[middle] = (lead[middle] - TWO << 8 | m) + TWO
+    found[large] = (lead[large] - FOUR << 24 | a << 16 | b << 8 | c) + LARGE
+    return found
 
 
 def blocks(docs: DataFrame, specials: list[str], parts: int) -> DataFrame:
@@ -190,9 +204,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                     ends = np.cumsum(numbers[0]).tolist()
                     lists[row["part"]] = iter([raw[a:b] for a, b in zip([0, *ends], ends, strict=False)])
                     continue
-                ids = [next(lists[p]) for p in np.frombuffer(values[4], "<u4").tolist()]  # by position in the block's list
+                ids = [next(lists[p]) for p in np.frombuffer(values[-1], "<u4").tolist()]  # by position in the block's list
                 text = [b"".join([pieces[k] for k in np.frombuffer(i, "<u4").tolist()]) for i in ids]
-                codes = _numbers(values[:4])
+                codes = _numbers(values[:-1])
                 at, group, size = 0, [], 0
                 for doc, null, count in zip(*(x.tolist() for x in numbers), strict=True):
                     own = codes[at : at + count].tolist()
