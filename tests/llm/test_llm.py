@@ -237,6 +237,24 @@ def test_licences(spark, nothing):
     assert licences.scan(nothing.select(F.lit("p").alias("path"), "text")).count() == 0
 
 
+def test_licences_whatever_the_size_and_the_prose(spark):
+    """A full notice is found amid prose and over line ends, in few files and in many; a rare word of it alone is not."""
+    notices = {
+        "c.c": ("Copyright 2024 Acme Corp. All rights reserved.", "Proprietary"),
+        "see.c": ("Licensed under the Apache License, Version 2.0 (see file LICENSE)", "Apache-2.0"),
+        "prose.c": ("see the code " * 40 + "which is Released under the MIT License, " + "and are see code " * 40, "MIT"),
+        "wrapped.c": ("/* Licensed under the GNU Lesser\n * General Public\n * License, version 3. */\nsee code", "LGPL-3.0"),
+        "no.c": ("the words are of human rights and of all rights of way in the code that we see and are the words of", None),
+    }
+    for n in (20, 5000):
+        files = [*((f"{p}/{p}", t) for p, (t, _) in notices.items()), *((f"f{k}/x.c", "see the words of code that are in this file") for k in range(n))]
+        got = {r.path: r.licence for r in licences.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+        assert {p: got[f"{p}/{p}"] for p in notices} == {p: name for p, (_, name) in notices.items()}
+        assert len(got) == len(files) and sum(x is not None for x in got.values()) == 4
+    counts = {r.t: r.df for r in licences.document_frequencies(spark.createDataFrame([("a a b.",), ("a 2.0.",), (None,)], "text string")).collect()}
+    assert counts == {"a": 2, "b": 1, "2.0": 1}
+
+
 def test_language_model(docs, rows, nothing):
     toks = {k: [*WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), "\n"] for k, t in rows}
     train = [k for k in toks if k % 3]

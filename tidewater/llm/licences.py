@@ -1,5 +1,5 @@
-"""Licence scan with Spark expressions only: lines of files against licence templates by sparse TF-IDF cosine, and
-inheritance from the licence file of the nearest ancestor directory.
+"""Licence scan with Spark expressions only: lines of files, and passages as long as a template, against licence templates
+by sparse TF-IDF cosine, and inheritance from the licence file of the nearest ancestor directory.
 """
 
 from __future__ import annotations
@@ -10,10 +10,14 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import table
+from tidewater.llm.common import stash, table
 
-TOKEN = r"[\p{L}\p{N}][\p{L}\p{N}.+-]*"
-COSINE = 0.5
+#: Letters and digits, with dots, plus signs and hyphens inside: the full stop of a sentence is not part of its last token.
+TOKEN = r"[\p{L}\p{N}](?:[\p{L}\p{N}.+-]*[\p{L}\p{N}+])?"
+#: Least cosine of a line that is no longer than the template, and the largest share of it that one token may bring.
+COSINE, ALONE = 0.5, 0.8
+#: Least cosine of a passage amid other text. Above the root of two thirds, so that two of three equally rare words are not enough.
+PASSAGE = 0.85
 #: Names of files that speak for their directory.
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$"
 
@@ -38,77 +42,116 @@ TEMPLATES = [
 ]
 
 
-def template_tokens(text: str) -> dict[str, int]:
-    out: dict[str, int] = {}
-    for t in re.findall(r"[^\W_][\w.+-]*", text.lower()):
-        out[t] = out.get(t, 0) + 1
-    return out
+def template_tokens(text: str) -> list[str]:
+    return re.findall(r"[^\W_](?:(?:[^\W_]|[.+-])*(?:[^\W_]|\+))?", text.lower())
 
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
-def weights(files: DataFrame, templates: list[tuple[str, str]]) -> dict[str, float]:
-    """Inverse document frequency, over all files, of each token of a template (a bounded list)."""
-    vocabulary = sorted({t for _, text in templates for t in template_tokens(text)})
-    listed = F.array(*map(F.lit, vocabulary))
-    n = files.count()
-    found = files.select(F.explode_outer(F.array_intersect(tokens(F.col("text")), listed)).alias("t")).filter("t is not null").groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each template token at most
-    seen = {r.t: r.n for r in found}
-    return {t: math.log((n + 1) / (seen.get(t, 0) + 1)) + 1 for t in vocabulary}
+def document_frequencies(files: DataFrame) -> DataFrame:
+    """t, df: in how many rows of ``files`` each token occurs, for every token of every text."""
+    each = files.select(F.explode_outer(F.array_distinct(tokens(F.col("text")))).alias("t")).filter("t is not null")
+    return each.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
 
 
-def marks(vectors: list[dict[str, float]], cosine: float) -> list[str]:
-    """Tokens of which a line must have one to reach ``cosine`` with a template: without them too little of the template's length is left."""
-    out = set()
-    for v in vectors:
-        left = total = sum(x * x for x in v.values())
-        for t in sorted(v, key=lambda t: (-v[t], t)):
-            if left < cosine * cosine * total * (1 - 1e-9):
-                break
-            out.add(t)
-            left -= v[t] * v[t]
-    return sorted(out)
+def marks(vector: dict[str, float], cosine: float) -> list[str]:
+    """Tokens of which a text must have one to reach ``cosine`` with a template: without them too little of the template's length is left."""
+    out = []
+    left = total = sum(x * x for x in vector.values())
+    for t in sorted(vector, key=lambda t: (-vector[t], t)):
+        if left < cosine * cosine * total * (1 - 1e-9):
+            break
+        out.append(t)
+        left -= vector[t] * vector[t]
+    return out
 
 
-def matching_lines(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, cosine: float = COSINE) -> DataFrame:
-    """path, line, licence, score, n (tokens in the line): best template of each line that reaches ``cosine``; ties by name.
+def passages(near: DataFrame, templates: list[list[str]], line_marks: list[str], anchors: list[tuple[str, int, int]]) -> DataFrame:
+    """path, version, template, span (line, place in the line and text of each token) of what is to be scored.
 
-    The weight of a token that is in no template is the largest of all, as for the rarest.
+    A line with one of ``line_marks`` is a passage for all templates (template -1). An anchor (token, template, place)
+    makes a passage of a template's length, over line ends, wherever its token stands: the one in which it has that place.
+    """
+    longest = max(map(len, templates))
+    lines = F.split("text", "\n", -1)
+    spans = F.transform(lines, lambda x, k: F.transform(tokens(x), lambda t, i: F.struct(k.alias("line"), i.alias("place"), t.alias("t"))))
+    spans = near.select("path", "version", spans.alias("spans"))
+    listed = F.array(*map(F.lit, line_marks))
+    whole = spans.select("path", "version", F.lit(-1).alias("template"), F.explode("spans").alias("span")).filter(F.arrays_overlap("span.t", listed))
+    listed = F.array(*map(F.lit, sorted({t for t, _, _ in anchors})))
+    flat = spans.select("path", "version", F.flatten("spans").alias("all"))
+    hits = F.filter(F.transform("all", lambda x, i: F.struct(x["t"].alias("t"), i.alias("i"))), lambda h: F.array_contains(listed, h["t"]))
+    # The tokens round a hit, so that a long text is not copied for each of its hits.
+    round_it = lambda h: F.struct(h["t"].alias("t"), F.least(h["i"], F.lit(longest)).alias("at"), F.slice("all", F.greatest(h["i"] - longest, F.lit(0)) + 1, 2 * longest + 1).alias("near"))
+    met = flat.withColumn("hits", hits).select("path", "version", F.explode(F.transform("hits", round_it)).alias("h")).select("path", "version", "h.*")
+    rows = [(t, k, place, len(templates[k])) for t, k, place in anchors]
+    found = met.join(F.broadcast(near.sparkSession.createDataFrame(rows, "t string, template int, place int, n int")), "t")
+    begin = F.col("at") - F.col("place")
+    span = F.slice("near", F.greatest(begin, F.lit(0)) + 1, F.col("n") + F.least(begin, F.lit(0)))
+    return whole.union(found.select("path", "version", "template", span.alias("span")))
+
+
+def matches(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, cosine: float = COSINE, passage: float = PASSAGE) -> tuple[DataFrame, DataFrame]:
+    """Sizes (path, version, n tokens) and matches (path, version, span, licence, score): best template of each line that reaches
+    ``cosine`` and of each passage that reaches ``passage``; ties by name.
+
+    A line counts for templates that are no shorter (the rest of a longer one is other text, and its passages are scored),
+    and only if no single token brings more than ALONE of the cosine. A token weighs its count times its inverse document frequency over all files. A full notice is a passage equal to
+    its template, so it scores 1 whatever stands round it and however many files there are.
     """
     spark = files.sparkSession
-    idf = weights(files, templates)
-    vectors = [{t: k * idf[t] for t, k in template_tokens(text).items()} for _, text in templates]
+    files = files.select("path", F.xxhash64("text").alias("version"), F.coalesce("text", F.lit("")).alias("text"))
+    words = [template_tokens(text) for _, text in templates]
+    vocabulary = sorted({t for own in words for t in own})
+    total, df = files.count(), stash(document_frequencies(files))
+    seen = {r.t: r.df for r in df.filter(F.col("t").isin(vocabulary)).collect()}  # a row for each template token at most
+    idf = {t: math.log((total + 1) / (seen.get(t, 0) + 1)) + 1 for t in vocabulary}
+    vectors = [{t: own.count(t) * idf[t] for t in own} for own in words]
     norms = [math.sqrt(sum(x * x for x in v.values())) for v in vectors]
-    rows = [(t, i, name, x / norms[i]) for i, ((name, _), v) in enumerate(zip(templates, vectors, strict=True)) for t, x in v.items()]
-    unit = spark.createDataFrame(rows, "t string, template int, licence string, x double")
-    idfs = spark.createDataFrame(list(idf.items()), "t string, idf double")
-    must = F.array(*map(F.lit, marks(vectors, cosine)))
-    lines = files.select("path", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "content"))
-    near = lines.filter(F.arrays_overlap(tokens(F.col("content")), must))
-    counted = near.select("path", "line", F.explode_outer(tokens(F.col("content"))).alias("t")).groupBy("path", "line", "t").agg(F.count(F.lit(1)).alias("k"))
-    weighed = counted.join(F.broadcast(idfs), "t", "left").withColumn("w", F.col("k") * F.coalesce("idf", F.lit(max(idf.values()))))
-    length = weighed.groupBy("path", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"), F.sum("k").alias("n"))
-    dot = weighed.join(F.broadcast(unit), "t").groupBy("path", "line", "template", "licence").agg(F.sum(F.col("w") * F.col("x")).alias("dot"))
-    scored = dot.join(length, ["path", "line"]).withColumn("score", F.round(F.col("dot") / F.col("length"), 9)).filter(F.col("score") >= cosine)
-    best = scored.groupBy("path", "line").agg(F.min(F.struct((-F.col("score")).alias("less"), "licence")).alias("b"), F.first("n").alias("n"))
-    return best.select("path", "line", "b.licence", (-F.col("b.less")).alias("score"), "n")
+    unit = spark.createDataFrame([(t, k, name, len(words[k]), x / norms[k]) for k, ((name, _), v) in enumerate(zip(templates, vectors, strict=True)) for t, x in v.items()], "t string, u int, licence string, longest int, x double")
+
+    line_marks = sorted({t for v in vectors for t in marks(v, cosine)})
+    anchors = [(t, k, place) for k, v in enumerate(vectors) for needed in [set(marks(v, passage))] for place, t in enumerate(words[k]) if t in needed]
+    either = F.array(*map(F.lit, sorted({*line_marks, *(t for t, _, _ in anchors)})))
+    # One pass over all texts; the text stays where a token says that it may match.
+    read = files.withColumn("all", tokens(F.col("text"))).select("path", "version", F.size("all").alias("n"), F.when(F.arrays_overlap("all", either), F.col("text")).alias("text"))
+    read = stash(read)
+    near = read.filter("text is not null").dropDuplicates(["path", "version"])
+    held = stash(passages(near, words, line_marks, anchors))
+
+    # Passages of the same tokens are scored once.
+    contents = stash(held.select("template", F.col("span.t").alias("words")).distinct().withColumn("c", F.monotonically_increasing_id()))
+    counted = contents.select("c", "template", F.explode("words").alias("t")).groupBy("c", "template", "t").agg(F.count(F.lit(1)).alias("k"))
+    weigh = F.col("k") * (F.log((F.lit(total) + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1)
+    weighed = stash(counted.join(df, "t", "left").select("c", "template", "t", "k", weigh.alias("w")))
+    length = weighed.groupBy("c").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"), F.sum("k").alias("n"))
+    product = F.col("w") * F.col("x")
+    dot = weighed.join(F.broadcast(unit), "t").filter("template in (-1, u)").groupBy("c", "template", "u", "licence", "longest").agg(F.sum(product).alias("dot"), F.max(product).alias("most"))
+    line = (F.col("template") < 0) & (F.col("n") <= F.col("longest")) & (F.col("score") >= cosine) & (F.col("most") <= ALONE * F.col("dot"))
+    scored = dot.join(length, "c").withColumn("score", F.round(F.col("dot") / F.col("length"), 9)).filter(line | ((F.col("template") >= 0) & (F.col("score") >= passage)))
+    best = scored.groupBy("c").agg(F.min(F.struct((-F.col("score")).alias("less"), "licence")).alias("b"))
+    told = contents.join(best, "c").select("template", "words", "b.licence", (-F.col("b.less")).alias("score"))
+    found = held.withColumn("words", F.col("span.t")).join(told, ["template", "words"]).select("path", "version", "span", "licence", "score")
+    return read.groupBy("path", "version").agg(F.max("n").alias("n")), found
 
 
 def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, cosine: float = COSINE) -> DataFrame:
-    """path, licence, score, found ('own', 'inherited' or null), origin (path of the line's file), licence_file, for each path.
+    """path, licence, score, found ('own', 'inherited' or null), origin (path of the match's file), licence_file, for each path.
 
-    ``files`` has path (parts joined by /) and text. A file's own licence is its best matching line's. A file is its
-    directory's licence file by its name, or if at least half of its tokens lie in matching lines; of several in a
-    directory the best score speaks, ties by path. A file without an own licence inherits from the nearest ancestor
-    directory that has a licence file. Null or empty texts match nothing; rows that repeat a path are one file; rows
-    with a null path are left out; extra columns are ignored; an empty table gives no row.
+    ``files`` has path (parts joined by /) and text. A file's own licence is that of its best matching line or passage. A file is its
+    directory's licence file by its name, or if at least half of its tokens lie in matching lines and passages; of several
+    in a directory the best score speaks, ties by path. A file without an own licence inherits from the nearest ancestor
+    directory that has a licence file. Null or empty texts match nothing; rows that repeat a path are one file, whose
+    different texts are all read; rows with a null path are left out; extra columns are ignored; an empty table gives no row.
     """
     files = files.select("path", "text").filter("path is not null")
-    found = matching_lines(files, templates, cosine)
-    own = found.groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("less"), "licence", "line")).alias("b"), F.sum("n").alias("matched"))
-    sizes = files.select("path", F.size(tokens(F.col("text"))).alias("n")).groupBy("path").agg(F.sum("n").alias("n"))
+    sizes, found = matches(files, templates, cosine)
+    found = stash(found)
+    covered = found.select("path", "version", F.explode("span").alias("s")).select("path", "version", "s.line", "s.place").distinct().groupBy("path").agg(F.count(F.lit(1)).alias("matched"))
+    own = found.groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("less"), "licence")).alias("b")).join(covered, "path")
+    sizes = sizes.groupBy("path").agg(F.sum("n").alias("n"))
     name = F.element_at(F.split("path", "/"), -1)
     directory = F.regexp_replace("path", r"/?[^/]*$", "")
     all_of = sizes.join(own, "path", "left").select("path", directory.alias("dir"), F.col("b.licence").alias("own"), (-F.col("b.less")).alias("own_score"), (F.col("b.licence").isNotNull() & (name.rlike(LICENCE_FILE) | (2 * F.col("matched") >= F.col("n")))).alias("licence_file"))
