@@ -207,6 +207,16 @@ def test_lines_similar_to_a_middle_one(spark):
     assert {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()} == line_oracle(rows)
 
 
+def test_lines_of_rows_with_one_doc_id(spark):
+    """Rows of one doc_id with different texts keep and lose lines each for itself; exact repeats stay alike."""
+    base = [f"w{k}" for k in range(30)]
+    near, own = " ".join([*base[:-1], "other"]), "a line of its own"
+    rows = [(0, " ".join(base)), (1, near), (1, own), (1, f"{near}\nsecond {own}"), (2, f"{own}\nlast"), (2, f"{own}\nlast"), (None, own)]
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(0, " ".join(base)), (1, own), (1, f"second {own}"), (2, "last"), (2, "last"), (None, own)]
+    assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter(want)
+
+
 def test_sketch(docs, rows, nothing):
     got = {r.doc_id: r for r in sketch.edited_pairs(docs).collect()}
     for (k, t), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):

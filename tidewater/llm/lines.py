@@ -4,7 +4,7 @@ A line's tokens are its distinct 5-word shingles (a shorter line: the whole of i
 their tokens alike, rare ones first: tokens of buckets that a count over all lines finds crowded come last. If two
 sets have a Jaccard similarity of at least t, then their prefixes of n - ceil(t * n) + 1 tokens share one; length and
 position of a shared token bound the overlap; what passes is verified on the full sets. A line goes if an
-earlier line (by doc_id, then place) has the same set or a similar one.
+earlier line (by doc_id, then version, then place) has the same set or a similar one. The version tells rows of one doc_id apart.
 """
 
 from __future__ import annotations
@@ -19,22 +19,24 @@ from tidewater.llm.common import WORD_PATTERN, stash, table, words
 SHINGLE, JACCARD = 5, 0.8
 #: Numbers that hold the levels of the token counts, for 16 buckets each.
 WORDS = 1 << 14
-#: Candidate lines, or documents with kept lines, whose ids (16 bytes each) are broadcast; more are joined by a shuffle.
+#: What names a line.
+LINE = ["doc_id", "version", "line"]
+#: Candidate lines, or documents with kept lines, whose ids (24 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: The same for kept lines (4 bytes each).
 BROADCAST_LINES = 4_000_000
 
 
 def line_tokens(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """doc_id, line (place from 0), tokens (distinct hashes) of each line with a word, or of those in ``only`` (doc_id, line)."""
-    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "content")).filter(F.col("content").rlike(WORD_PATTERN))
+    """doc_id, version, line (place from 0), tokens (distinct hashes) of each line with a word, or of those in ``only`` (doc_id, version, line)."""
+    lines = docs.select("doc_id", "version", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "content")).filter(F.col("content").rlike(WORD_PATTERN))
     if only is not None:
-        lines = lines.join(only, ["doc_id", "line"], "left_semi")
-    hashed = lines.select("doc_id", "line", F.transform(words(F.col("content")), lambda w: F.xxhash64(w)).alias("w"))
+        lines = lines.join(only, LINE, "left_semi")
+    hashed = lines.select(*LINE, F.transform(words(F.col("content")), lambda w: F.xxhash64(w)).alias("w"))
     shingle = lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(SHINGLE)])
     many = F.transform(F.sequence(F.lit(0), F.size("w") - SHINGLE), shingle)
     tokens = F.when(F.size("w") >= SHINGLE, F.array_distinct(many)).otherwise(F.array(F.xxhash64("w")))
-    return hashed.select("doc_id", "line", tokens.alias("tokens"))
+    return hashed.select(*LINE, tokens.alias("tokens"))
 
 
 def crowding(tokens: DataFrame) -> list[int]:
@@ -64,33 +66,33 @@ def _level(levels: Column, token: Column) -> Column:
 
 
 def line_sets(docs: DataFrame, jaccard: float = JACCARD) -> DataFrame:
-    """set (hashes and size of the token set), doc_id and line of its first line, size, prefix: one row for each distinct set."""
+    """set (hashes and size of the token set), doc_id, version and line of its first line, size, prefix: one row for each distinct set."""
     tokens = line_tokens(docs)
     levels = F.split(F.lit(",".join(map(str, crowding(tokens)))), ",").cast("array<bigint>")
     # The order: by the bucket's level, then by the hash's upper 59 bits.
     key = lambda t: F.shiftleft(_level(levels, t), 59).bitwiseOR(F.shiftrightunsigned(t, 5))
     n = F.size("ordered")
-    ordered = tokens.select("doc_id", "line", F.sort_array(F.transform("tokens", key)).alias("ordered"))
+    ordered = tokens.select(*LINE, F.sort_array(F.transform("tokens", key)).alias("ordered"))
     prefix = F.slice("ordered", 1, n - F.ceil(n * jaccard - 1e-9).cast("int") + 1)
-    each = ordered.select(F.struct(F.xxhash64("ordered").alias("a"), F.hash("ordered").alias("b"), n.alias("size")).alias("set"), "doc_id", "line", prefix.alias("prefix"))
-    firsts = each.groupBy("set").agg(F.min(F.struct("doc_id", "line", "prefix")).alias("f"))
-    return firsts.select("set", "f.doc_id", "f.line", F.col("set.size").alias("size"), "f.prefix")
+    each = ordered.select(F.struct(F.xxhash64("ordered").alias("a"), F.hash("ordered").alias("b"), n.alias("size")).alias("set"), *LINE, prefix.alias("prefix"))
+    firsts = each.groupBy("set").agg(F.min(F.struct(*LINE, "prefix")).alias("f"))
+    return firsts.select("set", *[f"f.{c}" for c in LINE], F.col("set.size").alias("size"), "f.prefix")
 
 
 def _own() -> Column:
     """A dealt token's line."""
-    return F.struct("doc_id", "line", "span")
+    return F.struct(*LINE, "span")
 
 
 def shared_prefixes(sets: DataFrame) -> DataFrame:
-    """doc_id, line, span, token of prefix tokens that two sets or more have; first and prev: the token's first line and the line before.
+    """doc_id, version, line, span, token of prefix tokens that two sets or more have; first and prev: the token's first line and the line before.
 
-    ``span`` holds the size in its upper and the place in its lower half, so that a dealt token is four numbers. Tokens
+    ``span`` holds the size in its upper and the place in its lower half, so that a dealt token is five numbers. Tokens
     are dealt once; those of a single set, nearly all, end there.
     """
-    every = sets.select("doc_id", "line", "size", F.posexplode("prefix").alias("place", "token"))
-    every = every.select("doc_id", "line", F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("place").cast("long")).alias("span"), "token")
-    by_line = Window.partitionBy("token").orderBy("doc_id", "line")
+    every = sets.select(*LINE, "size", F.posexplode("prefix").alias("place", "token"))
+    every = every.select(*LINE, F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("place").cast("long")).alias("span"), "token")
+    by_line = Window.partitionBy("token").orderBy(*LINE)
     met = every.withColumn("first", F.first(_own()).over(by_line)).withColumn("prev", F.lag(_own()).over(by_line)).withColumn("_next", F.lead("span").over(by_line))
     return met.filter("prev is not null or _next is not null").drop("_next")
 
@@ -99,7 +101,7 @@ def fitting(rows: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     """a, b, n: of ``rows`` (x and y of one token), pairs with a earlier that pass the length and position filters, with how many tokens bring them."""
     size = lambda c: F.shiftright(f"{c}.span", 32)
     left = lambda c: size(c) - F.col(f"{c}.span").bitwiseAND(F.lit(0xFFFFFFFF))
-    at = lambda c: F.struct(f"{c}.doc_id", f"{c}.line")
+    at = lambda c: F.struct(*[f"{c}.{k}" for k in LINE])
     need = (size("x") + size("y")) * (jaccard / (1 + jaccard)) - 1e-9
     fits = (F.least(size("x"), size("y")) >= jaccard * F.greatest(size("x"), size("y")) - 1e-9) & (F.least(left("x"), left("y")) >= need)
     return rows.filter((at("x") < at("y")) & fits).groupBy(at("x").alias("a"), at("y").alias("b")).agg(F.count(F.lit(1)).alias("n"))
@@ -108,8 +110,8 @@ def fitting(rows: DataFrame, jaccard: float = JACCARD) -> DataFrame:
 def similar_to_earlier(docs: DataFrame, pairs: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     """b of the written ``pairs`` (a, b) whose token sets are similar in full. Few pairs are sent to the sets; many meet them by shuffles."""
     near = F.broadcast if pairs.count() <= BROADCAST_IDS // 2 else lambda df: df
-    ends = stash(pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct().select("at.doc_id", "at.line"))
-    full = stash(line_tokens(docs, near(ends))).select(F.struct("doc_id", "line").alias("at"), "tokens")
+    ends = stash(pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct().select(*[f"at.{c}" for c in LINE]))
+    full = stash(line_tokens(docs, near(ends))).select(F.struct(*LINE).alias("at"), "tokens")
     later = full.select(F.col("at").alias("b"), F.col("tokens").alias("y")).join(near(pairs.select("a", "b")), "b")
     earlier = full.select(F.col("at").alias("a"), F.col("tokens").alias("x")).join(near(pairs.select("a").distinct()), "a", "left_semi")
     shared = F.size(F.array_intersect("x", "y"))
@@ -117,7 +119,7 @@ def similar_to_earlier(docs: DataFrame, pairs: DataFrame, jaccard: float = JACCA
 
 
 def removed_lines(docs: DataFrame, sets: DataFrame, jaccard: float = JACCARD) -> DataFrame:
-    """doc_id, line of first lines with a similar earlier one.
+    """doc_id, version, line of first lines with a similar earlier one.
 
     Two rounds, so that a group of m near copies does not make its m * m pairs. First a line meets, by each prefix token,
     the token's first line and the line before it, and is compared with the one it shares most tokens with. Lines found
@@ -127,27 +129,34 @@ def removed_lines(docs: DataFrame, sets: DataFrame, jaccard: float = JACCARD) ->
     chain = rows.filter("prev is not null").select(F.explode(F.array_distinct(F.array("first", "prev"))).alias("x"), _own().alias("y"))
     best = stash(fitting(chain, jaccard).groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")))
     found = stash(similar_to_earlier(docs, best, jaccard))
-    still = rows.filter("prev is not null").join(found.select("b.doc_id", "b.line"), ["doc_id", "line"], "left_anti").select("token", _own().alias("y"))
+    still = rows.filter("prev is not null").join(found.select(*[f"b.{c}" for c in LINE]), LINE, "left_anti").select("token", _own().alias("y"))
     rest = fitting(rows.select("token", _own().alias("x")).join(still, "token"), jaccard).join(best, ["a", "b"], "left_anti")
-    return found.union(similar_to_earlier(docs, stash(rest), jaccard)).select("b.doc_id", "b.line")
+    return found.union(similar_to_earlier(docs, stash(rest), jaccard)).select(*[f"b.{c}" for c in LINE])
+
+
+def text_version(docs: DataFrame) -> Column:
+    """What tells rows of one doc_id apart: the text's hash, or nothing to deal out where no doc_id has two texts."""
+    texts = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h")).groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b"))
+    return F.xxhash64("text") if texts.filter("a <> b").limit(1).count() else F.lit(0).cast("long")
 
 
 def dedup_lines(docs: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     """``docs`` (all columns) with the text reduced to its kept lines, in order; columns added: none.
 
     A document all of whose lines with words go is dropped; one that had none (null, empty, blank) stays as it is, as
-    do blank lines. Rows with a null doc_id stay untouched and unread. Rows that repeat a doc_id must be exact repeats
-    to be told apart: a line kept in one is kept in each, so such rows keep their lines. One line is first by
-    (doc_id, line), so ties cannot arise. n_chars, where there is such a column, is counted anew.
+    do blank lines. Rows with a null doc_id stay untouched and unread. Rows that repeat a doc_id with different
+    texts are documents of their own, in the order of their texts' hashes; exact repeats are one document, and each of
+    them keeps its lines. One line is first by (doc_id, version, line), so ties cannot arise. n_chars, where there is such a column, is counted anew.
     """
-    known = docs.filter("doc_id is not null").select("doc_id", "text")
+    version = text_version(docs)
+    known = docs.filter("doc_id is not null").select("doc_id", version.alias("version"), "text")
     sets = stash(line_sets(known, jaccard))
     gone = removed_lines(known, sets, jaccard)
-    kept = sets.select("doc_id", "line").join(gone, ["doc_id", "line"], "left_anti").groupBy("doc_id").agg(F.collect_list("line").alias("_kept"))
+    kept = sets.select(*LINE).join(gone, LINE, "left_anti").groupBy("doc_id", F.col("version").alias("_version")).agg(F.collect_list("line").alias("_kept"))
     kept = stash(kept)
     small = kept.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.size("_kept")), F.lit(0)).alias("lines")).first()
     near = small.docs <= BROADCAST_IDS and small.lines <= BROADCAST_LINES
-    joined = docs.join(F.broadcast(kept) if near else kept, "doc_id", "left")
+    joined = docs.withColumn("_version", version).join(F.broadcast(kept) if near else kept, ["doc_id", "_version"], "left")
     lines = F.split("text", "\n", -1)
     blank = lambda x: ~F.coalesce(x, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     with_words = joined.withColumn("_any", F.coalesce(~blank(F.col("text")), F.lit(False)) & F.col("doc_id").isNotNull())
