@@ -149,6 +149,19 @@ def test_simhash(docs, rows, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Null doc_ids are members of their groups, repeated rows leave one, and texts that share a doc_id are told apart."""
+    a, b, c, d = ("".join(f"{w}{k} " for k in range(40)) for w in "abcd")
+    rows = [(None, a, "x"), (None, b, "x"), (None, b, "y"), (3, c, "x"), (3, c, "x"), (4, c, "x"), (None, c, "x"), (3, d, "x")]
+    fps = {t: brute_fingerprint(t) for t in (a, b, c, d)}
+    assert all((fps[s] ^ fps[t]).bit_count() > 4 for s in fps for t in fps if s != t)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = simhash.keep_first(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.text, r.doc_id) for r in got.collect()) == [(a, None), (b, None), (c, 3), (d, 3)]
+    assert simhash.keep_first(docs.filter("doc_id is not null and text like 'd%'")).count() == 1 and simhash.keep_first(docs.limit(0)).count() == 0
+
+
 def test_masks_cover():
     rng = random.Random(5)
     found = simhash.masks()

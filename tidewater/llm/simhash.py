@@ -45,15 +45,16 @@ def _ones(hashed: np.ndarray, step: int = 8192) -> np.ndarray:
     return total
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of every document; a null or wordless text has zero."""
+def fingerprints(docs: DataFrame, *longs: str) -> DataFrame:
+    """doc_id, ``longs`` (further columns of that type), fp (the fingerprint as a signed long) of every document; a null or wordless text has zero."""
+    names = ["doc_id", *longs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_groups(batches):
             fps = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(fps)], names=[*names, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), *longs, "text").mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "fp"]))
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -170,9 +171,22 @@ def _merged(fps: DataFrame, rooted: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The documents (all columns) whose doc_id is its group's smallest; of repeated rows of it, all stay."""
-    first = near_duplicates(docs.select("doc_id", "text"), radius).select("component_id").distinct()
-    return docs.join(first, docs["doc_id"] == first["component_id"], "left_semi")
+    """The documents (all columns), one row of each group of near fingerprints: that of the smallest doc_id (null: last), then text hash.
+
+    Groups are of fingerprints alone: rows with a null doc_id are members like others, and texts that only share a
+    doc_id are different documents. Where several rows have the chosen doc_id and text, one of them stays.
+    """
+    fps = stash(fingerprints(docs.select("doc_id", "text", F.xxhash64("text").alias("h")), "h"))
+    reach = components(links(fps.select("fp", F.col("fp").alias("node")).distinct(), radius))
+    rows = fps.groupBy("fp", "doc_id", "h").agg(F.count(F.lit(1)).alias("n")).join(reach.withColumnRenamed("node", "fp"), "fp", "left")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h", "n"))
+    first = stash(rows.groupBy(F.coalesce("component", "fp").alias("component")).agg(least.alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.h").alias("_text"), "f.n"))
+    hashed = docs.withColumn("_h", F.xxhash64("text"))
+    chosen = lambda only: hashed.join(first.filter(only), hashed["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (hashed["_h"] == F.col("_text")), "left_semi")
+    once = chosen("n = 1").drop("_h")
+    if not first.filter("n > 1").limit(1).count():
+        return once
+    return once.union(chosen("n > 1").dropDuplicates(["doc_id", "_h"]).drop("_h"))
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
