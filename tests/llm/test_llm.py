@@ -322,6 +322,15 @@ def test_convnet(docs, nothing):
     assert counts.tolist() == [4, 1] and (chunks[:4] == ord("x")).any(axis=1).all()
 
 
+def test_chunks_hold_every_byte():
+    rng = np.random.default_rng(2)
+    for n in range(505, 1031):
+        text = rng.integers(1, 256, n, dtype=np.uint8).tobytes()
+        rows, counts = convnet.chunks([text])
+        rebuilt = b"".join(bytes(r[: convnet.STEP]) for r in rows[:-1]) + bytes(rows[-1])
+        assert len(rows) == counts[0] and rebuilt.rstrip(b"\0") == text
+
+
 def test_hashes_are_of_whole_texts(docs, rows):
     got = {r.doc_id: r.h for r in bpe.encode(docs, BPE).select("doc_id", F.sha2(F.col("decoded").cast("binary"), 256).alias("h")).collect()}
     assert got == {k: hashlib.sha256((t or "").encode()).hexdigest() for k, t in rows}

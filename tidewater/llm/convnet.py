@@ -28,7 +28,7 @@ THRESHOLD = 0.3
 
 def chunks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All chunks of the texts (rows of CHUNK bytes, zero after a text's end) and chunks in each text (one at least)."""
-    counts = np.array([max(1, -(-(len(t) - WIDTH) // STEP) if len(t) > CHUNK else 1) for t in texts], dtype=np.int64)
+    counts = np.array([1 + max(0, -(-(len(t) - CHUNK) // STEP)) for t in texts], dtype=np.int64)
     out = np.zeros((counts.sum(), CHUNK), dtype=np.uint8)
     row = 0
     for t, n in zip(texts, counts.tolist(), strict=True):
