@@ -60,6 +60,13 @@ def test_rules(docs, rows, nothing):
     assert kept == {k for k, r in got.items() if r.kept}
 
 
+def test_sample_has_one_row_of_each_id(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, "c"), (None, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    got = [tuple(r) for r in rules.labelled_sample(docs, labels, 5, 10).collect()]
+    assert sorted(got) == [(1, "a", 1), (2, "c", 0)]
+
+
 def test_viterbi_is_best():
     rng = np.random.default_rng(0)
     for n in (1, 2, 5):

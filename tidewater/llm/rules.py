@@ -162,11 +162,11 @@ def train(chains: list[tuple[np.ndarray, int]], rounds: int = 200, rate: float =
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, longest: int) -> DataFrame:
-    """doc_id, text, quality of at most ``most`` labelled documents of each quality, by hash of the id, of at most ``longest`` bytes."""
+    """doc_id, text, quality of at most ``most`` labelled documents of each quality, by hash of the id, of at most ``longest`` bytes; of rows that repeat a doc_id, the least text."""
     one = labels.select(F.col("doc_id").cast("long"), "quality").dropDuplicates(["doc_id"])
     picked = [one.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for q in (0, 1)]
     chosen = F.broadcast(picked[0].union(picked[1]))  # at most 2 * most rows
-    return docs.select(F.col("doc_id").cast("long"), "text").filter(F.octet_length("text") <= longest).join(chosen, "doc_id")
+    return docs.select(F.col("doc_id").cast("long"), "text").filter(F.octet_length("text") <= longest).join(chosen, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("doc_id", "text", "quality")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
