@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,3 +69,15 @@ def text_groups(batches: Iterable[pa.RecordBatch], most: int = 4 << 20) -> Itera
             size += len(one)
         if group:
             yield batch.slice(begin), group
+
+
+def text_slices(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``most`` bytes of text at most (one long text may exceed it)."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        begin = 0
+        while begin < batch.num_rows:
+            before = size[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(size, before + most, side="right")))
+            yield batch.slice(begin, end - begin)
+            begin = end

@@ -10,20 +10,28 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import partitions, stash, table, text_groups
+from tidewater.llm.common import partitions, stash, table, text_slices
 
 CAPACITY, END_ID = 4096, 2
-#: Words in each of the two generations of words whose ids a worker remembers.
-CACHE_WORDS = 200_000
-#: Words encoded as one text.
+#: Pieces of words in each of the two generations whose ids a worker remembers.
+CACHE_PIECES = 400_000
+#: Pieces encoded as one text.
 TOGETHER = 5_000
+#: Text that a worker cuts into pieces at a time.
+GROUP = 4 << 20
+# What the tokenizer's own rule cuts off from runs of letters, and characters that no normal form changes and whose
+# lower case is one character wherever they stand (Latin, Cyrillic, Chinese and Japanese letters, common marks). Texts with others go word by word.
+SIGNS = r"'(?:s|t|re|ve|m|ll|d)|\p{N}|[^\x09-\x0D\x20\p{L}\p{N}]+"
+OTHER = r"[^\x09-\x0D -~\x{A1}-\x{AC}\x{AE}-\x{12F}\x{131}-\x{148}\x{14A}-\x{17E}\x{400}-\x{45F}\x{2010}-\x{2027}\x{20AC}\x{3041}-\x{3094}\x{30A1}-\x{30FA}\x{4E00}-\x{9FA5}]"
 
 _tokenizers: dict = {}
 
@@ -43,55 +51,99 @@ def ids_of(tok, words: list[str]) -> list[bytes]:
     return [np.array(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch_fast(words, add_special_tokens=False)]
 
 
-class WordIds:
-    """Ids of words, remembered in two generations: a full one becomes the old one, words met again move to the new one, the rest are forgotten."""
+class PieceIds:
+    """Ids of pieces (runs of letters, digits, runs of signs), remembered in two generations: a full one becomes the old one, pieces met again move to the new one."""
 
-    def __init__(self, tok, most: int = CACHE_WORDS):
-        self.tok, self.most = tok, most
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+    def __init__(self, path: str, most: int = CACHE_PIECES):
+        self.tok, self.most = tokenizer(path), most
+        self.ends = np.array([piece.endswith("</w>") for piece, _ in sorted(self.tok.get_vocab().items(), key=lambda x: x[1])])
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def of(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """A table with the ids of at least these words."""
-        wanted = [w for w in words if w not in self.new]
-        if wanted and len(self.new) + len(wanted) > self.most:
-            self.old, self.new, wanted = self.new, {}, list(words)
+    def of(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each of these distinct pieces, as unsigned 32-bit integers."""
+        known = [self.new.get(w) for w in pieces]
+        absent = [k for k, ids in enumerate(known) if ids is None]
+        if absent and len(self.new) + len(absent) > self.most:
+            self.old, self.new = self.new, {}
         unknown = []
-        for w in wanted:
-            ids = self.old.get(w)
+        for k in absent:
+            ids = self.old.get(pieces[k])
             if ids is None:
-                unknown.append(w)
+                unknown.append(k)
             else:
-                self.new[w] = ids
+                known[k] = self.new[pieces[k]] = ids
         for k in range(0, len(unknown), TOGETHER):
             some = unknown[k : k + TOGETHER]
-            self.new.update(zip(some, self.encode([w.decode() for w in some]), strict=True))
-        return self.new
-
-    def encode(self, words: list[str]) -> list[bytes]:
-        """Ids of each word, from one text of all of them: a token belongs to the word in which it begins."""
-        found = self.tok.encode(" ".join(words), add_special_tokens=False)
-        begins = np.cumsum([0, *(len(w) + 1 for w in words)])
-        cuts = (4 * np.searchsorted([a for a, _ in found.offsets], begins)).tolist()
-        raw = np.array(found.ids, dtype="<u4").tobytes()
-        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+            words = [pieces[j] for j in some]
+            for j, w, ids in zip(some, words, self.encode(words), strict=True):
+                known[j] = self.new[w] = ids
+        return known
+
+    def encode(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece, from one text of all of them: the last token of each piece is one that ends a word."""
+        if not pieces:
+            return []
+        ids = np.array(self.tok.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)] if len(cuts) == len(pieces) + 1 else ids_of(self.tok, pieces)
+
+
+_piece_ids: dict[str, PieceIds] = {}
+
+
+def remembered(path: str) -> PieceIds:
+    """The table of a tokenizer file, kept by each Python worker from task to task."""
+    if path not in _piece_ids:
+        _piece_ids[path] = PieceIds(path)
+    return _piece_ids[path]
+
+
+def gathered(flat: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Items ``at`` of a list of arrays (joined in ``flat``, item k ending at ends[k]): joined, and their lengths."""
+    begins = np.concatenate(([0], ends[:-1])).astype(np.int64)
+    size = (ends - begins)[at]
+    total = np.cumsum(size)
+    place = np.arange(total[-1] if len(total) else 0) + np.repeat(begins[at] - (total - size), size)
+    return flat[place], size
+
+
+def document_ids(texts: pa.Array, path: str) -> list[np.ndarray]:
+    """The ids of each text (null: none), as the whole text has them in the tokenizer of ``path``."""
+    texts = pc.fill_null(texts, "")
+    special = "|".join(re.escape(t.content) for t in tokenizer(path).get_added_tokens_decoder().values())
+    other = pc.match_substring_regex(texts, f"{OTHER}|{special}" if special else OTHER).to_numpy(zero_copy_only=False)
+    plain = pc.if_else(pa.array(other), "", texts)
+    cut = pc.utf8_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(plain), SIGNS, r" \0 "))
+    coded = cut.flatten().dictionary_encode()
+    pieces, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+    # A piece of white space only, where a text has no piece, is the empty string.
+    ids = [b"" if not w else i for w, i in zip(pieces, remembered(path).of(pieces), strict=True)]
+    flat, size = gathered(np.frombuffer(b"".join(ids), "<u4"), np.cumsum([len(i) // 4 for i in ids], dtype=np.int64), at)
+    begins = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))))]
+    out = [flat[a:b] for a, b in zip(begins.tolist(), begins[1:].tolist(), strict=False)]
+    for k in np.flatnonzero(other).tolist():
+        words = list(dict.fromkeys(split := texts[k].as_py().encode().split()))
+        index = {w: n for n, w in enumerate(words)}
+        each = ids_of(tokenizer(path), [w.decode() for w in words])
+        out[k] = gathered(np.frombuffer(b"".join(each), "<u4"), np.cumsum([len(i) // 4 for i in each], dtype=np.int64), np.array([index[w] for w in split], dtype=np.int64))[0] if words else np.zeros(0, "<u4")
+    return out
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, start, length, doc_tokens, ids (binary, unsigned 32-bit) for each piece of each document.
 
-    The tokenizer of ``path`` must treat white space as a mere separator, so that a text's ids are its words' ids; each worker
-    encodes a word once while it remembers it. A null or empty text has only the end id. Repeated rows give pieces of their own.
+    The tokenizer of ``path`` must lower-case, cut by SIGNS and mark the last token of each such piece by ``</w>``, so that a
+    text's ids are its pieces' ids. A null or empty text has only the end id. Repeated rows, null doc_ids included, give
+    pieces of their own; extra columns are ignored; a very long text is cut alone; an empty table gives no row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        remembered, end = WordIds(tokenizer(path)), np.array([end_id], dtype="<u4").tobytes()
-        for part, texts in text_groups(batches, 1 << 20):
-            split = [t.split() for t in texts]
-            known = remembered.of(set().union(*split))
+        for part in text_slices(batches, GROUP):
             at, start, length, total, ids = [], [], [], [], []
-            for k, found in enumerate(split):
-                whole = b"".join(map(known.__getitem__, found)) + end
+            for k, found in enumerate(document_ids(part.column("text"), path)):
+                whole = np.append(found, np.uint32(end_id)).astype("<u4").tobytes()
                 for a in range(0, len(whole), 4 * capacity):
                     one = whole[a : a + 4 * capacity]
                     at.append(k)
