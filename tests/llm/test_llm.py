@@ -238,12 +238,23 @@ def test_lines_of_rows_with_one_doc_id(spark):
     assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter(want)
 
 
-def test_sketch(docs, rows, nothing):
-    got = {r.doc_id: r for r in sketch.edited_pairs(docs).collect()}
+def brute_shingles(text):
+    w = WORD.findall(text or "")
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def test_sketch(spark, docs, rows, nothing):
+    got = {r.doc_id: r for r in sketch.edited_pairs(docs, 2).collect()}
+    every = {r.doc_id: r for r in sketch.edited_pairs(docs, 1).collect()}
     for (k, t), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
         t, after = t or "", after or ""
         q = len(t) // 4
         assert got[k].edited_text == t[: len(t) - q] + after[:q] and got[k].n_chars == len(t)
+        # With every hash kept, the sketch is the shingle set, and a scaled sketch is that set below the limit.
+        assert len(every[k].sketch) == len(brute_shingles(t)) and len(every[k].edited_sketch) == len(brute_shingles(got[k].edited_text))
+        assert got[k].sketch == sorted(h for h in every[k].sketch if h < 0) and got[k].next_sketch == sorted(h for h in every[k].next_sketch if h < 0)
+        assert got[k].sketch_least == (min(every[k].sketch, default=None) if not got[k].sketch else None)
+        assert len(set(every[k].sketch) & set(every[k].next_sketch)) == len(brute_shingles(t) & brute_shingles(after))
     same = {r.text: set() for r in docs.collect()}
     for k, t in rows:
         same[t].add(tuple(got[k].sketch))
@@ -251,6 +262,41 @@ def test_sketch(docs, rows, nothing):
     assert sketch.edited_pairs(nothing).count() == 0
 
 
+def test_sketch_rows(spark):
+    """Null doc_ids have no next document; of repeated ids the smallest text is the next document."""
+    rows = [(None, "abcd efgh"), (1, "one two three four"), (2, "zz yy"), (2, "aa bb cc dd"), (2, "aa bb cc dd"), (9, None)]
+    got = sorted((r.doc_id or 0, r.edited_text) for r in sketch.edited_pairs(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect())
+    assert got == [(0, "abcd ef"), (1, "one two three aa b"[:18]), (2, "aa bb cc "), (2, "aa bb cc "), (2, "zz y"), (9, "")]
+
+
+def test_sketches_merge_exactly(spark):
+    rng = random.Random(2)
+    words_of = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    small, large, other = words_of(300), words_of(20000), words_of(7)
+    texts = [(1, small), (1, large), (1, other), (2, small), (3, f"{large} {small}"), (4, "three words only"), (5, None)]
+    one = sketch.with_sketch(spark.createDataFrame(texts, "k int, text string"), "text", "sketch", 8)
+    merged = {r.k: set(r.sketch) for r in sketch.merge(one, "k").collect()}
+    full = sketch.with_sketch(spark.createDataFrame(texts, "k int, text string"), "text", "sketch", 1)
+    limit = -(1 << 63) + (1 << 61)
+    assert merged == {r.k: {h for h in r.sketch if h < limit} for r in sketch.merge(full, "k").collect()}
+    assert merged[4] == merged[5] == set()
+    pair = spark.createDataFrame([(sorted(merged[2]), sorted(merged[3]))], "a array<long>, b array<long>")
+    r = pair.select(sketch.containment(F.col("a"), F.col("b")).alias("c"), sketch.containment(F.col("b"), F.col("a")).alias("d")).first()
+    assert r.c == 1 and abs(r.d - 300 / 20300) < 0.01
+
+
+def test_likeness_estimates_containment(spark):
+    """Against brute force on texts that share a known part: within four standard deviations of the sampling."""
+    rng = random.Random(6)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(4000)]
+    rows = [(k, " ".join(base[: 40 * k] + [f"x{k}y{j}" for j in range(4000 - 40 * k)])) for k in range(0, 101, 10)]
+    df = sketch.with_sketch(spark.createDataFrame([(k, t, " ".join(base)) for k, t in rows], "k int, text string, whole string"), "text", "a")
+    for r in sketch.with_sketch(df, "whole", "b").select("k", "text", sketch.likeness(sketch.comparable("a"), sketch.comparable("b")).alias("x")).collect():
+        s, t = brute_shingles(r.text), brute_shingles(" ".join(base))
+        p = len(s & t) / min(len(s), len(t))
+        assert abs(r.x - p) <= 4 * math.sqrt(p * (1 - p) / 500) + 0.02
+
+
 def test_chat(spark):
     raw = [(1, 0, "user", "a<|end|>\n\\|b"), (1, 1, "user", None), (1, 2, "assistant", "x\\"), (1, 3, "assistant", "<|turn|><\\|"), (2, 0, "we\\n\nird<|", ""), (None, 1, "assistant", "n"), (3, 1, "assistant", "t"), (3, 1, "assistant", "t")]
     back = chat.read_back(chat.format_conversations(spark.createDataFrame(raw, "conv_id long, turn long, role string, text string")))

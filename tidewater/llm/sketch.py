@@ -1,7 +1,9 @@
 """Document fingerprints: threshold-scaled sketches of word shingles, with Spark expressions only.
 
-A sketch keeps every shingle hash below a fixed fraction of the hash range, and the smallest hash in any case. Sketches of two texts
-merge by set union, and shared hashes over the smaller sketch estimate containment however unequal the texts are.
+A sketch is every 64-bit shingle hash below a fixed fraction of the hash range, and nothing else: the sketch of a union of
+shingle sets is the union of their sketches, and shared hashes over a sketch's size estimate containment without bias
+however unequal the texts are. A text too short to have any hash below the limit keeps its smallest hash apart, in a
+column of its own, which only comparisons of single texts use and merging ignores.
 """
 
 from __future__ import annotations
@@ -12,37 +14,51 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import stash, table, words
 
 SHINGLE = 5
-#: One in SCALE of the 32-bit hashes is kept.
+#: One in SCALE of the hashes is kept.
 SCALE = 8
 
 
+def shingle_hashes(given: str) -> Column:
+    """64-bit hash of each shingle of the word hashes in column ``given`` (under 5 words: of all of them; no word: none)."""
+    many = F.transform(F.sequence(F.lit(0), F.size(given) - SHINGLE), lambda i: F.xxhash64(*[F.get(given, i + k) for k in range(SHINGLE)]))
+    return F.when(F.size(given) >= SHINGLE, many).when(F.size(given) > 0, F.array(F.xxhash64(given))).otherwise(F.array().cast("array<bigint>"))
+
+
 def with_sketch(df: DataFrame, text: str, name: str, scale: int = SCALE) -> DataFrame:
-    """Adds ``name``: the ascending distinct kept hashes of ``text`` (a text of under 5 words is one shingle; no word: empty)."""
-    spare = f"_{name}_words"
-    limit = -(1 << 31) + (1 << 32) // scale
-    hashed = F.transform(words(F.col(text)), lambda w: F.xxhash64(w))
-    shingle = lambda i: F.shiftright(F.xxhash64(*[F.get(spare, i + k) for k in range(SHINGLE)]), 32).cast("int")
-    whole = F.array(F.shiftright(F.xxhash64(spare), 32).cast("int"))
-    many = F.transform(F.sequence(F.lit(0), F.size(spare) - SHINGLE), shingle)
-    df = df.withColumn(spare, hashed).withColumn(name, F.when(F.size(spare) >= SHINGLE, many).when(F.size(spare) > 0, whole).otherwise(F.array().cast("array<int>")))
-    kept = F.array_union(F.filter(name, lambda h: h < limit), F.filter(F.array(F.array_min(name)), lambda h: h.isNotNull()))
-    return df.withColumn(name, F.sort_array(kept)).drop(spare)
+    """Adds ``name`` (ascending distinct hashes of ``text`` below the limit) and ``name_least`` (the smallest hash of a text that has words but none below)."""
+    last = -(1 << 63) + (1 << 64) // scale - 1
+    w, every, kept = f"_{name}_words", f"_{name}_hashes", F.col(name)
+    df = df.withColumn(w, F.transform(words(F.col(text)), lambda x: F.xxhash64(x))).withColumn(every, shingle_hashes(w)).drop(w)
+    df = df.withColumn(name, F.sort_array(F.array_distinct(F.filter(every, lambda h: h <= last))))
+    return df.withColumn(f"{name}_least", F.when(F.size(kept) == 0, F.array_min(every))).drop(every)
+
+
+def comparable(sketch: str) -> Column:
+    """A sketch with the hash that stands in for it where it is empty."""
+    least = F.col(f"{sketch}_least")
+    return F.when(least.isNotNull(), F.array(least)).otherwise(F.col(sketch))
 
 
-def printed(sketch: Column) -> Column:
-    """A sketch as text: 8 hexadecimal digits for each hash, ascending."""
-    return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), "")
+def printed(sketch: str) -> Column:
+    """A sketch as text: 16 hexadecimal digits for each hash, ascending; a tilde before the hash that stands in for an empty one."""
+    digits = F.array_join(F.transform(comparable(sketch), lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
+    return F.concat(F.when(F.col(f"{sketch}_least").isNotNull(), "~").otherwise(""), digits)
+
+
+def containment(a: Column, b: Column) -> Column:
+    """Estimated share of the first text's shingles that the second has; null where the first sketch is empty."""
+    return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Containment of the smaller sketch in the other, 0 to 1: shared hashes over the smaller size; 1 if both are empty, 0 if one is."""
+    """Containment of the smaller sketch in the other, 0 to 1; 1 if both are empty, 0 if one is."""
     least = F.least(F.size(a), F.size(b))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when(least == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / least).cast("double")
 
 
 def merge(sketches: DataFrame, key: str, sketch: str = "sketch") -> DataFrame:
-    """Sketch of each key's joined texts, from their sketches: the distinct hashes (a shingle across two texts is in none)."""
-    rows = sketches.select(key, F.explode(sketch).alias("h")).distinct()
+    """Sketch of each key's texts together, exactly the sketch of the union of their shingles; a key (null is one) whose sketches are all empty or null has an empty one."""
+    rows = sketches.select(key, F.explode_outer(sketch).alias("h")).distinct()
     return rows.groupBy(key).agg(F.sort_array(F.collect_list("h")).alias(sketch))
 
 
@@ -67,22 +83,25 @@ def edited_pairs(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     Edited text: the last floor(n/4) code points replaced by as many first ones of the next document by ascending
     doc_id (the first one after the last). A null text counts as empty, a null doc_id has no next document (empty
     text and sketch). Of rows that repeat a doc_id, each is fingerprinted, and the row before them takes the
-    smallest text as its next document. A single document is its own next one. Extra columns are ignored.
+    smallest text as its next document. A single document is its own next one. Extra columns are ignored; an empty
+    table gives no row; a text is one row, however long.
+
+    Texts are dealt by doc_id once: that one exchange serves the join that finds the heads wanted by the documents
+    before, and the join that brings each document its head.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    sizes = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.char_length("text")).alias("n"))
-    near = neighbours(sizes)
-    wanted = near.groupBy("next_id").agg(F.first("doc_id").alias("asker")).join(sizes.withColumnRenamed("doc_id", "asker"), "asker")
-    wanted = wanted.select(F.col("next_id").alias("doc_id"), "asker", F.expr("n div 4").cast("int").alias("need"))
-    found = with_sketch(docs.join(wanted, "doc_id").select("doc_id", "text", "asker", "need"), "text", "next_sketch", scale)
-    heads = found.groupBy(F.col("asker").alias("doc_id")).agg(F.min(F.struct(F.substr("text", F.lit(1), F.col("need")).alias("head"), "next_sketch")).alias("next"))
-    n = F.char_length("text")
-    moved = F.expr("char_length(text) div 4").cast("int")
-    all_of = docs.join(heads, "doc_id", "left")
+    known = docs.filter("doc_id is not null")
+    sizes = known.groupBy("doc_id").agg(F.max(F.char_length("text")).alias("n"))
+    wanted = neighbours(sizes.select("doc_id")).join(sizes, "doc_id").select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("asker"), F.expr("n div 4").cast("int").alias("need"))
+    head = F.struct(F.substr("text", F.lit(1), F.col("need")).alias("head"), F.col("sketch").alias("next_sketch"), F.col("sketch_least").alias("next_sketch_least"))
+    heads = with_sketch(known.join(wanted, "doc_id"), "text", "sketch", scale).groupBy(F.col("asker").alias("doc_id")).agg(F.min(head).alias("next"))
+    all_of = known.join(heads, "doc_id", "left").unionByName(docs.filter("doc_id is null"), allowMissingColumns=True)
+    all_of = with_sketch(all_of, "text", "sketch", scale)
+    n, moved = F.char_length("text"), F.expr("char_length(text) div 4").cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - moved), F.substr(F.coalesce("next.head", F.lit("")), F.lit(1), moved))
-    none = F.array().cast("array<int>")
-    full = all_of.select("doc_id", "text", n.cast("long").alias("n_chars"), edited.alias("edited_text"), F.coalesce("next.next_sketch", none).alias("next_sketch"))
-    return with_sketch(with_sketch(full, "text", "sketch", scale), "edited_text", "edited_sketch", scale)
+    following = F.coalesce("next.next_sketch", F.array().cast("array<bigint>")).alias("next_sketch")
+    full = all_of.select("doc_id", "text", n.cast("long").alias("n_chars"), "sketch", "sketch_least", edited.alias("edited_text"), following, F.col("next.next_sketch_least").alias("next_sketch_least"))
+    return with_sketch(full, "edited_text", "edited_sketch", scale)
 
 
 def op7_fingerprints(spark, sf_dir: str) -> DataFrame:
@@ -91,8 +110,8 @@ def op7_fingerprints(spark, sf_dir: str) -> DataFrame:
         "doc_id",
         "n_chars",
         F.sha2("edited_text", 256).alias("edited_sha256"),
-        printed(F.col("sketch")).alias("fingerprint"),
-        printed(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        printed("sketch").alias("fingerprint"),
+        printed("edited_sketch").alias("edited_fingerprint"),
+        likeness(comparable("sketch"), comparable("edited_sketch")).alias("near_edited"),
+        likeness(comparable("sketch"), comparable("next_sketch")).alias("near_next"),
     )
