@@ -89,7 +89,9 @@ def edited_pairs(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     Texts are dealt by doc_id once: that one exchange serves the join that finds the heads wanted by the documents
     before, and the join that brings each document its head.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    if docs.schema["doc_id"].dataType.simpleString() != "bigint":  # a cast of none is a new column to Spark, and would keep it from reusing the exchange
+        docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     known = docs.filter("doc_id is not null")
     sizes = known.groupBy("doc_id").agg(F.max(F.char_length("text")).alias("n"))
     wanted = neighbours(sizes.select("doc_id")).join(sizes, "doc_id").select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("asker"), F.expr("n div 4").cast("int").alias("need"))
