@@ -7,6 +7,7 @@ and its ids return to the blocks, joined by position. Ids become text through th
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -93,12 +94,34 @@ def _numbers(planes: list[bytes]) -> np.ndarray:
     return found
 
 
+def numbered(flat: np.ndarray, words: list[bytes], parts: int) -> tuple[np.ndarray, list[list[bytes]], np.ndarray]:
+    """New numbers of a block's words (``flat``: their places in the texts), each part's list of words, and how many words of each part follow each other.
+
+    Words go by doublings of frequency rank, so that frequent ones have small numbers; inside a doubling by part, then in
+    byte order, which compresses best. So the lengths of the runs tell each number's part, and a part's list is its runs in order.
+    """
+    from zlib import crc32
+
+    rank = np.empty(len(words), dtype=np.int64)
+    rank[np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")] = np.arange(len(words))
+    doubling = np.frexp(rank + 1)[1] - 1
+    part = np.fromiter((crc32(w) % parts for w in words), dtype=np.int64, count=len(words))
+    run = doubling * parts + part
+    sorted_words = pa.table({"run": run, "word": pa.array(words, pa.binary())})
+    order = pc.sort_indices(sorted_words, sort_keys=[("run", "ascending"), ("word", "ascending")]).to_numpy()
+    number = np.empty(len(words), dtype=np.int64)
+    number[order] = np.arange(len(words))
+    lists: list[list[bytes]] = [[] for _ in range(parts)]
+    for k, p in zip(order.tolist(), part[order].tolist(), strict=True):
+        lists[p].append(words[k])
+    return number, lists, np.bincount(run, minlength=(int(doubling.max(initial=-1)) + 1) * parts)
+
+
 def blocks(docs: DataFrame, specials: list[str], parts: int) -> DataFrame:
     """Rows of two kinds: 0, a part of a block's distinct words; 1, the block's documents as positions in that list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        from zlib import crc32
 
         block = TaskContext.get().partitionId() << 32
         index: dict[bytes, int] = {}
@@ -110,19 +133,10 @@ def blocks(docs: DataFrame, specials: list[str], parts: int) -> DataFrame:
         def done() -> Iterator[pa.RecordBatch]:
             nonlocal block, size
             if ids:
-                lists: list[list[bytes]] = [[] for _ in range(parts)]
-                flat = np.concatenate(codes)
-                # Frequent words get the small numbers, which compress best.
-                order = np.argsort(-np.bincount(flat, minlength=len(index)), kind="stable")
-                number = np.empty(len(index), dtype=np.int32)
-                number[order] = np.arange(len(index), dtype=np.int32)
-                flat, words, place = number[flat], list(index), []
-                for k in order.tolist():
-                    place.append(p := crc32(words[k]) % parts)
-                    lists[p].append(words[k])
-                planes = _planes(flat)
+                flat, words = np.concatenate(codes), list(index)
+                number, lists, runs = numbered(flat, words, parts)
                 null = np.array([d is None for d in ids], dtype=np.int64)
-                documents = _pack([*planes, np.array(place, dtype="<u4").tobytes()], np.array([d or 0 for d in ids]), null, np.concatenate(counts))
+                documents = _pack(_planes(number[flat]), np.array([d or 0 for d in ids]), null, np.concatenate(counts), runs)
                 payload = [_pack(x) for x in lists] + [documents]
                 n = len(payload)
                 yield pa.RecordBatch.from_arrays([pa.array([0] * parts + [1], pa.int32()), pa.array([block] * n, pa.int64()), pa.array([*range(parts), parts], pa.int32()), pa.array(payload, pa.binary())], names=["kind", "block", "part", "payload"])
@@ -168,7 +182,7 @@ def word_ids(lists: DataFrame, path: str) -> DataFrame:
                 packed = _pack(_planes(np.frombuffer(b"".join(ids), "<u4")), np.array([len(i) for i in ids], dtype=np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([row["part"]], pa.int32()), pa.array([packed], pa.binary())], names=["kind", "block", "part", "payload"])
 
-    return lists.repartition(n, "part").sortWithinPartitions("part").mapInArrow(run, TABLE)
+    return lists.repartitionById(n, F.col("part") % n).sortWithinPartitions("part").mapInArrow(run, TABLE)
 
 
 def piece_table(path: str) -> dict[int, bytes]:
@@ -192,7 +206,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     parts = PARTS * n
     written = stash(blocks(docs, special_tokens(path), parts))
     encoded = word_ids(written.filter("kind = 0"), path)
-    both = written.filter("kind = 1").unionByName(encoded).repartition(n, "block").sortWithinPartitions("block", F.desc("kind"), "part")
+    # Block k of input partition p goes to task p + k, so that no task gets several while others have none.
+    place = ((F.shiftright("block", 32) + F.col("block").bitwiseAND(F.lit((1 << 32) - 1))) % n).cast("int")
+    both = written.filter("kind = 1").unionByName(encoded).repartitionById(n, place).sortWithinPartitions("block", F.desc("kind"), "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, lists = piece_table(path), {}
@@ -204,9 +220,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                     ends = np.cumsum(numbers[0]).tolist()
                     lists[row["part"]] = iter([raw[a:b] for a, b in zip([0, *ends], ends, strict=False)])
                     continue
-                ids = [next(lists[p]) for p in np.frombuffer(values[-1], "<u4").tolist()]  # by position in the block's list
+                *numbers, runs = numbers
+                ids = [i for k, n in enumerate(runs.tolist()) for i in itertools.islice(lists[k % parts], n)]  # by position in the block's list
                 text = [b"".join([pieces[k] for k in np.frombuffer(i, "<u4").tolist()]) for i in ids]
-                codes = _numbers(values[:-1])
+                codes = _numbers(values)
                 at, group, size = 0, [], 0
                 for doc, null, count in zip(*(x.tolist() for x in numbers), strict=True):
                     own = codes[at : at + count].tolist()
