@@ -388,3 +388,16 @@ def test_chunks_hold_every_byte():
 def test_hashes_are_of_whole_texts(docs, rows):
     got = {r.doc_id: r.h for r in bpe.encode(docs, BPE).select("doc_id", F.sha2(F.col("decoded").cast("binary"), 256).alias("h")).collect()}
     assert got == {k: hashlib.sha256((t or "").encode()).hexdigest() for k, t in rows}
+
+
+def test_lines_of_a_very_frequent_token(spark, monkeypatch):
+    """Lines of a salted token still meet each other, first and in the second round; columns may be named as helpers are."""
+    monkeypatch.setattr(lines, "SALT_LEVEL", 0)
+    rng = random.Random(9)
+    rows = [(k, f"the same five words here {' '.join(f'w{rng.randint(0, 9)}' for _ in range(6))}\n\nown{k}") for k in range(150)]
+    full = [(k, t, "x", k, len(t)) for k, t in rows]
+    docs = spark.createDataFrame(full, "doc_id long, text string, _kept string, flags long, n_chars int").repartition(3)
+    got = lines.dedup_lines(docs)
+    assert got.columns == docs.columns
+    want = line_oracle(rows)
+    assert {r.doc_id: (r.text, r["_kept"], r["flags"], r.n_chars) for r in got.collect()} == {k: (t, "x", k, len(t)) for k, t in want.items()}

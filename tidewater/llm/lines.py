@@ -23,31 +23,42 @@ WORDS = 1 << 14
 LINE = ["doc_id", "version", "line"]
 #: Candidate lines, or documents with kept lines, whose ids (24 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: The same for kept lines (4 bytes each).
-BROADCAST_LINES = 4_000_000
+#: The same for the bytes that mark kept lines.
+BROADCAST_BYTES = 16 << 20
+#: Tokens of buckets beyond this level of crowding are dealt into two groups, and into twice as many for each level more.
+SALT_LEVEL = 6
 
 
-def line_tokens(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """doc_id, version, line (place from 0), tokens (distinct hashes) of each line with a word, or of those in ``only`` (doc_id, version, line)."""
-    lines = docs.select("doc_id", "version", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "content")).filter(F.col("content").rlike(WORD_PATTERN))
+def line_words(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """doc_id, version, line (place from 0), w (words) of each line, or of those in ``only`` (doc_id, version, line); a line without a word has none."""
+    lines = docs.select("doc_id", "version", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "content"))
     if only is not None:
         lines = lines.join(only, LINE, "left_semi")
-    hashed = lines.select(*LINE, F.transform(words(F.col("content")), lambda w: F.xxhash64(w)).alias("w"))
-    shingle = lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(SHINGLE)])
-    many = F.transform(F.sequence(F.lit(0), F.size("w") - SHINGLE), shingle)
-    tokens = F.when(F.size("w") >= SHINGLE, F.array_distinct(many)).otherwise(F.array(F.xxhash64("w")))
-    return hashed.select(*LINE, tokens.alias("tokens"))
+    return lines.select(*LINE, words(F.col("content")).alias("w"))
+
+
+def _shingle(i: Column) -> Column:
+    """Hash of the words from place i on, SHINGLE of them at most."""
+    return F.xxhash64(*[F.get("w", i + k) for k in range(SHINGLE)])
+
+
+def line_tokens(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """doc_id, version, line, tokens (distinct hashes; none for a line without a word)."""
+    many = F.transform(F.sequence(F.lit(0), F.size("w") - SHINGLE), _shingle)
+    tokens = F.when(F.size("w") >= SHINGLE, F.array_distinct(many)).when(F.size("w") > 0, F.array(_shingle(F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
+    return line_words(docs, only).select(*LINE, tokens.alias("tokens"))
 
 
-def crowding(tokens: DataFrame) -> list[int]:
+def crowding(docs: DataFrame) -> list[int]:
     """How crowded each bucket of token hashes is, counted over all lines, as WORDS numbers with 16 levels of 4 bits.
 
-    The count above the mean estimates that of a bucket's most frequent token. Level 0: less than six standard
-    deviations of a chance count (the root of the mean); above it one level more for each doubling.
+    The count above the mean estimates that of a bucket's most frequent token (repeats inside a line included). Level 0: less than six
+    standard deviations of a chance count (the root of the mean); above it one level more for each doubling. Words are
+    exploded and hashed as columns, not by array functions, so that Spark compiles the whole count.
     """
-    bucket = F.col("t").bitwiseAND(F.lit(16 * WORDS - 1)).cast("int")
-    # explode_outer: explode would first filter by the array's size, and so make every array twice.
-    counts = stash(tokens.select(F.explode_outer("tokens").alias("t")).filter("t is not null").groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")))
+    at = line_words(docs).select("w", F.posexplode_outer("w").alias("i", "word")).filter((F.col("i") + SHINGLE <= F.size("w")) | (F.col("i") == 0))
+    bucket = _shingle(F.col("i")).bitwiseAND(F.lit(16 * WORDS - 1)).cast("int")
+    counts = stash(at.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")))
     mean = max(1.0, (counts.agg(F.sum("n")).first()[0] or 0) / (16 * WORDS))
     above = (F.col("n") - mean) / (6 * math.sqrt(mean))
     level = F.when(above < 1, F.lit(0)).otherwise(F.least(F.lit(15), F.floor(F.log2(above)).cast("int") + 1)).cast("long")
@@ -62,19 +73,19 @@ def crowding(tokens: DataFrame) -> list[int]:
 def _level(levels: Column, token: Column) -> Column:
     word = F.get(levels, token.bitwiseAND(F.lit(WORDS - 1)).cast("int"))
     place = F.shiftrightunsigned(token, WORDS.bit_length() - 3).bitwiseAND(F.lit(60)).cast("int")
-    return F.call_function("shiftrightunsigned", word, place).bitwiseAND(F.lit(15))
+    return F.coalesce(F.call_function("shiftrightunsigned", word, place).bitwiseAND(F.lit(15)), F.lit(0).cast("long"))  # never null, so that Spark sorts bare numbers
 
 
 def line_sets(docs: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     """set (hashes and size of the token set), doc_id, version and line of its first line, size, prefix: one row for each distinct set."""
     tokens = line_tokens(docs)
-    levels = F.split(F.lit(",".join(map(str, crowding(tokens)))), ",").cast("array<bigint>")
+    levels = F.split(F.lit(",".join(map(str, crowding(docs)))), ",").cast("array<bigint>")
     # The order: by the bucket's level, then by the hash's upper 59 bits.
     key = lambda t: F.shiftleft(_level(levels, t), 59).bitwiseOR(F.shiftrightunsigned(t, 5))
     n = F.size("ordered")
     ordered = tokens.select(*LINE, F.sort_array(F.transform("tokens", key)).alias("ordered"))
     prefix = F.slice("ordered", 1, n - F.ceil(n * jaccard - 1e-9).cast("int") + 1)
-    each = ordered.select(F.struct(F.xxhash64("ordered").alias("a"), F.hash("ordered").alias("b"), n.alias("size")).alias("set"), *LINE, prefix.alias("prefix"))
+    each = ordered.filter(n > 0).select(F.struct(F.xxhash64("ordered").alias("a"), F.hash("ordered").alias("b"), n.alias("size")).alias("set"), *LINE, prefix.alias("prefix"))
     firsts = each.groupBy("set").agg(F.min(F.struct(*LINE, "prefix")).alias("f"))
     return firsts.select("set", *[f"f.{c}" for c in LINE], F.col("set.size").alias("size"), "f.prefix")
 
@@ -84,17 +95,24 @@ def _own() -> Column:
     return F.struct(*LINE, "span")
 
 
+def salts(token: Column) -> Column:
+    """Into how many groups the lines of a token are dealt: one, but for tokens of buckets that the count found most crowded, whose level stands in the token's upper bits."""
+    return F.call_function("shiftleft", F.lit(1), F.greatest(F.shiftright(token, 59).bitwiseAND(F.lit(15)).cast("int") - SALT_LEVEL, F.lit(0)))
+
+
 def shared_prefixes(sets: DataFrame) -> DataFrame:
-    """doc_id, version, line, span, token of prefix tokens that two sets or more have; first and prev: the token's first line and the line before.
+    """doc_id, version, line, span, token, salt of prefix tokens that two sets or more may have; first and prev: the group's first line and the line before.
 
-    ``span`` holds the size in its upper and the place in its lower half, so that a dealt token is five numbers. Tokens
-    are dealt once; those of a single set, nearly all, end there.
+    ``span`` holds the size in its upper and the place in its lower half, so that a dealt token is six numbers. Tokens
+    are dealt once; those of a single set, nearly all, end there. The lines of a very frequent token are dealt into several groups.
     """
     every = sets.select(*LINE, "size", F.posexplode("prefix").alias("place", "token"))
-    every = every.select(*LINE, F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("place").cast("long")).alias("span"), "token")
-    by_line = Window.partitionBy("token").orderBy(*LINE)
-    met = every.withColumn("first", F.first(_own()).over(by_line)).withColumn("prev", F.lag(_own()).over(by_line)).withColumn("_next", F.lead("span").over(by_line))
-    return met.filter("prev is not null or _next is not null").drop("_next")
+    salt = F.pmod(F.hash(*LINE), salts(F.col("token"))).cast("int")
+    every = every.select(*LINE, F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("place").cast("long")).alias("span"), "token", salt.alias("salt"))
+    by_line = Window.partitionBy("token", "salt").orderBy(*LINE)
+    so_far = by_line.rowsBetween(Window.unboundedPreceding, 0)
+    met = every.withColumn("first", F.first(_own()).over(so_far)).withColumn("prev", F.lag(_own()).over(by_line)).withColumn("_next", F.lead("span").over(by_line))
+    return met.filter((salts(F.col("token")) > 1) | F.col("prev").isNotNull() | F.col("_next").isNotNull()).drop("_next")
 
 
 def fitting(rows: DataFrame, jaccard: float = JACCARD) -> DataFrame:
@@ -129,8 +147,10 @@ def removed_lines(docs: DataFrame, sets: DataFrame, jaccard: float = JACCARD) ->
     chain = rows.filter("prev is not null").select(F.explode(F.array_distinct(F.array("first", "prev"))).alias("x"), _own().alias("y"))
     best = stash(fitting(chain, jaccard).groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")))
     found = stash(similar_to_earlier(docs, best, jaccard))
-    still = rows.filter("prev is not null").join(found.select(*[f"b.{c}" for c in LINE]), LINE, "left_anti").select("token", _own().alias("y"))
-    rest = fitting(rows.select("token", _own().alias("x")).join(still, "token"), jaccard).join(best, ["a", "b"], "left_anti")
+    # A line still open meets all groups of its token, each group in a task of its own.
+    groups = F.explode(F.sequence(F.lit(0), salts(F.col("token")) - 1)).alias("salt")
+    still = rows.filter((salts(F.col("token")) > 1) | F.col("prev").isNotNull()).join(found.select(*[f"b.{c}" for c in LINE]), LINE, "left_anti").select("token", _own().alias("y"), groups)
+    rest = fitting(rows.select("token", "salt", _own().alias("x")).join(still, ["token", "salt"]), jaccard).join(best, ["a", "b"], "left_anti")
     return found.union(similar_to_earlier(docs, stash(rest), jaccard)).select(*[f"b.{c}" for c in LINE])
 
 
@@ -140,6 +160,13 @@ def text_version(docs: DataFrame) -> Column:
     return F.xxhash64("text") if texts.filter("a <> b").limit(1).count() else F.lit(0).cast("long")
 
 
+def kept_flags(kept: DataFrame) -> DataFrame:
+    """doc_id, version, flags of the documents of ``kept`` (doc_id, version, line): one byte for each line up to the last kept one, "1" if it is kept."""
+    places = kept.groupBy("doc_id", "version").agg(F.sort_array(F.collect_list("line")).alias("at"))
+    marks = F.transform("at", lambda x, i: F.concat(F.repeat(F.lit("0"), x - F.coalesce(F.get("at", i - 1), F.lit(-1)) - 1), F.lit("1")))
+    return places.select("doc_id", "version", F.array_join(marks, "").cast("binary").alias("flags"))
+
+
 def dedup_lines(docs: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     """``docs`` (all columns) with the text reduced to its kept lines, in order; columns added: none.
 
@@ -147,25 +174,27 @@ def dedup_lines(docs: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     do blank lines. Rows with a null doc_id stay untouched and unread. Rows that repeat a doc_id with different
     texts are documents of their own, in the order of their texts' hashes; exact repeats are one document, and each of
     them keeps its lines. One line is first by (doc_id, version, line), so ties cannot arise. n_chars, where there is such a column, is counted anew.
+    Other columns may have any names; an empty table gives no row. A document's line places, not its lines, are gathered in one row.
     """
     version = text_version(docs)
     known = docs.filter("doc_id is not null").select("doc_id", version.alias("version"), "text")
     sets = stash(line_sets(known, jaccard))
     gone = removed_lines(known, sets, jaccard)
-    kept = sets.select(*LINE).join(gone, LINE, "left_anti").groupBy("doc_id", F.col("version").alias("_version")).agg(F.collect_list("line").alias("_kept"))
-    kept = stash(kept)
-    small = kept.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.size("_kept")), F.lit(0)).alias("lines")).first()
-    near = small.docs <= BROADCAST_IDS and small.lines <= BROADCAST_LINES
-    joined = docs.withColumn("_version", version).join(F.broadcast(kept) if near else kept, ["doc_id", "_version"], "left")
-    lines = F.split("text", "\n", -1)
+    kept = stash(kept_flags(sets.select(*LINE).join(gone, LINE, "left_anti")))
+    small = kept.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.octet_length("flags")), F.lit(0)).alias("bytes")).first()
+    near = small.docs <= BROADCAST_IDS and small.bytes <= BROADCAST_BYTES
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", version.alias("version"), "text")
+    joined = rows.join(F.broadcast(kept) if near else kept, ["doc_id", "version"], "left")
     blank = lambda x: ~F.coalesce(x, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    with_words = joined.withColumn("_any", F.coalesce(~blank(F.col("text")), F.lit(False)) & F.col("doc_id").isNotNull())
-    found = with_words.filter(~F.col("_any") | F.col("_kept").isNotNull())
-    text = F.when(F.col("_any"), F.array_join(F.filter(lines, lambda x, i: blank(x) | F.array_contains("_kept", i)), "\n")).otherwise(F.col("text"))
-    out = found.withColumn("text", text)
+    read = F.col("doc_id").isNotNull() & F.coalesce(~blank(F.col("text")), F.lit(False))
+    found = joined.select("row", "text", "flags", read.alias("read")).filter(~F.col("read") | F.col("flags").isNotNull())
+    stays = lambda x, i: blank(x) | (F.substring("flags", i + 1, F.lit(1)) == F.lit(b"1"))
+    text = F.when(F.col("read"), F.array_join(F.filter(F.split("text", "\n", -1), stays), "\n")).otherwise(F.col("text"))
+    out = found.select("row", "read", text.alias("text"))
+    row = F.col("row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_any"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        row = row.withField("n_chars", F.when(F.col("read"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")))
+    return out.select(row.alias("row")).select("row.*")
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
