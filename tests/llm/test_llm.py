@@ -401,3 +401,113 @@ def test_lines_of_a_very_frequent_token(spark, monkeypatch):
     assert got.columns == docs.columns
     want = line_oracle(rows)
     assert {r.doc_id: (r.text, r["_kept"], r["flags"], r.n_chars) for r in got.collect()} == {k: (t, "x", k, len(t)) for k, t in want.items()}
+
+
+def test_field_likelihood_is_that_of_brute_force():
+    rng = np.random.default_rng(1)
+    k = len(rules.FEATURES)
+    chains = [(rng.normal(size=(n, k)), rng.integers(0, 2, n), w) for n, w in ((1, 1.0), (3, 0.5), (5, 2.0))]
+    theta = rng.normal(size=k + 4) / 2
+
+    def score(f, y):
+        return sum(f[t] @ theta[:k] * y[t] for t in range(len(y))) + sum(theta[k + 2 * a + b] for a, b in zip(y, y[1:]))
+
+    want = 0.0
+    for f, y, w in chains:
+        every = [score(f, [int(c) for c in f"{m:0{len(f)}b}"]) for m in range(1 << len(f))]
+        want += w * (score(f, y.tolist()) - math.log(sum(map(math.exp, every))))
+    value, grad = rules.likelihood(theta, rules.Chains(chains))
+    assert math.isclose(value, want, rel_tol=1e-9)
+    for j in range(len(theta)):
+        step = np.zeros(len(theta))
+        step[j] = 1e-5
+        slope = (rules.likelihood(theta + step, rules.Chains(chains))[0] - rules.likelihood(theta - step, rules.Chains(chains))[0]) / 2e-5
+        assert abs(slope - grad[j]) < 1e-6
+
+
+def test_line_labels_keep_to_the_document():
+    score, words = np.array([3.0, -0.1, -2.0, 0.2]), np.array([10.0, 10.0, 10.0, 10.0])
+    assert rules.line_labels(score, words, True).tolist() == [1, 1, 0, 1]
+    assert rules.line_labels(score, words, False).tolist() == [1, 0, 0, 1]
+    assert rules.line_labels(np.ones(3), np.ones(3), False).sum() == 2 and rules.line_labels(-np.ones(3), np.ones(3), True).sum() == 3
+
+
+def test_lines_are_labelled_one_by_one(spark):
+    """Learned from documents' labels alone, the field marks planted boilerplate inside good documents and prose inside bad ones, and judges documents by shares."""
+    rng = random.Random(12)
+    prose = lambda: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(rng.randint(8, 20)))
+    menu = lambda: " | ".join("".join(rng.choices("ABCDEF", k=rng.randint(3, 6))) + "!!" for _ in range(rng.randint(8, 15)))
+    made, truth = [], {}
+    for k in range(240):
+        bad = k % 3 == 0
+        kinds = [rng.random() < (0.15 if bad else 0.88) for _ in range(rng.randint(6, 14))]
+        ls = [prose() if c else menu() for c in kinds]
+        share = sum(len(x.split()) for c, x in zip(kinds, ls, strict=True) if c) / sum(len(x.split()) for x in ls)
+        truth[k] = kinds, share >= rules.CONTENT_SHARE
+        made.append((k, "\n".join(ls), int(share >= rules.CONTENT_SHARE)))
+    docs = spark.createDataFrame([(k, t) for k, t, _ in made], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, q) for k, _, q in made if k % 2], "doc_id long, quality int")
+    weights = rules.fit(docs, labels)
+    got = {r.doc_id: r for r in rules.judge(docs, weights).collect()}
+    right = [rules.viterbi(rules.measure(t.encode())[1] @ weights[0], weights[1]).tolist() == [int(c) for c in truth[k][0]] for k, t, _ in made]
+    assert sum(right) > 0.95 * len(made)
+    assert sum(got[k].kept == truth[k][1] for k in truth if not got[k].base_failed) > 0.97 * len(made)
+    assert sum(0 < r.content_share < 1 for r in got.values()) > 0.6 * len(made)
+    assert rules.fit(docs, labels.limit(0)) is rules.FIXED
+
+
+def test_network_is_that_of_brute_force():
+    rng = np.random.default_rng(3)
+    net = convnet.Network()
+    net.dense, net.bias, net.out = rng.normal(size=len(net.dense)), rng.normal(size=convnet.FILTERS) / 3, np.array([0.3])
+    texts = [b"", b"abc", rng.integers(1, 256, 700, dtype=np.uint8).tobytes(), rng.integers(1, 256, 1500, dtype=np.uint8).tobytes()]
+    want = []
+    for t in texts:
+        each = []
+        for c in range(1 + max(0, -(-(len(t) - convnet.CHUNK) // convnet.STEP))):
+            chunk = t[c * convnet.STEP : c * convnet.STEP + convnet.CHUNK].ljust(convnet.CHUNK, b"\0")
+            windows = [np.concatenate([net.embed[b] for b in chunk[p : p + convnet.WIDTH]]) for p in range(0, convnet.CHUNK - convnet.WIDTH + 1, convnet.STRIDE)]
+            each.append([max(0.0, max(float(w @ net.filters[:, f]) for w in windows) + net.bias[f]) for f in range(convnet.FILTERS)])
+        v = np.concatenate((np.mean(each, axis=0), np.max(each, axis=0)))
+        want.append(1 / (1 + math.exp(-(float(v @ net.dense) + 0.3))))
+    assert np.allclose(net.score(texts), want, atol=1e-5)
+
+
+def test_network_gradient_is_the_slope():
+    rng = np.random.default_rng(5)
+    net = convnet.Network()
+    for n in convnet.WEIGHTS:
+        setattr(net, n, getattr(net, n).astype(np.float64))
+    net.dense, net.bias = rng.normal(size=len(net.dense)), np.full(convnet.FILTERS, 0.2)
+    texts = [rng.integers(1, 256, n, dtype=np.uint8).tobytes() for n in (30, 600, 1100)]
+    rows, counts = convnet.chunks(texts)
+    y, weight = np.array([1, 0, 1]), np.array([0.5, 1.0, 0.25])
+
+    def loss():
+        z = net.combine(net.pooled(rows)[0], counts)[0]
+        return float((weight * (np.log1p(np.exp(z)) - y * z)).sum())
+
+    grad = convnet.gradient(net, rows, counts, y, weight)
+    for n in convnet.WEIGHTS:
+        flat, slope = getattr(net, n).reshape(-1), grad[n].reshape(-1)
+        for j in rng.choice(len(flat), min(12, len(flat)), replace=False):
+            old = flat[j]
+            flat[j] = old + 1e-6
+            up = loss()
+            flat[j] = old - 1e-6
+            down = loss()
+            flat[j] = old
+            assert abs((up - down) / 2e-6 - slope[j]) < 1e-4, n
+
+
+def test_samples_and_stages_keep_rows(spark):
+    """Null ids, repeated rows, clashing columns and empty tables in the stages that filter."""
+    rows = [(None, "one two three four five six seven eight nine ten eleven", 1), (3, "short", 2), (3, "one two three four five six seven eight nine ten eleven", 3), (3, "one two three four five six seven eight nine ten eleven", 3), (4, None, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score long")
+    assert sorted(r.score for r in rules.keep(docs, rules.FIXED).collect()) == [1, 3, 3]
+    assert rules.keep(docs.limit(0), rules.FIXED).count() == 0
+    net = convnet.Network()
+    assert sorted(r.score for r in convnet.keep(docs, net, 0.0).collect()) == [1, 2, 3, 3, 4] and convnet.keep(docs, net, 1.1).count() == 0
+    assert convnet.keep(docs.limit(0), net).count() == 0
+    fit = convnet.fit(docs, spark.createDataFrame([(3, 1)], "doc_id long, quality int"))
+    assert all(abs(r.score - 0.999) < 1e-3 for r in convnet.score(docs, fit).collect())

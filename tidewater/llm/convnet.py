@@ -1,8 +1,7 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 A text's bytes are cut into overlapping chunks, so that every filter window lies in some chunk. Bytes become learned
-vectors; learned filters slide over each chunk and are max-pooled; so are runs that
-equal the bytes just before them. Means and maxima over all chunks enter one logistic unit.
+vectors; learned filters slide over each chunk and are max-pooled. Means and maxima over all chunks enter one logistic unit.
 """
 
 from __future__ import annotations
@@ -20,7 +19,6 @@ from tidewater.llm.rules import labelled_sample
 WIDTH, STRIDE, CHUNK = 8, 2, 512
 STEP = CHUNK - WIDTH + STRIDE
 EMBED, FILTERS = 8, 16
-LAGS = tuple(range(3, 21))
 #: Labelled documents of each quality to learn from, and the longest text among them.
 TRAIN_DOCS, TRAIN_BYTES, EPOCHS, SEED = 800, 32 << 10, 12, 7
 THRESHOLD = 0.3
@@ -40,27 +38,13 @@ def chunks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, counts
 
 
-def echo(rows: np.ndarray) -> np.ndarray:
-    """For each chunk the share of its bytes from which, for some lag, as many bytes as the lag equal those so far before: a word said again."""
-    found = np.zeros((len(rows), CHUNK), dtype=bool)
-    for lag in LAGS:
-        same = (rows[:, lag:] == rows[:, :-lag]) & (rows[:, lag:] != 0)
-        run = 1
-        while run < lag:  # ``same`` at p: the next ``run`` bytes all equal
-            step = min(run, lag - run)
-            same = same[:, :-step] & same[:, step:]
-            run += step
-        found[:, lag : lag + same.shape[1]] |= same
-    return found.sum(axis=1) / np.maximum((rows != 0).sum(axis=1), 32)
-
-
 class Network:
     def __init__(self, seed: int = SEED):
         rng = np.random.default_rng(seed)
         self.embed = rng.normal(0, 0.3, (256, EMBED)).astype(np.float32)
         self.filters = rng.normal(0, 0.15, (WIDTH * EMBED, FILTERS)).astype(np.float32)
         self.bias = np.zeros(FILTERS, dtype=np.float32)
-        self.dense = rng.normal(0, 0.1, 2 * FILTERS + 2).astype(np.float32)
+        self.dense = rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32)
         self.out = np.zeros(1, dtype=np.float32)
         self.prior = 0.0
 
@@ -83,49 +67,52 @@ class Network:
     def largest(self, rows: np.ndarray) -> np.ndarray:
         return np.concatenate([np.maximum((self.windows(rows[k : k + 64]).reshape(-1, WIDTH * EMBED) @ self.filters).reshape(len(rows[k : k + 64]), -1, FILTERS).max(axis=1) + self.bias, 0) for k in range(0, len(rows), 64)])
 
-    def combine(self, pooled: np.ndarray, repeat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Logit of each text, and the vectors that gave it."""
-        h = np.concatenate((pooled, repeat[:, None]), axis=1)
+    def combine(self, pooled: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logit of each text, and the vectors (means, then maxima, over its chunks) that gave it."""
         first = np.cumsum(counts) - counts
-        v = np.concatenate((np.add.reduceat(h, first) / counts[:, None], np.maximum.reduceat(h, first)), axis=1)
+        v = np.concatenate((np.add.reduceat(pooled, first) / counts[:, None], np.maximum.reduceat(pooled, first)), axis=1)
         return v @ self.dense + self.out[0], v
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         rows, counts = chunks(texts)
-        logit, _ = self.combine(self.largest(rows), echo(rows), counts)
+        logit, _ = self.combine(self.largest(rows), counts)
         return 1 / (1 + np.exp(-np.clip(logit + self.prior, -40, 40).astype(np.float64)))
 
 
+WEIGHTS = ("embed", "filters", "bias", "dense", "out")
+
+
+def gradient(net: Network, rows: np.ndarray, counts: np.ndarray, quality: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradient of the weighted logistic loss of texts (chunks in ``rows``, ``counts`` of them in each). A maximum that several chunks share is led to all of them in equal parts."""
+    pooled, place = net.pooled(rows)
+    logit, v = net.combine(pooled, counts)
+    error = ((1 / (1 + np.exp(-logit)) - quality) * weight).astype(net.dense.dtype)
+    first, doc = np.cumsum(counts) - counts, np.repeat(np.arange(len(counts)), counts)
+    dv = error[:, None] * net.dense
+    highest = np.maximum.reduceat(pooled, first)[doc] == pooled
+    shared = np.maximum(np.add.reduceat(highest.astype(net.dense.dtype), first)[doc], 1)
+    d = (dv[doc, :FILTERS] / counts[doc][:, None] + dv[doc, FILTERS:] * highest / shared) * (pooled > 0)
+    window = rows[np.arange(len(rows))[:, None, None], (place * STRIDE)[:, :, None] + np.arange(WIDTH)]
+    x = net.embed[window].reshape(len(rows), FILTERS, -1)
+    grad = {"filters": np.einsum("cf,cfk->kf", d, x), "bias": d.sum(axis=0), "dense": error @ v, "out": error.sum(keepdims=True), "embed": np.zeros_like(net.embed)}
+    np.add.at(grad["embed"], window.reshape(-1), (d[:, :, None] * net.filters.T).reshape(-1, EMBED))
+    return grad
+
+
 def train(texts: list[bytes], quality: np.ndarray, positive: float, epochs: int = EPOCHS) -> Network:
     """Adam on the logistic loss; texts of both classes count alike, then the share of label 1 shifts the logit."""
     net, rng = Network(), np.random.default_rng(SEED)
     weight = np.where(quality == 1, 0.5 / max((quality == 1).mean(), 1e-9), 0.5 / max((quality == 0).mean(), 1e-9))
     held = [chunks([t])[0] for t in texts]
-    repeat = [echo(h) for h in held]
-    names = ("embed", "filters", "bias", "dense", "out")
-    moment = {n: [np.zeros_like(getattr(net, n)), np.zeros_like(getattr(net, n))] for n in names}
+    moment = {n: [np.zeros_like(getattr(net, n)), np.zeros_like(getattr(net, n))] for n in WEIGHTS}
     step = 0
     for epoch in range(epochs):
         for batch in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // 32)):
             counts = np.array([len(held[k]) for k in batch])
-            rows = np.concatenate([held[k] for k in batch])
-            pooled, place = net.pooled(rows)
-            logit, v = net.combine(pooled, np.concatenate([repeat[k] for k in batch]), counts)
-            error = ((1 / (1 + np.exp(-logit)) - quality[batch]) * weight[batch] / len(batch)).astype(np.float32)
-            first, doc = np.cumsum(counts) - counts, np.repeat(np.arange(len(batch)), counts)
-            dv = error[:, None] * net.dense
-            d = dv[doc, :FILTERS] / counts[doc][:, None]
-            highest = np.maximum.reduceat(pooled, first)[doc] == pooled
-            d = (d + dv[doc, FILTERS + 1 : -1] * highest / np.maximum(np.add.reduceat(highest.astype(np.float32), first)[doc], 1)) * (pooled > 0)
-            at = place * STRIDE
-            window = rows[np.arange(len(rows))[:, None, None], at[:, :, None] + np.arange(WIDTH)]
-            x = net.embed[window].reshape(len(rows), FILTERS, -1)
-            grad = {"filters": np.einsum("cf,cfk->kf", d, x), "bias": d.sum(axis=0), "dense": error @ v + 1e-4 * net.dense, "out": error.sum(keepdims=True)}
-            back = (d[:, :, None] * net.filters.T).reshape(-1, EMBED)
-            grad["embed"] = np.zeros_like(net.embed)
-            np.add.at(grad["embed"], window.reshape(-1), back)
+            grad = gradient(net, np.concatenate([held[k] for k in batch]), counts, quality[batch], weight[batch] / len(batch))
+            grad["dense"] = grad["dense"] + 1e-4 * net.dense
             step += 1
-            for n in names:
+            for n in WEIGHTS:
                 a, b = moment[n]
                 a += 0.1 * (grad[n] - a)
                 b += 0.01 * (grad[n] ** 2 - b)
@@ -162,7 +149,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
 
 
 def keep(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents (all columns) with at least ``threshold``, in one pass over the rows."""
+    """The documents (all columns, whatever their names) with at least ``threshold``, in one pass over the rows; null ids and repeated rows are judged each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_groups(batches, 2 << 20):

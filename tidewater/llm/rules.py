@@ -1,8 +1,10 @@
 """Quality rules: counts over the whole text, and a linear-chain conditional random field over its lines.
 
 Each line with a word is a node with two labels, content and boilerplate. Viterbi decoding finds the best labelling, and the
-share of words in content lines decides whether a document stays. The field is trained on lines of a bounded sample of
-labelled documents, each line taking its document's label (weak labels); without labelled rows fixed weights serve.
+share of words in content lines decides whether a document stays. Nobody has labelled single lines, so the field learns from a
+bounded sample of labelled documents with the lines' labels latent: in turns, lines take the label that the field prefers,
+as far as a good document keeps at least CONTENT_SHARE of its words in content and a bad one stays below, and the field
+is trained on those chains. Without labelled rows fixed weights serve.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ WINDOW = 5
 TRAIN_DOCS, TRAIN_BYTES = 800, 32 << 10
 #: Training cuts longer chains into pieces of this many lines.
 TRAIN_LINES = 64
+#: How often lines are labelled anew and the field is trained on them.
+TURNS = 3
 #: Least share of words in content lines.
 CONTENT_SHARE = 0.7
 
@@ -117,48 +121,83 @@ def viterbi(emit: np.ndarray, move: np.ndarray) -> np.ndarray:
     return np.array(out[::-1])
 
 
-def train(chains: list[tuple[np.ndarray, int]], rounds: int = 200, rate: float = 0.15, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights by gradient ascent (Adam) on the conditional likelihood, from (features, label of all lines) of each chain."""
-    cut = [(f[k : k + TRAIN_LINES], y) for f, y in chains for k in range(0, len(f), TRAIN_LINES)]
-    if len({y for _, y in cut}) < 2:
-        return FIXED
-    long = max(len(f) for f, _ in cut)
-    x = np.zeros((len(cut), long, len(FEATURES)))
-    real = np.zeros((len(cut), long), dtype=bool)
-    y = np.array([label for _, label in cut])
-    for k, (f, _) in enumerate(cut):
-        x[k, : len(f)], real[k, : len(f)] = f, True
-    weight = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1))
-    theta = np.zeros(len(FEATURES) + 4)
+class Chains:
+    """Chains of (features, label of each line, weight), cut into pieces of TRAIN_LINES and filled up to one length."""
+
+    def __init__(self, chains: list[tuple[np.ndarray, np.ndarray, float]]):
+        cut = [(f[k : k + TRAIN_LINES], y[k : k + TRAIN_LINES], w) for f, y, w in chains for k in range(0, len(f), TRAIN_LINES)]
+        size = len(cut), max(len(f) for f, _, _ in cut)
+        self.x, self.real, self.y = np.zeros((*size, len(FEATURES))), np.zeros(size, dtype=bool), np.zeros(size, dtype=int)
+        self.weight = np.array([w for _, _, w in cut])
+        for k, (f, y, _) in enumerate(cut):
+            self.x[k, : len(f)], self.real[k, : len(f)], self.y[k, : len(f)] = f, True, y
+
+
+def likelihood(theta: np.ndarray, c: Chains) -> tuple[float, np.ndarray]:
+    """Weighted log-likelihood of the chains' labels, and its gradient, by the forward and backward sums. theta: emission weights, then moves [a, b]."""
+    k = len(FEATURES)
+    move, emit = theta[k:].reshape(2, 2), np.zeros((*c.real.shape, 2))
+    emit[:, :, 1] = c.x @ theta[:k]
+    ahead, behind = np.zeros_like(emit), np.zeros_like(emit)
+    ahead[:, 0] = emit[:, 0]
+    for t in range(1, emit.shape[1]):
+        new = np.logaddexp(ahead[:, t - 1, :1] + move[0], ahead[:, t - 1, 1:] + move[1]) + emit[:, t]
+        ahead[:, t] = np.where(c.real[:, t, None], new, ahead[:, t - 1])
+    for t in range(emit.shape[1] - 2, -1, -1):
+        after = emit[:, t + 1] + behind[:, t + 1]
+        new = np.logaddexp(move[:, 0] + after[:, :1], move[:, 1] + after[:, 1:])
+        behind[:, t] = np.where(c.real[:, t + 1, None], new, 0.0)
+    total = np.logaddexp(ahead[:, -1, 0], ahead[:, -1, 1])
+    pair, content = c.real[:, 1:], np.exp(ahead[:, :, 1] + behind[:, :, 1] - total[:, None]) * c.real
+    told = (emit[:, :, 1] * c.y * c.real).sum(axis=1) + (move[c.y[:, :-1], c.y[:, 1:]] * pair).sum(axis=1)
+    grad = np.zeros_like(theta)
+    grad[:k] = np.einsum("dt,dtf->f", (c.real * c.y - content) * c.weight[:, None], c.x)
+    for a in (0, 1):
+        for b in (0, 1):
+            expect = np.exp(ahead[:, :-1, a] + move[a, b] + emit[:, 1:, b] + behind[:, 1:, b] - total[:, None]) * pair
+            seen = pair * ((c.y[:, :-1] == a) & (c.y[:, 1:] == b))
+            grad[k + 2 * a + b] = ((seen - expect) * c.weight[:, None]).sum()
+    return float((c.weight * (told - total)).sum()), grad
+
+
+def train(c: Chains, theta: np.ndarray | None = None, rounds: int = 120, rate: float = 0.15, decay: float = 1e-3) -> np.ndarray:
+    """Emission weights and moves by gradient ascent (Adam) on the likelihood less ``decay`` halves of the squared weights."""
+    theta = np.zeros(len(FEATURES) + 4) if theta is None else theta.copy()
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, rounds + 1):
-        w, move = theta[: len(FEATURES)], theta[len(FEATURES) :].reshape(2, 2)
-        emit = np.zeros((len(cut), long, 2))
-        emit[:, :, 1] = x @ w
-        ahead, behind = np.zeros_like(emit), np.zeros_like(emit)
-        ahead[:, 0] = emit[:, 0]
-        for t in range(1, long):
-            new = np.logaddexp(ahead[:, t - 1, :1] + move[0], ahead[:, t - 1, 1:] + move[1]) + emit[:, t]
-            ahead[:, t] = np.where(real[:, t, None], new, ahead[:, t - 1])
-        for t in range(long - 2, -1, -1):
-            after = emit[:, t + 1] + behind[:, t + 1]
-            new = np.logaddexp(move[:, 0] + after[:, :1], move[:, 1] + after[:, 1:])
-            behind[:, t] = np.where(real[:, t + 1, None], new, behind[:, t + 1] * 0)
-        total = np.logaddexp(ahead[:, -1, 0], ahead[:, -1, 1])
-        content = np.exp(ahead[:, :, 1] + behind[:, :, 1] - total[:, None]) * real
-        grad = np.zeros_like(theta)
-        diff = (real * y[:, None] - content) * weight[:, None]
-        grad[: len(FEATURES)] = np.einsum("dt,dtf->f", diff, x)
-        pair = real[:, 1:]
-        for a in (0, 1):
-            for b in (0, 1):
-                expect = np.exp(ahead[:, :-1, a] + move[a, b] + emit[:, 1:, b] + behind[:, 1:, b] - total[:, None]) * pair
-                told = pair * ((y == a) & (y == b))[:, None]
-                grad[len(FEATURES) + 2 * a + b] = ((told - expect) * weight[:, None]).sum()
-        grad -= decay * theta
+        grad = likelihood(theta, c)[1] - decay * theta
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         theta = theta + rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return theta[: len(FEATURES)], theta[len(FEATURES) :].reshape(2, 2)
+    return theta
+
+
+def line_labels(score: np.ndarray, words: np.ndarray, good: bool) -> np.ndarray:
+    """Content (1) where the score is above zero, then as few lines changed, the least certain first, as the document's own label asks for."""
+    y = (score > 0).astype(int)
+    share = (y * words).sum() / words.sum()
+    for k in np.argsort(np.abs(score), kind="stable").tolist():
+        if (share >= CONTENT_SHARE) == good:
+            break
+        if y[k] != good:
+            y[k] = good
+            share = (y * words).sum() / words.sum()
+    return y
+
+
+def learn(chains: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Emission weights and moves from (features, words of each line, quality) of documents."""
+    quality = np.array([q for _, _, q in chains])
+    if len(set(quality.tolist())) < 2:
+        return FIXED
+    weight = np.where(quality == 1, 0.5 / (quality == 1).sum(), 0.5 / (quality == 0).sum())
+    k = len(FEATURES)
+    # To begin with, every line by itself, with its document's label.
+    theta = train(Chains([(f[j : j + 1], np.array([q]), w / len(f)) for (f, _, q), w in zip(chains, weight, strict=True) for j in range(len(f))]))
+    theta[k:] = 0
+    for _ in range(TURNS):
+        told = [(f, line_labels(f @ theta[:k], n, bool(q)), w) for (f, n, q), w in zip(chains, weight, strict=True)]
+        theta = train(Chains(told), theta)
+    return theta[:k], theta[k:].reshape(2, 2)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, longest: int) -> DataFrame:
@@ -172,7 +211,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, longest: int)
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     rows = labelled_sample(docs, labels, TRAIN_DOCS, TRAIN_BYTES).collect()  # bounded by TRAIN_DOCS and TRAIN_BYTES
     rows.sort(key=lambda r: (r.doc_id, r.text))
-    return train([(f, r.quality) for r in rows if len(f := measure(r.text.encode())[1])])
+    measured = [(*measure(r.text.encode())[1:], r.quality) for r in rows]
+    return learn([x for x in measured if len(x[0])])
 
 
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines long, content_lines long, content_share double"
@@ -203,7 +243,7 @@ def judge(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
 
 
 def keep(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """The documents (all columns) that the rules keep, in one pass over the rows."""
+    """The documents (all columns, whatever their names) that the rules keep, in one pass over the rows; null ids and repeated rows are judged each."""
     from pyspark.sql.types import StructType
 
     schema: StructType = docs.schema
