@@ -21,6 +21,8 @@ from tidewater.llm.common import fold, partitions, shared_dir, table, text_group
 
 #: Text that a worker holds as arrays at a time.
 GROUP = 8 << 20
+#: Distinct keys that a worker adds up before it passes them on.
+MERGED = 3_000_000
 #: The ids of "start of text" and "unknown word" as predecessors; real ids are below.
 START, UNKNOWN = (1 << 32) - 1, (1 << 32) - 2
 #: What the end of a text hashes as: no word holds a line feed.
@@ -60,17 +62,17 @@ def save(path: str, array: np.ndarray) -> None:
 
 
 class Lookup:
-    """Sorted uint64 keys in shards by their top bits, or by a hash of the pair."""
+    """Sorted uint64 keys in shards by range, or by a hash of the pair."""
 
-    def __init__(self, folder: str, name: str, bits: int):
-        self.bits = bits
-        self.keys = [np.load(f"{folder}/{name}_keys_{k}.npy", mmap_mode="r") if os.path.exists(f"{folder}/{name}_keys_{k}.npy") else None for k in range(1 << bits)]
+    def __init__(self, folder: str, name: str, shards: int):
+        self.shards = shards
+        self.keys = [_open(f"{folder}/{name}_keys_{k}.npy") for k in range(shards)]
 
     def find(self, keys: np.ndarray, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each shard: which of the (sorted, distinct) keys it holds, and where."""
         order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange((1 << self.bits) + 1))
-        for k in range(1 << self.bits):
+        cuts = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        for k in range(self.shards):
             own = order[cuts[k] : cuts[k + 1]]
             if len(own) and self.keys[k] is not None:
                 at = np.searchsorted(self.keys[k], keys[own])
@@ -79,26 +81,49 @@ class Lookup:
                 yield k, own[hit], at[hit]
 
 
-def top_bits(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), dtype=np.int64)
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Which of ``shards`` equal ranges of all 64-bit numbers each key lies in."""
+    return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def pair_shard(pairs: np.ndarray, bits: int) -> np.ndarray:
-    """A hash of the whole pair, so that a frequent predecessor's pairs spread over all shards."""
+def pair_shard(pairs: np.ndarray, shards: int) -> np.ndarray:
+    """By a hash of the whole pair, so that a frequent predecessor's pairs spread over all shards."""
     with np.errstate(over="ignore"):
-        return top_bits((pairs ^ pairs >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15), bits)
+        return shard_of((pairs ^ pairs >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15), shards)
+
+
+def summed(found: Iterator[tuple[np.ndarray, np.ndarray]], most: int = MERGED) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(distinct keys, counts) of several groups of text, added up until they hold ``most`` keys."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def one() -> tuple[np.ndarray, np.ndarray]:
+        if len(held) == 1:
+            return held[0]
+        keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        return keys[first], np.add.reduceat(n, first)
+
+    for pair in found:
+        held.append(pair)
+        if sum(len(k) for k, _ in held) > most:
+            yield one()
+            held.clear()
+    if held:
+        yield one()
 
 
 class Words:
     """Ids of words: the place of a hash in the sorted shards."""
 
-    def __init__(self, folder: str, bits: int, bases: list[int]):
-        self.lookup, self.bases = Lookup(folder, "word", bits), bases
+    def __init__(self, folder: str, shards: int, bases: list[int]):
+        self.lookup, self.bases = Lookup(folder, "word", shards), bases
 
     def ids(self, hashed: np.ndarray) -> np.ndarray:
         keys, back = np.unique(hashed, return_inverse=True)
         out = np.full(len(keys), UNKNOWN, dtype=np.uint64)
-        for k, own, at in self.lookup.find(keys, top_bits(keys, self.lookup.bits)):
+        for k, own, at in self.lookup.find(keys, shard_of(keys, self.lookup.shards)):
             out[own] = (self.bases[k] + at).astype(np.uint64)
         return out[back]
 
@@ -106,10 +131,10 @@ class Words:
 _models: dict = {}
 
 
-def _words(folder: str, bits: int, bases: list[int]) -> Words:
+def _words(folder: str, shards: int, bases: list[int]) -> Words:
     if (folder, "w") not in _models:
         _models.clear()
-        _models[folder, "w"] = Words(folder, bits, bases)
+        _models[folder, "w"] = Words(folder, shards, bases)
     return _models[folder, "w"]
 
 
@@ -142,14 +167,11 @@ def fit(docs: DataFrame) -> dict:
     """
     spark = docs.sparkSession
     folder = local_path(shared_dir(spark))
-    parts = partitions(spark)
-    bits = max(0, (parts - 1).bit_length())
-    shards = 1 << bits
+    shards = partitions(spark)
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in text_groups(batches, GROUP):
-            keys, n = np.unique(tokens(texts)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(top_bits(keys, bits), pa.int64()), pa.array(keys.view(np.int64) ^ np.int64(-(1 << 63))), pa.array(n, pa.int64())], names=["shard", "key", "n"])
+        for keys, n in summed(np.unique(tokens(texts)[0], return_counts=True) for _, texts in text_groups(batches, GROUP)):
+            yield pa.RecordBatch.from_arrays([pa.array(shard_of(keys, shards), pa.int64()), pa.array(keys.view(np.int64) ^ np.int64(-(1 << 63))), pa.array(n, pa.int64())], names=["shard", "key", "n"])
 
     def write_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, keys, n in by_shard(batches):
@@ -178,7 +200,8 @@ def fit(docs: DataFrame) -> dict:
         return (keys ^ np.int64(-(1 << 63))).view(np.uint64), n
 
     def spread(rows: DataFrame) -> DataFrame:
-        return rows.repartition(parts, "shard").groupBy("shard", "key").agg(F.sum("n").alias("n")).sortWithinPartitions("shard", "key")
+        """Each shard in the task of its number; the counts of one key, one for a group of texts at most, meet there."""
+        return rows.repartitionById(shards, F.col("shard").cast("int")).groupBy("shard", "key").agg(F.sum("n").alias("n")).sortWithinPartitions("shard", "key")
 
     text = docs.select("text")
     written = spread(text.mapInArrow(count_words, "shard long, key long, n long")).mapInArrow(write_words, "shard long, size long, total long").collect()  # a row for each shard
@@ -187,14 +210,17 @@ def fit(docs: DataFrame) -> dict:
     vocabulary, total = sum(sizes.values()), sum(r.total for r in written)
     if vocabulary >= UNKNOWN:
         raise ValueError("more than 2^32 distinct words")
-    model = {"folder": folder, "bits": bits, "bases": bases, "vocabulary": vocabulary, "total": total}
+    model = {"folder": folder, "shards": shards, "bases": bases, "vocabulary": vocabulary, "total": total}
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words(folder, bits, bases)
-        for _, texts in text_groups(batches, GROUP):
+        words = _words(folder, shards, bases)
+
+        def of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             hashed, counts = tokens(texts)
-            pairs, n = np.unique(_pairs(words.ids(hashed), counts), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pair_shard(pairs, bits)), pa.array(pairs.view(np.int64) ^ np.int64(-(1 << 63))), pa.array(n, pa.int64())], names=["shard", "key", "n"])
+            return np.unique(_pairs(words.ids(hashed), counts), return_counts=True)
+
+        for pairs, n in summed(of(texts) for _, texts in text_groups(batches, GROUP)):
+            yield pa.RecordBatch.from_arrays([pa.array(pair_shard(pairs, shards)), pa.array(pairs.view(np.int64) ^ np.int64(-(1 << 63))), pa.array(n, pa.int64())], names=["shard", "key", "n"])
 
     def write_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Writes the shards; passes on, for each word id, its pairs as predecessor (sum, and how many have count 1, 2, 3 or more) and as successor."""
@@ -248,7 +274,7 @@ def fit(docs: DataFrame) -> dict:
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([tally[k] for k in keys], pa.int64())], names=["kind", "level", "n"])
 
     block = F.when(F.col("id") == START, shards).otherwise(F.floor(F.col("id") / span))
-    tally = per_word.withColumn("block", block).repartition(parts, "block").drop("block").mapInArrow(write_sums, "kind long, level long, n long")
+    tally = per_word.withColumn("block", block.cast("int")).repartitionById(shards, F.col("block")).drop("block").mapInArrow(write_sums, "kind long, level long, n long")
     found = {(r.kind, r.level): r.n for r in tally.groupBy("kind", "level").agg(F.sum("n").alias("n")).collect()}  # at most ten rows
     model["d2"] = discounts([found.get((1, k), 0) for k in (1, 2, 3, 4)])
     model["d1"] = discounts([found.get((2, k), 0) for k in (1, 2, 3, 4)])
@@ -263,10 +289,10 @@ class Scorer:
 
     def __init__(self, model: dict):
         self.m = model
-        folder, shards = model["folder"], 1 << model["bits"]
-        self.words = Words(folder, model["bits"], model["bases"])
+        folder, shards = model["folder"], model["shards"]
+        self.words = Words(folder, shards, model["bases"])
         self.word_counts = [_open(f"{folder}/word_counts_{k}.npy") for k in range(shards)]
-        self.pairs = Lookup(folder, "pair", model["bits"])
+        self.pairs = Lookup(folder, "pair", shards)
         self.pair_counts = [_open(f"{folder}/pair_counts_{k}.npy") for k in range(shards)]
         self.sums = [_open(f"{folder}/sums_{k}.npy") for k in range(shards + 1)]
 
@@ -300,7 +326,7 @@ class Scorer:
         keys, back = np.unique(_pairs(ids, counts), return_inverse=True)
         before, word = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
         count = np.zeros(len(keys))
-        for k, own, at in self.pairs.find(keys, pair_shard(keys, self.pairs.bits)):
+        for k, own, at in self.pairs.find(keys, pair_shard(keys, self.pairs.shards)):
             count[own] = self.pair_counts[k][at]
         distinct, at_word = np.unique(word, return_inverse=True)
         prior = self.sums_of(distinct)[4]
@@ -322,7 +348,11 @@ def _open(path: str):
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score, perplexity of each whole text; a null text is one end token."""
+    """doc_id, n_tokens, n_known, base_score, score, perplexity of each whole text.
+
+    A null or empty text is one end token. Null and repeated doc_ids are rows like others, extra columns are ignored, an
+    empty table gives no row, and a text is scored whole, however long.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if model["folder"] not in _models:
