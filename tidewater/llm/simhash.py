@@ -126,7 +126,8 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component (smallest node reachable) of every node with an edge, by alternating large and small stars.
 
     Each round is a few keyed joins and aggregates; a node's neighbours are never collected. Each round's edges are
-    written to the shared folder; only a count and a checksum reach the driver.
+    written to the shared folder; only a count and a checksum reach the driver. The least neighbours are written before
+    they are joined, so that both sides of a join are plain exchanges, of which Spark splits a hub's part among tasks.
     """
     now, before = stash(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()), None
     while True:
@@ -135,9 +136,9 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = (sign.n, sign.s)
         both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = stash(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct())
+        low = stash(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         now = stash(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u > v").distinct())
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
