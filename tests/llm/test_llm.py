@@ -511,3 +511,26 @@ def test_samples_and_stages_keep_rows(spark):
     assert convnet.keep(docs.limit(0), net).count() == 0
     fit = convnet.fit(docs, spark.createDataFrame([(3, 1)], "doc_id long, quality int"))
     assert all(abs(r.score - 0.999) < 1e-3 for r in convnet.score(docs, fit).collect())
+
+
+def test_licence_families_are_told_apart(spark):
+    notice = "This program is free software: you can redistribute it and/or modify\n it under the terms of the GNU {} Public License as published by\n the Free Software Foundation, either version 3 of the License, or\n (at your option) any later version.\nint main"
+    files = {
+        "a/COPYING": ("GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n\n Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.", "GPL-3.0"),
+        "b/COPYING": ("GNU AFFERO GENERAL PUBLIC LICENSE\n Version 3, 19 November 2007\n\n Everyone is permitted to copy", "AGPL-3.0"),
+        "c/COPYING.LESSER": ("GNU LESSER GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n", "LGPL-3.0"),
+        "d/COPYING": ("GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991\n\nCopyright (C) 1989", "GPL-2.0"),
+        "e/gpl.c": (notice.format("General"), "GPL-3.0"),
+        "e/agpl.c": (notice.format("Affero General"), "AGPL-3.0"),
+        "e/lgpl.c": (notice.format("Lesser General"), "LGPL-3.0"),
+        "f/isc.c": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\nx = 1", "ISC"),
+        "g/mit.c": ("// SPDX-License-Identifier: MIT\nint x;", "MIT"),
+        "g/apache.c": ("# SPDX-License-Identifier: Apache-2.0\nimport os", "Apache-2.0"),
+        "h/deep/er/x.c": ("code", None),
+        "a/deep/er/x.c": ("code", "GPL-3.0"),
+        "h/null.c": (None, None),
+    }
+    rows = [(p, t, 1.0) for p, (t, _) in files.items()] * 2 + [(None, "Released under the MIT License.", 1.0)] + [(f"k{k}/x.c", f"some ordinary words of code number {k} version file", 1.0) for k in range(200)]
+    got = {r.path: r for r in licences.scan(spark.createDataFrame(rows, "path string, text string, score double")).collect()}
+    assert {p: got[p].licence for p in files} == {p: name for p, (_, name) in files.items()}
+    assert len(got) == len(files) + 200 and got["a/deep/er/x.c"].origin == "a/COPYING" and all(got[f"k{k}/x.c"].licence is None for k in range(200))
