@@ -51,11 +51,21 @@ def segments(text: Column, specials: list[str]) -> Column:
     return F.when(has, F.regexp_extract_all(text, F.lit(full), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(plain), F.lit(0)))
 
 
+def _by_byte(numbers: np.ndarray) -> bytes:
+    """The lowest bytes of all numbers, then the next ones: those of small numbers are runs of zeros."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1).T).tobytes()
+
+
+def _from_bytes(raw: bytes, kind: type, n: int, at: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).view(kind).reshape(n)
+
+
 def _pack(parts: list[bytes], *numbers: np.ndarray) -> bytes:
     """Byte strings and int64 arrays as one compressed value."""
     sizes = np.array([len(p) for p in parts], dtype=np.uint32)
     heads = np.array([len(parts), len(numbers), *(len(n) for n in numbers)], dtype=np.int64)
-    return zstandard.compress(b"".join([heads.tobytes(), sizes.tobytes(), *(n.astype(np.int64).tobytes() for n in numbers), *parts]), 9)
+    return zstandard.compress(b"".join([heads.tobytes(), _by_byte(sizes), *(_by_byte(n.astype(np.int64)) for n in numbers), *parts]), 9)
 
 
 def _unpack(value: bytes) -> tuple[list[bytes], list[np.ndarray]]:
@@ -63,11 +73,11 @@ def _unpack(value: bytes) -> tuple[list[bytes], list[np.ndarray]]:
     n, k = np.frombuffer(raw, np.int64, 2).tolist()
     counts = np.frombuffer(raw, np.int64, k, 16).tolist()
     at = 16 + 8 * k
-    sizes = np.frombuffer(raw, np.uint32, n, at)
+    sizes = _from_bytes(raw, np.uint32, n, at)
     at += 4 * n
     numbers = []
     for c in counts:
-        numbers.append(np.frombuffer(raw, np.int64, c, at))
+        numbers.append(_from_bytes(raw, np.int64, c, at))
         at += 8 * c
     ends = (at + np.cumsum(sizes, dtype=np.int64)).tolist()
     return [raw[a:b] for a, b in zip([at, *ends], ends, strict=False)], numbers
