@@ -534,3 +534,13 @@ def test_licence_families_are_told_apart(spark):
     got = {r.path: r for r in licences.scan(spark.createDataFrame(rows, "path string, text string, score double")).collect()}
     assert {p: got[p].licence for p in files} == {p: name for p, (_, name) in files.items()}
     assert len(got) == len(files) + 200 and got["a/deep/er/x.c"].origin == "a/COPYING" and all(got[f"k{k}/x.c"].licence is None for k in range(200))
+
+
+def test_packed_words_come_back():
+    rng = random.Random(3)
+    words_ = sorted(bytes(rng.choices([0, 97, 98, 99], k=rng.randint(0, 30))) for _ in range(500))
+    for some in ([], [b""], [b"a", b"a\0", b"a\0\0b"], words_, words_[::-1]):
+        assert bpe._unpack_words(bpe._pack_words(some)) == some
+    numbers = np.array([0, 1, 255, 256, 1 << 40, -1])
+    parts, (back, none) = bpe._unpack(bpe._pack([b"", b"xy"], numbers, numbers[:0]))
+    assert parts == [b"", b"xy"] and back.tolist() == numbers.tolist() and len(none) == 0

@@ -83,6 +83,26 @@ def _unpack(value: bytes) -> tuple[list[bytes], list[np.ndarray]]:
     return [raw[a:b] for a, b in zip([at, *ends], ends, strict=False)], numbers
 
 
+def _pack_words(words: list[bytes]) -> bytes:
+    """A list of words, each without what it shares with the word before (16 bytes at most)."""
+    if not words:
+        return _pack([], np.zeros(0, dtype=np.int64))
+    heads = np.array(words, dtype="S16").view(np.uint8).reshape(len(words), 16)
+    sizes = np.array([len(w) for w in words], dtype=np.int64)
+    same = np.cumprod(heads[1:] == heads[:-1], axis=1).sum(axis=1)
+    shared = np.concatenate(([0], np.minimum(same, np.minimum(sizes[1:], sizes[:-1]))))
+    return _pack([w[n:] for w, n in zip(words, shared.tolist(), strict=True)], shared)
+
+
+def _unpack_words(value: bytes) -> list[bytes]:
+    rests, (shared,) = _unpack(value)
+    last, out = b"", []
+    for rest, n in zip(rests, shared.tolist(), strict=True):
+        last = last[:n] + rest
+        out.append(last)
+    return out
+
+
 def _planes(numbers: np.ndarray) -> list[bytes]:
     """Numbers below 2**28 as byte strings: a leading byte for each, then the further bytes of middle and of large numbers, apart.
 
@@ -147,7 +167,7 @@ def blocks(docs: DataFrame, specials: list[str], parts: int) -> DataFrame:
                 number, lists, runs = numbered(flat, words, parts)
                 null = np.array([d is None for d in ids], dtype=np.int64)
                 documents = _pack(_planes(number[flat]), np.array([d or 0 for d in ids]), null, np.concatenate(counts), runs)
-                payload = [_pack(x) for x in lists] + [documents]
+                payload = [_pack_words(x) for x in lists] + [documents]
                 n = len(payload)
                 yield pa.RecordBatch.from_arrays([pa.array([0] * parts + [1], pa.int32()), pa.array([block] * n, pa.int64()), pa.array([*range(parts), parts], pa.int32()), pa.array(payload, pa.binary())], names=["kind", "block", "part", "payload"])
                 block += 1
@@ -184,7 +204,7 @@ def word_ids(lists: DataFrame, path: str) -> DataFrame:
             for row in batch.to_pylist():
                 if row["part"] != last:
                     known, last = {}, row["part"]
-                words, _ = _unpack(row["payload"])
+                words = _unpack_words(row["payload"])
                 new = [w for w in words if w not in known]
                 for w, ids in zip(new, ids_of(tok, [w.decode() for w in new]), strict=True):
                     known[w] = ids
