@@ -53,7 +53,7 @@ def segments(text: Column, specials: list[str]) -> Column:
 
 def _by_byte(numbers: np.ndarray) -> bytes:
     """The lowest bytes of all numbers, then the next ones: those of small numbers are runs of zeros."""
-    return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1).T).tobytes()
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T).tobytes()
 
 
 def _from_bytes(raw: bytes, kind: type, n: int, at: int) -> np.ndarray:
