@@ -30,8 +30,8 @@ SALT_LEVEL = 6
 
 
 def line_words(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """doc_id, version, line (place from 0), w (words) of each line, or of those in ``only`` (doc_id, version, line); a line without a word has none."""
-    lines = docs.select("doc_id", "version", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "content"))
+    """doc_id, version, line (place from 0), w (words) of each line with a word, or of those in ``only`` (doc_id, version, line)."""
+    lines = docs.select("doc_id", "version", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "content")).filter(F.col("content").rlike(WORD_PATTERN))
     if only is not None:
         lines = lines.join(only, LINE, "left_semi")
     return lines.select(*LINE, words(F.col("content")).alias("w"))
@@ -43,9 +43,9 @@ def _shingle(i: Column) -> Column:
 
 
 def line_tokens(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """doc_id, version, line, tokens (distinct hashes; none for a line without a word)."""
+    """doc_id, version, line, tokens (distinct hashes) of each line with a word. (Filter lines before this: Spark would make the tokens anew, word by word, for a filter on them.)"""
     many = F.transform(F.sequence(F.lit(0), F.size("w") - SHINGLE), _shingle)
-    tokens = F.when(F.size("w") >= SHINGLE, F.array_distinct(many)).when(F.size("w") > 0, F.array(_shingle(F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
+    tokens = F.when(F.size("w") >= SHINGLE, F.array_distinct(many)).otherwise(F.array(_shingle(F.lit(0))))
     return line_words(docs, only).select(*LINE, tokens.alias("tokens"))
 
 
@@ -85,7 +85,7 @@ def line_sets(docs: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     n = F.size("ordered")
     ordered = tokens.select(*LINE, F.sort_array(F.transform("tokens", key)).alias("ordered"))
     prefix = F.slice("ordered", 1, n - F.ceil(n * jaccard - 1e-9).cast("int") + 1)
-    each = ordered.filter(n > 0).select(F.struct(F.xxhash64("ordered").alias("a"), F.hash("ordered").alias("b"), n.alias("size")).alias("set"), *LINE, prefix.alias("prefix"))
+    each = ordered.select(F.struct(F.xxhash64("ordered").alias("a"), F.hash("ordered").alias("b"), n.alias("size")).alias("set"), *LINE, prefix.alias("prefix"))
     firsts = each.groupBy("set").agg(F.min(F.struct(*LINE, "prefix")).alias("f"))
     return firsts.select("set", *[f"f.{c}" for c in LINE], F.col("set.size").alias("size"), "f.prefix")
 
