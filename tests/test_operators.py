@@ -67,7 +67,7 @@ def test_latest_and_upsert(spark, tmp_path):
     path = str(tmp_path / "dim")
     sinks.upsert(spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "id int, ts int, v string"), path, ["id"], ["ts"])
     sinks.upsert(spark.createDataFrame([(1, 1, "old"), (2, 1, "c")], "id int, ts int, v string"), path, ["id"], ["ts"])
-    assert sorted((r.id, r.v) for r in spark.read.parquet(path).collect()) == [(1, "b"), (2, "c")]
+    assert sorted((r.id, r.v) for r in sinks.read_keyed(spark, path).collect()) == [(1, "b"), (2, "c")]
 
 
 def test_routing(spark):

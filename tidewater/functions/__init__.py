@@ -78,7 +78,7 @@ def has_key(m: Column, key: str) -> Column:
 
 def keep_keys(m: Column, comma_list: Column) -> Column:
     """The map's entries whose keys stand in a comma list."""
-    return F.map_filter(m, lambda k, v: F.array_contains(F.transform(F.split(comma_list, ","), F.trim), k))
+    return F.map_filter(m, lambda k, v: F.array_contains(F.transform(F.split(comma_list, ","), lambda name: F.trim(name)), k))
 
 
 def is_json(text: Column) -> Column:
@@ -109,3 +109,13 @@ def camel(name: str) -> str:
     """lower_underscore to lowerCamel."""
     head, *rest = name.lower().split("_")
     return head + "".join(w.capitalize() for w in rest)
+
+
+def unix_now() -> Column:
+    """Seconds since 1970 as of the query's start; a version number, not to be compared."""
+    return F.unix_timestamp()
+
+
+def changed_or_created(data: Column) -> Column:
+    """Event time of a change record's values: ``operate_time``, else ``create_time``."""
+    return F.coalesce(pick(data, "operate_time"), pick(data, "create_time"))

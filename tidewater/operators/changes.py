@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import as_int, has_key, keep_keys, pick
 from tidewater.sinks import latest
+from tidewater.sources import order_details
 
 INSERTS, WRITES = ("insert",), ("bootstrap-insert", "insert", "update")
 
@@ -50,6 +51,11 @@ def favoured(column: str = "is_cancel") -> Column:
     return (F.col("type") == "insert") | F.coalesce(back, F.lit(False))
 
 
+def inserted_details(values: DataFrame) -> DataFrame:
+    """Order details of type insert from a stream of their JSON texts; empty texts, by which an upsert stream deletes, are left out."""
+    return order_details(values.filter(F.col("value") != "")).filter("type = 'insert'")
+
+
 def route(changes: DataFrame, config: DataFrame) -> DataFrame:
     """Records of configured tables, deletes dropped: sink_table, sink_pk, ts and ``data`` with the configured columns only.
 

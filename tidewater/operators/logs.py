@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import is_json, is_json_object, split_words
@@ -40,6 +42,52 @@ def fan_out(log: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def routed(log: DataFrame) -> DataFrame:
+    """route, page_id, ts, body (JSON) of all five outputs of parsed logs, in one pass: each row becomes as many as it has routes."""
+    page = F.col("start").isNull() & F.col("page").isNotNull()
+    whole = F.to_json(F.struct("common", "page", "displays", "actions", "err", "ts"))
+    one = lambda route, body: F.array(F.struct(F.lit(route).alias("route"), body.alias("body")))
+    each = lambda route, items: F.transform(F.coalesce(F.col(items), F.array()), lambda x: F.struct(F.lit(route).alias("route"), F.to_json(x).alias("body")))
+    none = F.array().cast("array<struct<route: string, body: string>>")
+    if_any = lambda c, rows: F.when(c, rows).otherwise(none)
+    outputs = F.concat(
+        if_any(F.col("err").isNotNull(), one("error", whole)),
+        if_any(F.col("start").isNotNull(), one("start", F.to_json(F.struct("common", "start", "ts")))),
+        if_any(page, one("page", F.to_json(F.struct("common", "page", "ts")))),
+        if_any(page, each("display", "displays")),
+        if_any(page, each("action", "actions")),
+    )
+    return log.select(F.explode(outputs).alias("o"), F.col("page.page_id").alias("page_id"), "ts").select("o.route", "page_id", "ts", "o.body")
+
+
+def session_entries(pages: DataFrame) -> DataFrame:
+    """Page rows that no other page led to."""
+    return pages.filter(F.col("page.last_page_id").isNull())
+
+
+def logged_in_entries(pages: DataFrame) -> DataFrame:
+    """Session entries of a user who is logged in."""
+    return session_entries(pages).filter(F.col("common.uid").isNotNull())
+
+
+def of_pages(pages: DataFrame, *names: str) -> DataFrame:
+    """Rows of the named pages."""
+    return pages.filter(F.col("page.page_id").isin(*names))
+
+
+def searches(pages: DataFrame) -> DataFrame:
+    """Page rows that show the result of a keyword search, with ``keyword``: what was searched for."""
+    found = (F.col("page.last_page_id") == "search") & (F.col("page.item_type") == "keyword") & F.col("page.item").isNotNull()
+    return pages.filter(found).withColumn("keyword", F.col("page.item"))
+
+
+def explode_words(rows: DataFrame, text: str, tokenizer: Callable[[Column], Column] = split_words) -> DataFrame:
+    """``rows`` with ``word``, a row for each word of ``text``. ``tokenizer``: a column function, or a Pandas UDF of a
+    segmenter, from text to an array of words; where it gives null, as for a text that it cannot cut, the whole text is the word."""
+    words = F.coalesce(tokenizer(F.col(text)), F.array(F.col(text)))
+    return rows.withColumn("word", F.explode(words))
+
+
 def repair_is_new(rows: DataFrame, key: str, day: str, flag: str, order: list[str]) -> DataFrame:
     """New-visitor flag 1 on another day than the key's first visit becomes 0.
 
@@ -72,4 +120,4 @@ def bounces(rows: DataFrame, key: str, ts: str, tie: str, entry: str, bound: str
 
 def keyword_counts(rows: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """Words of a text column counted by the keys."""
-    return rows.select(*keys, F.explode(split_words(F.col(text))).alias("word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("ct"))
+    return explode_words(rows.select(*keys, text), text).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("ct"))

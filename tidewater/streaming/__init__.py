@@ -31,6 +31,11 @@ def join_within(left: DataFrame, right: DataFrame, key: str, left_ts: str, right
     return a.join(b, near, "left_outer" if how == "left" else how).drop("_k")
 
 
+def in_order(rows: DataFrame, ts: str) -> DataFrame:
+    """Watermark of a source whose times only grow: nothing is waited for."""
+    return rows.withWatermark(ts, "0 seconds")
+
+
 def keep_latest(rows: DataFrame, path: str, keys: list[str], order: list[str], checkpoint: str):
     """Stream into a table with the latest row of each key."""
     return stream_batches(rows, lambda batch, _: upsert(batch, path, keys, order), checkpoint)
@@ -87,25 +92,33 @@ def bounces(rows: DataFrame, ts: str, bound_ms: int, delay: str = "2 seconds") -
     return timed.groupBy("user_id").transformWithStateInPandas(_Bounces(bound_ms), "user_id long, event_id long, ts_ms long", "Append", "EventTime")
 
 
+#: Days before a key's newest one that its state remembers; rows of older days count as days seen.
+KEPT_DAYS = 35
+
+
 class _Days(StatefulProcessor):
-    """Per key the first day, the last day and the first flag seen; ``judge`` turns a row and that state into output columns."""
+    """Per key the first day and the recent days seen; ``judge`` turns a row and those into output columns and the new first day."""
 
     def __init__(self, judge, ttl_ms: int | None = None):
         self.judge, self.ttl = judge, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("days", "first long, last long", ttlDurationMs=self.ttl)
+        self.state = handle.getValueState("days", "first long, days array<long>", ttlDurationMs=self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first, last = self.state.get() if self.state.exists() else (None, None)
+        first, days = self.state.get() if self.state.exists() else (None, [])
+        days = {int(d) for d in days}
         table = pd.concat(list(rows)).sort_values(["ts_ms", "event_id"])
         out = []
         for ts, event, flag in zip(table.ts_ms, table.event_id, table.flag, strict=True):
             day = int(ts) // DAY_MS
-            row, first, last = self.judge(day, int(flag), first, last)
+            known = day in days or bool(days) and day < max(days) - KEPT_DAYS
+            row, first = self.judge(day, int(flag), first, days, known)
+            days.add(day)
             if row is not None:
                 out.append((key[0], int(event), *row))
-        self.state.update((first, last))
+        newest = max(days)
+        self.state.update((first, sorted(d for d in days if d >= newest - KEPT_DAYS)))
         if out:
             yield pd.DataFrame(out, columns=["user_id", "event_id", "a", "b"])
 
@@ -113,42 +126,39 @@ class _Days(StatefulProcessor):
         pass
 
 
-def _repair(day, flag, first, last):
+def _repair(day, flag, first, days, known):
     first = (day if flag else day - 1) if first is None else first
-    return (0 if flag and day != first else flag, 0), first, day
+    return (0 if flag and day != first else flag, 0), first
 
 
 def _returning(gap):
-    def judge(day, flag, first, last):
-        if last == day:
-            return None, first, last
-        return (1, int(last is not None and day - last >= gap)), day if first is None else first, day
+    def judge(day, flag, first, days, known):
+        before = max((d for d in days if d < day), default=None)
+        return None if known else (1, int(before is not None and day - before >= gap)), day if first is None else first
 
     return judge
 
 
-def _debut(day, flag, first, last):
-    if last == day:
-        return None, first, last
-    return (1, int(first is None)), day if first is None else first, day
+def _debut(day, flag, first, days, known):
+    return None if known else (1, int(first is None)), day if first is None else first
 
 
-def _days(rows: DataFrame, ts: str, judge, ttl_ms: int | None = None) -> DataFrame:
+def _days(rows: DataFrame, ts: str, judge, ttl_ms: int | None) -> DataFrame:
     flag = F.col("flag") if "flag" in rows.columns else F.lit(0)
     timed = rows.select("user_id", "event_id", flag.cast("int").alias("flag"), F.unix_millis(ts).alias("ts_ms"))
     return timed.groupBy("user_id").transformWithStateInPandas(_Days(judge, ttl_ms), "user_id long, event_id long, a int, b int", "Update", "ProcessingTime")
 
 
-def repair_is_new(rows: DataFrame, ts: str) -> DataFrame:
-    """user_id, event_id, is_new: the flag repaired by the key's first visit; rows of a key in time order across batches."""
-    return _days(rows, ts, _repair).select("user_id", "event_id", F.col("a").alias("is_new"))
+def repair_is_new(rows: DataFrame, ts: str, ttl_ms: int | None = None) -> DataFrame:
+    """user_id, event_id, is_new: the flag repaired by the key's first visit; rows of a key in time order across batches. ``ttl_ms``: forget keys unseen for so long."""
+    return _days(rows, ts, _repair, ttl_ms).select("user_id", "event_id", F.col("a").alias("is_new"))
 
 
-def returning_users(rows: DataFrame, ts: str, gap: int = 8) -> DataFrame:
-    """user_id, event_id, uu, back for the first row of each user and day."""
-    return _days(rows, ts, _returning(gap)).select("user_id", "event_id", F.col("a").alias("uu"), F.col("b").alias("back"))
+def returning_users(rows: DataFrame, ts: str, gap: int = 8, ttl_ms: int | None = None) -> DataFrame:
+    """user_id, event_id, uu, back for the first arrival of each user and day, late days included: each user and day comes out once."""
+    return _days(rows, ts, _returning(gap), ttl_ms).select("user_id", "event_id", F.col("a").alias("uu"), F.col("b").alias("back"))
 
 
-def order_users(rows: DataFrame, ts: str) -> DataFrame:
+def order_users(rows: DataFrame, ts: str, ttl_ms: int | None = None) -> DataFrame:
     """user_id, event_id, uu, first_ever for the first order of each user and day."""
-    return _days(rows, ts, _debut).select("user_id", "event_id", F.col("a").alias("uu"), F.col("b").alias("first_ever"))
+    return _days(rows, ts, _debut, ttl_ms).select("user_id", "event_id", F.col("a").alias("uu"), F.col("b").alias("first_ever"))
