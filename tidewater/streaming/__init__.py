@@ -146,7 +146,10 @@ def _debut(day, flag, first, days, known):
 def _days(rows: DataFrame, ts: str, judge, ttl_ms: int | None) -> DataFrame:
     flag = F.col("flag") if "flag" in rows.columns else F.lit(0)
     timed = rows.select("user_id", "event_id", flag.cast("int").alias("flag"), F.unix_millis(ts).alias("ts_ms"))
-    return timed.groupBy("user_id").transformWithStateInPandas(_Days(judge, ttl_ms), "user_id long, event_id long, a int, b int", "Update", "ProcessingTime")
+    # A time-to-live needs processing time, in which Spark never runs out of batches without data, so that "availableNow" does not
+    # end unless spark.sql.streaming.noDataMicroBatches.enabled is off.
+    mode = "ProcessingTime" if ttl_ms else "None"
+    return timed.groupBy("user_id").transformWithStateInPandas(_Days(judge, ttl_ms), "user_id long, event_id long, a int, b int", "Update", mode)
 
 
 def repair_is_new(rows: DataFrame, ts: str, ttl_ms: int | None = None) -> DataFrame:
