@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.functions import as_amount, as_int, compare_times, date_part, day_text, days_between, flag, from_millis, is_json, is_json_object, pick, row_json, split_words, time_text, to_millis, whole_days
+from tidewater.functions import as_amount, as_int, changed_or_created, compare_times, date_part, day_text, days_between, flag, from_millis, is_json, is_json_object, pick, row_json, split_words, time_text, to_millis, whole_days
 from tidewater.operators import changes as ch
 from tidewater.operators import logs, windows
 from tidewater.sinks import latest
@@ -143,21 +143,36 @@ def lookup_two_roles(spark, d):
     return rows.groupBy("customer_nation", "supplier_nation").agg(F.count(F.lit(1)).alias("n"))
 
 
-def order_detail_wide(spark, d):
+def wide_details(spark, d):
     details = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("order_detail_id"), "l_partkey", F.col("l_extendedprice").alias("order_price"), F.col("l_quantity").alias("sku_num"), F.concat(F.lit("c"), F.col("l_suppkey") % 25).alias("source_type"))
     orders = t(spark, d, "orders").select(F.col("o_orderkey").alias("order_id"), "o_custkey", "o_orderstatus")
     activities = details.filter("l_partkey % 3 = 0").select("order_detail_id", F.col("l_partkey").alias("activity_id")).distinct()
     coupons = details.filter("l_partkey % 5 = 0").select("order_detail_id", F.col("l_partkey").alias("coupon_id")).distinct()
     dictionary = t(spark, d, "nation").select(F.concat(F.lit("c"), F.col("n_nationkey")).alias("dic_code"), F.col("n_name").alias("dic_name"))
-    wide = ch.order_detail_wide(details, orders, activities, coupons, dictionary)
-    return wide.groupBy("dic_name", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.count("activity_id").alias("activities"), F.count("coupon_id").alias("coupons"), F.sum(F.col("split_original_amount").cast("decimal(18,2)")).cast("double").alias("original"))
+    return ch.order_detail_wide(details, orders, activities, coupons, dictionary)
 
 
-def payment_success(spark, d):
+def order_detail_fact(spark, d):
+    return wide_details(spark, d).select("order_detail_id", "order_id", "o_custkey", "o_orderstatus", "activity_id", "coupon_id", "dic_name", F.col("split_original_amount").cast("decimal(18,2)").cast("double").alias("split_original_amount"))
+
+
+def order_detail_wide(spark, d):
+    return wide_details(spark, d).groupBy("dic_name", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.count("activity_id").alias("activities"), F.count("coupon_id").alias("coupons"), F.sum(F.col("split_original_amount").cast("decimal(18,2)")).cast("double").alias("original"))
+
+
+def paid(spark, d):
     payments = t(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("user_id"), F.concat(F.lit("c"), F.col("o_custkey") % 25).alias("payment_type_code"))
     details = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_suppkey").alias("user_id"), "l_linenumber", "l_extendedprice")
     dictionary = t(spark, d, "nation").select(F.concat(F.lit("c"), F.col("n_nationkey")).alias("dic_code"), F.col("n_name").alias("dic_name"))
-    return ch.paid_details(payments, details, dictionary).groupBy("payment_type_name").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"), total("l_extendedprice").alias("paid"))
+    return ch.paid_details(payments, details, dictionary)
+
+
+def payment_fact(spark, d):
+    return paid(spark, d).select("order_id", "user_id", "l_linenumber", "l_extendedprice", "payment_type_code", "payment_type_name")
+
+
+def payment_success(spark, d):
+    return paid(spark, d).groupBy("payment_type_name").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"), total("l_extendedprice").alias("paid"))
 
 
 def _refund_parts(spark, d):
@@ -167,19 +182,33 @@ def _refund_parts(spark, d):
     return returned, orders, dictionary
 
 
-def refund_request(spark, d):
+def refunds_asked(spark, d):
     returned, orders, dictionary = _refund_parts(spark, d)
     refunds = returned.select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("sku_id"), "l_quantity", (F.col("l_partkey") % 25).alias("refund_type_code"), (F.col("l_suppkey") % 25).alias("refund_reason_type_code"))
-    out = ch.refund_requests(refunds, orders, dictionary)
-    return out.groupBy("province_id", "refund_type_name").agg(F.count(F.lit(1)).alias("n"), F.count("refund_reason_type_name").alias("reasons"), total("l_quantity").alias("quantity"))
+    return ch.refund_requests(refunds, orders, dictionary)
 
 
-def refund_payment(spark, d):
+def refund_request_fact(spark, d):
+    return refunds_asked(spark, d).select("order_id", "sku_id", "l_quantity", "province_id", "refund_type_name", "refund_reason_type_name")
+
+
+def refund_request(spark, d):
+    return refunds_asked(spark, d).groupBy("province_id", "refund_type_name").agg(F.count(F.lit(1)).alias("n"), F.count("refund_reason_type_name").alias("reasons"), total("l_quantity").alias("quantity"))
+
+
+def refunds_paid(spark, d):
     returned, orders, dictionary = _refund_parts(spark, d)
     paid = returned.filter("l_linestatus = 'F'").select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("sku_id"), "l_extendedprice", (F.col("l_partkey") % 25).alias("payment_type_code"))
     requests = returned.filter("l_quantity > 10").select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("sku_id"), F.col("l_quantity").alias("refund_num"), F.struct("l_shipdate", "l_linenumber", "l_quantity", "l_extendedprice").alias("ts"))
-    out = ch.refund_payments(paid, orders, requests, dictionary)
-    return out.groupBy("payment_type_name").agg(F.count(F.lit(1)).alias("n"), F.count("province_id").alias("with_order"), F.count("refund_num").alias("with_request"), total("refund_num").alias("refund_num"), total("l_extendedprice").alias("amount"))
+    return ch.refund_payments(paid, orders, requests, dictionary)
+
+
+def refund_payment_fact(spark, d):
+    return refunds_paid(spark, d).select("order_id", "sku_id", "l_extendedprice", "user_id", "province_id", "refund_num", "payment_type_name")
+
+
+def refund_payment(spark, d):
+    return refunds_paid(spark, d).groupBy("payment_type_name").agg(F.count(F.lit(1)).alias("n"), F.count("province_id").alias("with_order"), F.count("refund_num").alias("with_request"), total("refund_num").alias("refund_num"), total("l_extendedprice").alias("amount"))
 
 
 def comment_grade(spark, d):
@@ -187,15 +216,65 @@ def comment_grade(spark, d):
     return ch.enrich(rows, t(spark, d, "nation"), "appraise_code", "n_nationkey", small=True, appraise_name="n_name")
 
 
-def log_fan_out(spark, d):
-    kind = F.col("event_type")
+def event_routes(spark, d):
+    """Events as raw log texts, parsed and routed in one pass."""
+    kind, k = F.col("event_type"), F.get_json_object("props", "$.k").cast("int")
     page = F.struct(kind.alias("page_id"), F.when(kind != "view", "home").alias("last_page_id"))
-    err = F.when(F.get_json_object("props", "$.k").cast("int") % 10 == 0, F.struct(F.lit(1).alias("error_code")))
-    log = F.struct(F.when(kind != "signup", page).alias("page"), F.when(kind == "signup", F.lit("{}")).alias("start"), err.alias("err"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"))
+    err = F.when(k % 10 == 0, F.struct(F.lit(1).alias("error_code")))
+    shown = F.when(k % 3 == 0, F.array(*[F.struct(F.lit(str(i)).alias("item"), F.lit(i).alias("order")) for i in (1, 2)]))
+    done = F.when(k % 7 == 0, F.array(F.create_map(F.lit("action_id"), F.lit("cart_add"))))
+    log = F.struct(F.when(kind != "signup", page).alias("page"), F.when(kind == "signup", F.lit("{}")).alias("start"), err.alias("err"), shown.alias("displays"), done.alias("actions"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"))
     parsed, _ = logs.parse_log(t(spark, d, "events").select(F.to_json(log).alias("value")))
-    routes = logs.fan_out(parsed)
-    parts = [routes[r].select(F.lit(r).alias("route"), "ts") for r in ("error", "start", "page")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.max(F.floor(F.col("ts") / 1000)).alias("last_second"))
+    return logs.routed(parsed)
+
+
+def log_fan_out(spark, d):
+    return event_routes(spark, d).filter(F.col("route").isin("error", "start", "page")).groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.max(F.floor(F.col("ts") / 1000)).alias("last_second"))
+
+
+def log_five_routes(spark, d):
+    return event_routes(spark, d).select("route", "page_id", F.floor(F.col("ts") / 1000).alias("second"), F.get_json_object("body", "$.item").alias("item"))
+
+
+def event_pages(spark, d):
+    """The page log as rows with page and common."""
+    page = F.struct(F.when(F.col("k") % 3 == 0, "search").when(~F.col("entry"), "home").alias("last_page_id"), F.when(F.col("k") % 2 == 0, "keyword").alias("item_type"), F.concat_ws(" ", "event_type", "k").alias("item"))
+    return page_log(spark, d).select("event_id", "ts", "day", "user_id", page.alias("page"), F.struct(F.when(F.col("k") % 10 != 0, F.col("user_id")).alias("uid")).alias("common"))
+
+
+def search_keyword_window(spark, d):
+    words = logs.explode_words(logs.searches(event_pages(spark, d)), "keyword").select("ts", F.lit("search").alias("source"), F.col("word").alias("keyword"))
+    return windows.tumble(words, "ts", "1 hour", ["source", "keyword"], keyword_count=F.count(F.lit(1)))
+
+
+def logged_in_entries(spark, d):
+    return logs.logged_in_entries(event_pages(spark, d)).select("event_id", "user_id")
+
+
+def login_window(spark, d):
+    found = windows.returning_users(logs.logged_in_entries(event_pages(spark, d)).select("user_id", "day").distinct(), "user_id", "day")
+    return found.groupBy(day_text(F.col("day")).alias("dt")).agg(F.sum("uu").alias("uu_ct"), F.sum("back").alias("back_ct"))
+
+
+def cart_uu_fallback(spark, d):
+    """Cart users by the time of change, else of creation."""
+    at = lambda ts: time_text(ts)
+    data = F.map_filter(F.create_map(F.lit("operate_time"), F.when(F.col("k") % 4 != 0, at(F.col("ts"))), F.lit("create_time"), at(F.col("ts") - F.expr("interval 1 day"))), lambda _, v: v.isNotNull())
+    rows = page_log(spark, d).filter("event_type = 'purchase'").select("event_id", "user_id", F.to_timestamp(changed_or_created(data)).alias("at"))
+    first = logs.first_of_day(rows.withColumn("day", F.to_date("at")), ["user_id"], "day", ["at", "event_id"])
+    return windows.tumble(first, "at", "1 day", [], cart_add_uu_ct=F.count(F.lit(1)))
+
+
+def inserted_details(spark, d):
+    """Order details read back from an upsert stream: empty texts and updates are left out."""
+    row = F.to_json(F.struct(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("order_detail_id"), F.col("l_orderkey").cast("string").alias("order_id"), F.when(F.col("l_returnflag") == "R", "update").otherwise("insert").alias("type")))
+    values = t(spark, d, "lineitem").select(F.when(F.col("l_linenumber") == 7, "").otherwise(row).alias("value"))
+    return ch.inserted_details(values).select("order_detail_id", "order_id")
+
+
+def coupon_order_fact(spark, d):
+    rows = order_changes(spark, d).filter((F.col("type") == "update") & ch.changed("priority", True))
+    return rows.select(pick(F.col("data"), "id").cast("long").alias("id"), pick(F.col("old"), "priority").alias("old_priority"), time_text(F.timestamp_seconds("ts")).alias("order_time"))
 
 
 def explode_with_parent(spark, d):
@@ -265,9 +344,10 @@ def cart_uu(spark, d):
     return windows.tumble(first, "ts", "1 hour", [], cart_add_uu_ct=F.count(F.lit(1)))
 
 
-def details(spark, d):
-    keys = ["l_orderkey", "l_linenumber"]
-    return latest(t(spark, d, "lineitem"), keys, ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"])
+def details(spark, d, *columns: str):
+    """The latest version of each order detail, with further columns; no other is read."""
+    keys, order = ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    return latest(t(spark, d, "lineitem").select(*keys, *order, *columns), keys, order)
 
 
 def order_detail_latest(spark, d):
@@ -279,7 +359,7 @@ def order_window(spark, d):
     users = windows.order_users(orders.select("o_custkey", F.to_date("o_orderdate").alias("day"), "o_orderkey"), "o_custkey", "day", ["o_orderkey"])
     uv = users.groupBy("day").agg(F.count(F.lit(1)).alias("order_unique_user_count"), F.sum("first_ever").cast("long").alias("order_new_user_count"))
     price, rate = amount("l_extendedprice"), amount("l_discount")
-    lines = details(spark, d).join(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("day")), "l_orderkey")
+    lines = details(spark, d, "l_discount", "l_tax").join(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("day")), "l_orderkey")
     sums = lines.groupBy("day").agg(F.sum(F.coalesce(price * rate, F.lit(0))).cast("double").alias("order_activity_reduce_amount"), F.sum(F.coalesce(price * amount("l_tax"), F.lit(0))).cast("double").alias("order_coupon_reduce_amount"), total("l_extendedprice").alias("order_origin_total_amount"))
     return uv.join(sums, "day", "left").withColumn("day", day_text(F.col("day")))
 
@@ -360,6 +440,17 @@ QUERIES = {
     "order_detail_latest": order_detail_latest,
     "order_window": order_window,
     "brand_category_user_order": brand_category_user_order,
+    "order_detail_fact": order_detail_fact,
+    "payment_fact": payment_fact,
+    "refund_request_fact": refund_request_fact,
+    "refund_payment_fact": refund_payment_fact,
+    "coupon_order_fact": coupon_order_fact,
+    "log_five_routes": log_five_routes,
+    "search_keyword_window": search_keyword_window,
+    "logged_in_entries": logged_in_entries,
+    "login_window": login_window,
+    "cart_uu_fallback": cart_uu_fallback,
+    "inserted_details": inserted_details,
     "camel_rename": camel_rename,
     "time_functions": time_functions,
     "scalar_functions": scalar_functions,

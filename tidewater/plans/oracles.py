@@ -67,6 +67,22 @@ s AS (SELECT CAST(o_orderdate AS DATE) AS day, CAST(sum(CAST(l_extendedprice AS
 SELECT strftime(u.day, '%Y-%m-%d') AS day, uu AS order_unique_user_count, nu AS order_new_user_count, a AS order_activity_reduce_amount, c AS order_coupon_reduce_amount, o AS order_origin_total_amount FROM u LEFT JOIN s ON u.day = s.day""",
     "brand_category_user_order": f"""WITH {LATEST} SELECT {DAY.replace('ts)', 'o_orderdate)')}, p_brand AS trademark_name, r_name AS category1_name, n_name AS category2_name, p_type AS category3_name, o_custkey, p_name AS spu_name, count(*) AS order_count, {money('l_extendedprice')} AS order_amount
 FROM det JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY ALL""",
+    "order_detail_fact": "SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS order_detail_id, l_orderkey AS order_id, o_custkey, o_orderstatus, CASE WHEN l_partkey % 3 = 0 THEN l_partkey END AS activity_id, CASE WHEN l_partkey % 5 = 0 THEN l_partkey END AS coupon_id, n_name AS dic_name, CAST(CAST(CAST(l_extendedprice AS DECIMAL(16,2)) * CAST(l_quantity AS DECIMAL(16,2)) AS DECIMAL(18,2)) AS DOUBLE) AS split_original_amount FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN nation ON l_suppkey % 25 = n_nationkey",
+    "payment_fact": "SELECT o_orderkey AS order_id, o_custkey AS user_id, l_linenumber, l_extendedprice, 'c' || (o_custkey % 25) AS payment_type_code, n_name AS payment_type_name FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON o_custkey % 25 = n_nationkey WHERE o_orderstatus = 'F'",
+    "refund_request_fact": "SELECT l_orderkey AS order_id, l_partkey AS sku_id, l_quantity, o.o_custkey % 34 AS province_id, a.n_name AS refund_type_name, b.n_name AS refund_reason_type_name FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') o ON l_orderkey = o_orderkey LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) a ON l_partkey % 25 = a.n_nationkey LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) b ON l_suppkey % 25 = b.n_nationkey WHERE l_returnflag = 'R'",
+    "refund_payment_fact": """WITH req AS (SELECT * FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 10 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_shipdate DESC, l_linenumber DESC, l_quantity DESC, l_extendedprice DESC) = 1)
+SELECT l.l_orderkey AS order_id, l.l_partkey AS sku_id, l.l_extendedprice, o.o_custkey AS user_id, o.o_custkey % 34 AS province_id, req.l_quantity AS refund_num, n_name AS payment_type_name
+FROM lineitem l LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') o ON l.l_orderkey = o_orderkey LEFT JOIN req ON req.l_orderkey = l.l_orderkey AND req.l_partkey = l.l_partkey LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON l.l_partkey % 25 = n_nationkey
+WHERE l.l_returnflag = 'R' AND l.l_linestatus = 'F'""",
+    "coupon_order_fact": f"WITH {CHANGES} SELECT o_orderkey AS id, CASE WHEN before_priority <> o_orderpriority THEN before_priority END AS old_priority, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS order_time FROM oc WHERE type = 'update' AND (before_key IS NULL OR before_priority <> o_orderpriority)",
+    "log_five_routes": f"""WITH {LOG}, r AS (SELECT *, CASE WHEN event_type <> 'signup' THEN event_type END AS page_id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS second FROM pl)
+SELECT 'error' AS route, page_id, second, CAST(NULL AS VARCHAR) AS item FROM r WHERE k % 10 = 0 UNION ALL SELECT 'start', page_id, second, NULL FROM r WHERE event_type = 'signup' UNION ALL SELECT 'page', page_id, second, NULL FROM r WHERE event_type <> 'signup'
+UNION ALL SELECT 'display', page_id, second, unnest(['1', '2']) FROM r WHERE event_type <> 'signup' AND k % 3 = 0 UNION ALL SELECT 'action', page_id, second, NULL FROM r WHERE event_type <> 'signup' AND k % 7 = 0""",
+    "search_keyword_window": f"WITH {LOG} SELECT {HOUR}, 'search' AS source, keyword, count(*) AS keyword_count FROM (SELECT ts, unnest([event_type, CAST(k AS VARCHAR)]) AS keyword FROM pl WHERE k % 6 = 0) GROUP BY ALL",
+    "logged_in_entries": f"WITH {LOG} SELECT event_id, user_id FROM pl WHERE entry AND k % 3 <> 0 AND k % 10 <> 0",
+    "login_window": f"WITH {LOG}, d AS (SELECT DISTINCT user_id, day FROM pl WHERE entry AND k % 3 <> 0 AND k % 10 <> 0), b AS (SELECT *, day - lag(day) OVER (PARTITION BY user_id ORDER BY day) AS gap FROM d) SELECT strftime(day, '%Y-%m-%d') AS dt, count(*) AS uu_ct, count(*) FILTER (gap >= 8) AS back_ct FROM b GROUP BY 1",
+    "cart_uu_fallback": f"WITH {LOG}, a AS (SELECT event_id, user_id, date_trunc('second', ts) - CASE WHEN k % 4 <> 0 THEN INTERVAL 0 DAY ELSE INTERVAL 1 DAY END AS moment FROM pl WHERE event_type = 'purchase'), f AS (SELECT moment AS ts FROM a QUALIFY row_number() OVER (PARTITION BY user_id, CAST(moment AS DATE) ORDER BY moment, event_id) = 1) SELECT {DAY}, count(*) AS cart_add_uu_ct FROM f GROUP BY ALL",
+    "inserted_details": "SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS order_detail_id, CAST(l_orderkey AS VARCHAR) AS order_id FROM lineitem WHERE l_linenumber <> 7 AND l_returnflag <> 'R'",
     "camel_rename": 'SELECT c_custkey AS "cCustkey", c_mktsegment AS "cMktsegment", c_nationkey AS "cNationkey" FROM customer',
     "time_functions": """SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS time_text, epoch_ms(date_trunc('second', ts)) AS ms, epoch_ms(CAST(CAST(ts AS DATE) AS TIMESTAMP)) AS day_ms,
 CASE WHEN date_trunc('second', ts) < CAST(ts AS DATE) + INTERVAL 12 HOUR THEN -1 WHEN date_trunc('second', ts) > CAST(ts AS DATE) + INTERVAL 12 HOUR THEN 1 ELSE 0 END AS after_noon,
