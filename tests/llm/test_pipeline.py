@@ -1,0 +1,142 @@
+"""The corpus pipeline, stage by stage and whole, against brute force on a small folder of tables; and every registered text query once."""
+
+import collections
+import importlib.util
+import os
+import random
+import sys
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+from pyspark.sql import functions as F
+
+from test_llm import WORD, brute_fingerprint, line_oracle
+from tidewater.llm import convnet, packing, registry, rules
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+if importlib.util.find_spec("corpus_pipeline") is None:
+    pytest.skip("no pipeline here", allow_module_level=True)
+import corpus_pipeline  # noqa: E402
+
+
+def table(rng):
+    """Documents with copies, near copies, shared and repeated lines, junk, null and repeated ids, empty and blank texts; labels of some."""
+    bag = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 8))) for _ in range(300)]
+    line = lambda n: " ".join(rng.choices(bag, k=n)) + "."
+    good = ["\n".join(line(rng.randint(12, 25)) for _ in range(rng.randint(2, 5))) for _ in range(40)]
+    junk = ["\n".join("".join(rng.choices("ABCDEF#$%&", k=8)) + "!! | " + " | ".join(rng.choices(["BUY!!", "###", "$$$", "NOW!!"], k=12)) for _ in range(4)) for _ in range(12)]
+    shared = line(30)
+    texts = [*good, *junk, good[0], good[1] + " one", good[2] + "\n" + shared, shared + "\n" + good[3], shared, "x y", "", None, " \n\t", "same words here again five " * 20, good[4] + "\n" + good[4].split("\n")[0]]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(None, good[5]), (None, line(40)), (7, line(40)), (8, good[8]), (8, good[8])]
+    labels = [(k, int(k < 40), 0) for k in range(0, 52) if k % 3]
+    return [(k, t, "en", "s", len(t or "")) for k, t in rows], labels
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    rows, labels = table(random.Random(11))
+    at = str(tmp_path_factory.mktemp("tables"))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    turns = [(c, n, "user" if n % 2 == 0 else "assistant", f"turn {n} of {c}") for c in range(5) for n in range(4)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{at}/conversations.parquet")
+    return at, rows
+
+
+def bag(rows):
+    return collections.Counter((r[0], r[1]) for r in rows)
+
+
+def test_stages(spark, folder):
+    at, rows = folder
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    labels = spark.read.parquet(f"{at}/labels.parquet")
+
+    w, move = rules.fit(docs, labels)
+    kept = []
+    for k, t, *_ in rows:
+        counts, features, n = rules.measure((t or "").encode())
+        words = WORD.findall(t or "")
+        seen = collections.Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+        repeated = {j for i in range(len(words) - 4) if seen[tuple(words[i : i + 5])] > 1 for j in range(i, i + 5)}
+        if len(words) < 10 or 100 * len(repeated) > 20 * len(words):
+            continue
+        # The best labelling of all, by brute force.
+        emit = features @ w
+        every = np.array([[m >> j & 1 for j in range(len(n))] for m in range(1 << len(n))])
+        value = every @ emit + sum(move[every[:, j], every[:, j + 1]] for j in range(len(n) - 1))
+        if (every[value.argmax()] * n).sum() / n.sum() >= rules.CONTENT_SHARE:
+            kept.append((k, t))
+    ruled = stages["quality_rules"](spark, docs, at)
+    assert ruled.columns == docs.columns and bag(ruled.collect()) == bag(kept)
+    assert sum(k is not None and k < 40 for k, _ in kept) >= 40 and not any(k is not None and 40 <= k < 52 for k, _ in kept)
+
+    net = convnet.fit(docs, convnet.training_labels(labels))
+    good = [(k, t) for k, t in kept if net.score([t.encode()])[0] >= convnet.THRESHOLD]
+    classed = stages["quality_classifier"](spark, ruled, at)
+    assert classed.columns == docs.columns and bag(classed.collect()) == bag(good)
+
+    # Line dedup: rows of one id with other texts are documents of their own, in the order of their texts' hashes; null ids stay as they are.
+    hashed = {(r.doc_id, r.text): r.h for r in classed.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
+    named = sorted({x for x in good if x[0] is not None}, key=lambda x: (x[0], hashed[x]))
+    found = line_oracle(list(enumerate(t for _, t in named)))
+    left = {x: found.get(j) for j, x in enumerate(named)}
+    lined = [(k, t if k is None else left[k, t]) for k, t in good if k is None or left[k, t] is not None]
+    deduped = stages["line_dedup"](spark, classed, at)
+    assert deduped.columns == docs.columns and bag(deduped.collect()) == bag(lined) and len(lined) < len(good)
+    assert all(r.n_chars == len(r.text) for r in deduped.collect())
+
+    # Near duplicates: one row of each group that links of four bits or fewer reach.
+    fps = [brute_fingerprint(t) for _, t in lined]
+    group = list(range(len(lined)))
+    for _ in group:
+        for a in range(len(lined)):
+            for b in range(len(lined)):
+                if (fps[a] ^ fps[b]).bit_count() <= 4:
+                    group[a] = group[b] = min(group[a], group[b])
+    single = stages["near_dedup"](spark, deduped, at)
+    chosen = single.collect()
+    assert single.columns == docs.columns and len(chosen) == len(set(group)) and not bag(chosen) - bag(lined)
+    assert len({group[lined.index((r.doc_id, r.text))] for r in chosen}) == len(chosen)
+
+    tok = packing.tokenizer(P.path("word_bpe_49k.json"))
+    packed = stages["packing"](spark, single, at).collect()
+    want = collections.Counter((r.doc_id, len(tok.encode(r.text, add_special_tokens=False).ids) + 1) for r in chosen)
+    assert collections.Counter((r.doc_id, r.doc_tokens) for r in packed if r.start == 0) == want
+    by = collections.defaultdict(list)
+    for r in packed:
+        by[r.sequence_id].append((r.offset, r.length))
+    assert all(sum(n for _, n in s) <= 4096 and all(o == sum(n for p, n in s if p < o) for o, _ in s) for s in by.values())
+
+    whole = corpus_pipeline.run(spark, at).select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect()
+    assert collections.Counter(whole) == collections.Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in packed)
+
+
+def test_stages_on_an_empty_table(spark, folder):
+    at, _ = folder
+    docs = spark.read.parquet(f"{at}/documents.parquet").limit(0).withColumn("flags", F.lit(1))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, at)
+        assert out.count() == 0 and (name == "packing" or out.columns == docs.columns)
+
+
+def test_registered_queries(spark, folder):
+    """Each query returns its contract's columns and a row for each document."""
+    at, rows = folder
+    contract = {
+        "op1_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+        "op2_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
+        "op3_quality_classifier": "doc_id held_out score predicted",
+        "op4_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
+        "op5_simhash": "doc_id fingerprint component_id",
+        "op7_fingerprints": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
+        "op8_chat_format": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
+        "op10_lm_score": "doc_id held_out n_tokens n_known train_tokens base_score score",
+    }
+    for name, query in registry.queries().items():
+        got = query(spark, at)
+        n = got.count()
+        assert set(contract.get(name, "doc_id").split()) <= set(got.columns), name
+        assert n == {"op8_chat_format": 6, "op6_line_dedup": n, "op9_license_scan": len({r[0] for r in rows if r[0] is not None})}.get(name, len(rows)), name
