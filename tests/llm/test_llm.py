@@ -332,6 +332,20 @@ def test_licences_whatever_the_size_and_the_prose(spark):
     assert counts == {"a": 2, "b": 1, "2.0": 1}
 
 
+def test_language_model_in_many_shards(spark, docs):
+    """The model does not depend on the number of shards, and without adaptive execution every shard is a task of its own."""
+    got = []
+    for n, adaptive in (("4", "true"), ("7", "false")):
+        before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        model = kneser.fit(docs)
+        got.append((model["vocabulary"], model["total"], sorted((r.doc_id, round(r.score, 9)) for r in kneser.score(docs, model).collect())))
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got[0] == got[1]
+
+
 def test_language_model(docs, rows, nothing):
     toks = {k: [*WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), "\n"] for k, t in rows}
     train = [k for k in toks if k % 3]
