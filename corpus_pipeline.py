@@ -13,28 +13,28 @@ from tidewater.llm.common import stash, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the line labelling keep."""
+    """Documents that the base rules and the line labelling keep. Null and repeated ids are rows like others; a null text goes."""
     return rules.keep(docs, rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the byte-level network keeps, learned from labelled documents of the original table."""
+    """Documents that the byte-level network keeps, learned from labelled documents of the original table. Null and repeated ids are rows like others."""
     labels = convnet.training_labels(table(spark, sf_dir, "labels"))
     return convnet.keep(docs, convnet.fit(table(spark, sf_dir, "documents"), labels))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that repeat an earlier one."""
+    """Documents without the lines that repeat an earlier one; rows without an id stay untouched, and texts of one id are told apart."""
     return lines.dedup_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates, rows without an id and repeated rows included."""
     return simhash.keep_first(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents, placed in sequences."""
+    """Pieces of the documents, placed in sequences; an empty table gives none."""
     return packing.packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -46,7 +46,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: The classifier and the tokenizer are beyond SQL; the pipeline is tested stage by stage against brute force.
+#: The classifier and the tokenizer are beyond SQL; tests/llm/test_pipeline.py holds every stage, and the whole, against brute force.
 ORACLE_SQL = None
 
 
