@@ -106,3 +106,11 @@ def test_stream_first_of_day(spark, tmp_path):
     rows = [(1, 1, at(0)), (1, 2, at(5)), (1, 3, at(86400)), (2, 4, at(86400))]
     df = _stream(spark, tmp_path, rows, "user_id long, event_id long, ts timestamp", 2)
     assert {r.event_id for r in _run(streaming.first_of_day(df, ["user_id"], "ts"), "first", tmp_path)} == {1, 3, 4}
+
+
+def test_large_dimension_is_not_broadcast(spark, monkeypatch):
+    facts, dim = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "a"), (2, "b")], "id int, n string")
+    hinted = lambda: "ResolvedHint" in ch.enrich(facts, dim, "k", "id", small=True, name="n")._jdf.queryExecution().analyzed().toString()
+    assert hinted()
+    monkeypatch.setattr(ch, "SMALL_ROWS", 1)
+    assert not hinted() and ch.enrich(facts, dim, "k", "id", small=True, name="n").count() == 2

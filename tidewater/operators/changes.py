@@ -9,6 +9,8 @@ from tidewater.functions import as_int, has_key, keep_keys, pick
 from tidewater.sinks import latest
 from tidewater.sources import order_details
 
+#: The most rows of a side that is broadcast.
+SMALL_ROWS = 100_000
 INSERTS, WRITES = ("insert",), ("bootstrap-insert", "insert", "update")
 
 
@@ -56,23 +58,28 @@ def inserted_details(values: DataFrame) -> DataFrame:
     return order_details(values.filter(F.col("value") != "")).filter("type = 'insert'")
 
 
+def small_side(df: DataFrame) -> DataFrame:
+    """``df`` marked for a broadcast, if a count shows that it has at most SMALL_ROWS rows; else as it is, for a join by shuffles."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
 def route(changes: DataFrame, config: DataFrame) -> DataFrame:
     """Records of configured tables, deletes dropped: sink_table, sink_pk, ts and ``data`` with the configured columns only.
 
-    ``config`` holds a row for each table of the source database, which bounds the broadcast.
+    ``config`` holds a row for each table of the source database.
     """
-    joined = changes.filter(F.col("type").isin(*WRITES)).join(F.broadcast(config), F.col("table") == F.col("source_table"))
+    joined = changes.filter(F.col("type").isin(*WRITES)).join(small_side(config), F.col("table") == F.col("source_table"))
     return joined.select("sink_table", "sink_pk", "sink_extend", "ts", keep_keys(F.col("data"), F.col("sink_columns")).alias("data"))
 
 
 def enrich(df: DataFrame, dim: DataFrame, key: str, dim_key: str, how: str = "left", small: bool = False, **columns: str) -> DataFrame:
     """``df`` with columns of a dimension (new name = its column) by key; a missing key gives nulls, or no row with how='inner'.
 
-    The dimension's key must be unique. ``small``: a dimension of known small size, such as a code dictionary, is
-    broadcast; for others Spark chooses from their size.
+    The dimension's key must be unique. ``small``: a dimension that should be small, such as a code dictionary, is
+    broadcast if a count agrees; for others Spark chooses from their size.
     """
     side = dim.select(F.col(dim_key).alias("_k"), *[F.col(c).alias(n) for n, c in columns.items()])
-    return df.join(F.broadcast(side) if small else side, F.col(key) == F.col("_k"), how).drop("_k")
+    return df.join(small_side(side) if small else side, F.col(key) == F.col("_k"), how).drop("_k")
 
 
 def order_detail_wide(details: DataFrame, orders: DataFrame, activities: DataFrame, coupons: DataFrame, dictionary: DataFrame) -> DataFrame:

@@ -93,6 +93,7 @@ def upsert(batch: DataFrame, path: str, keys: list[str], order: list[str]) -> No
 
     Only the parts that the batch's keys fall into are read and written, into new folders. Then a list of all parts'
     folders takes effect by one rename: a crash before it leaves the table as it was, and the batch can be run again.
+    One writer at a time, as a stream has. Folders that the last list no longer names stay for readers who began before; delete them at leisure.
     """
     spark = batch.sparkSession
     now = keyed_parts(spark, path)
