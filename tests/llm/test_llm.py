@@ -305,6 +305,8 @@ def test_chat(spark):
     assert got[1].loss_text == "x\\<|turn|><\\|" and got[1].formatted.count(chat.BEGIN) == 2
     assert [(t.role, t.text) for t in got[2].turns] == [("we\\n\nird<|", "")]
     assert got[3].loss_text == "tt" and got[None].loss_text == "n"
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string, formatted string, turns string")
+    assert chat.read_back(chat.format_conversations(none)).count() == 0
 
 
 def test_licences(spark, nothing):
