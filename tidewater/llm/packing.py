@@ -23,11 +23,11 @@ from tidewater.llm.common import partitions, stash, table, text_slices
 
 CAPACITY, END_ID = 4096, 2
 #: Pieces of words in each of the two generations whose ids a worker remembers.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 150_000
 #: Pieces encoded as one text.
 TOGETHER = 5_000
 #: Text that a worker cuts into pieces at a time.
-GROUP = 4 << 20
+GROUP = 1 << 20
 # What the tokenizer's own rule cuts off from runs of letters, and characters that no normal form changes and whose
 # lower case is one character wherever they stand (Latin, Cyrillic, Chinese and Japanese letters, common marks). Texts with others go word by word.
 SIGNS = r"'(?:s|t|re|ve|m|ll|d)|\p{N}|[^\x09-\x0D\x20\p{L}\p{N}]+"
@@ -152,6 +152,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
                     total.append(len(whole) // 4)
                     ids.append(one)
             yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(at, pa.int32())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "start", "length", "doc_tokens", "ids"])
+        pa.default_memory_pool().release_unused()  # the worker lives on, beside others
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids binary")
 
