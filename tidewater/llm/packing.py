@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import partitions, stash, table, text_slices
 
 CAPACITY, END_ID = 4096, 2
-#: Pieces of words in each of the two generations whose ids a worker remembers.
-CACHE_PIECES = 150_000
+#: Pieces of words in each of the two generations whose ids a task remembers.
+CACHE_PIECES = 200_000
 #: Pieces encoded as one text.
 TOGETHER = 5_000
 #: Text that a worker cuts into pieces at a time.
@@ -90,16 +90,6 @@ class PieceIds:
         return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)] if len(cuts) == len(pieces) + 1 else ids_of(self.tok, pieces)
 
 
-_piece_ids: dict[str, PieceIds] = {}
-
-
-def remembered(path: str) -> PieceIds:
-    """The table of a tokenizer file, kept by each Python worker from task to task."""
-    if path not in _piece_ids:
-        _piece_ids[path] = PieceIds(path)
-    return _piece_ids[path]
-
-
 def gathered(flat: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Items ``at`` of a list of arrays (joined in ``flat``, item k ending at ends[k]): joined, and their lengths."""
     begins = np.concatenate(([0], ends[:-1])).astype(np.int64)
@@ -109,8 +99,8 @@ def gathered(flat: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.nda
     return flat[place], size
 
 
-def document_ids(texts: pa.Array, path: str) -> list[np.ndarray]:
-    """The ids of each text (null: none), as the whole text has them in the tokenizer of ``path``."""
+def document_ids(texts: pa.Array, path: str, table: PieceIds) -> list[np.ndarray]:
+    """The ids of each text (null: none), as the whole text has them in the tokenizer of ``path``; ``table``: its ids of pieces."""
     texts = pc.fill_null(texts, "")
     special = "|".join(re.escape(t.content) for t in tokenizer(path).get_added_tokens_decoder().values())
     other = pc.match_substring_regex(texts, f"{OTHER}|{special}" if special else OTHER).to_numpy(zero_copy_only=False)
@@ -119,7 +109,7 @@ def document_ids(texts: pa.Array, path: str) -> list[np.ndarray]:
     coded = cut.flatten().dictionary_encode()
     pieces, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
     # A piece of white space only, where a text has no piece, is the empty string.
-    ids = [b"" if not w else i for w, i in zip(pieces, remembered(path).of(pieces), strict=True)]
+    ids = [b"" if not w else i for w, i in zip(pieces, table.of(pieces), strict=True)]
     flat, size = gathered(np.frombuffer(b"".join(ids), "<u4"), np.cumsum([len(i) // 4 for i in ids], dtype=np.int64), at)
     begins = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))))]
     out = [flat[a:b] for a, b in zip(begins.tolist(), begins[1:].tolist(), strict=False)]
@@ -140,9 +130,10 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = PieceIds(path)
         for part in text_slices(batches, GROUP):
             at, start, length, total, ids = [], [], [], [], []
-            for k, found in enumerate(document_ids(part.column("text"), path)):
+            for k, found in enumerate(document_ids(part.column("text"), path, table)):
                 whole = np.append(found, np.uint32(end_id)).astype("<u4").tobytes()
                 for a in range(0, len(whole), 4 * capacity):
                     one = whole[a : a + 4 * capacity]
