@@ -25,8 +25,8 @@ LINE = ["doc_id", "version", "line"]
 BROADCAST_IDS = 1_000_000
 #: The same for the bytes that mark kept lines.
 BROADCAST_BYTES = 16 << 20
-#: Tokens of buckets beyond this level of crowding are dealt into two groups, and into twice as many for each level more.
-SALT_LEVEL = 6
+#: Tokens of buckets beyond this level of crowding are dealt into two groups, those of the highest into four: the first line of each group meets all lines.
+SALT_LEVEL = 13
 
 
 def line_words(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
