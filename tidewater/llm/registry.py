@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewater.llm import bpe, chat, convnet, kneser, licences, lines, packing, rules, simhash, sketch
+from tidewater.llm import bpe, chat, convnet, kneser, licences, lines, packing, repair, rules, simhash, sketch, topk, variants
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_chat_format": chat.op8_chat_format,
         "op9_license_scan": licences.op9_license_scan,
         "op10_lm_score": kneser.op10_lm_score,
+        "op11_variants": variants.op11_variants,
+        "op12_top_k": topk.op12_top_k,
+        "op13_conversation_repair": repair.op13_conversation_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_format": chat.ORACLE}
+    return {"op8_chat_format": chat.ORACLE, "op12_top_k": topk.ORACLE}
