@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -14,3 +17,14 @@ DEFAULTS = {
 
 def session(app: str = "tidewater", **conf: str) -> SparkSession:
     return SparkSession.builder.appName(app).config(map=DEFAULTS | conf).getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors see, under ``spark.checkpoint.dir``; a temporary one where that is unset and the session is local."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.conf.get("spark.master", "").split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tidewater-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import json
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.sinks.keyed import create_table, keyed_parts, latest, lists, properties, read_changes, read_keyed, replay, upsert, vacuum  # noqa: F401
+
 
 def as_json(df: DataFrame, key: list[str] | None = None) -> DataFrame:
     """``value`` as JSON of the row, and ``key`` as JSON of the key columns where given: what a Kafka sink takes."""
@@ -50,73 +50,6 @@ def write_analytic(df: DataFrame, transient: tuple[str, ...] = (), path: str | N
         rows.write.mode("append").parquet(path)
 
 
-def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row for each key: the one that ``order`` puts last. A partial aggregate, so frequent keys do not gather in one task.
-
-    Of rows that ``order`` does not tell apart, the later arrival stays: rows are numbered as their partitions hand them on.
-    """
-    rest = [c for c in df.columns if c not in keys]
-    top = F.max_by(F.struct(*rest), F.struct(*order, "_arrival")).alias("_top")
-    return df.withColumn("_arrival", F.monotonically_increasing_id()).groupBy(*keys).agg(top).select(*keys, "_top.*").select(*df.columns)
-
-
-#: Parts of a keyed table, by hash of the key. A micro-batch rewrites those that its keys fall into.
-PARTS = 64
-
-
-def _files(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    return jvm, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
-
-
-def keyed_parts(spark: SparkSession, path: str) -> dict[int, str]:
-    """The folder of each part of a keyed table, by its last complete list; none before its first batch."""
-    jvm, fs, folder = _files(spark, f"{path}/_lists")
-    if not fs.exists(folder):
-        return {}
-    last = max((f.getPath().getName() for f in fs.listStatus(folder) if f.getPath().getName().endswith(".json")), default=None)
-    if last is None:
-        return {}
-    found = spark.read.text(f"{path}/_lists/{last}").first()[0]
-    return {int(k): v for k, v in json.loads(found).items()}
-
-
-def read_keyed(spark: SparkSession, path: str) -> DataFrame | None:
-    """A keyed table as it is now; None before its first batch."""
-    parts = keyed_parts(spark, path)
-    return spark.read.option("mergeSchema", True).parquet(*(f"{path}/{v}" for v in parts.values())) if parts else None
-
-
-def upsert(batch: DataFrame, path: str, keys: list[str], order: list[str]) -> None:
-    """Merges rows into a keyed Parquet table: the latest of each key stays, of equal ones that of the later batch. Its first batch creates the table.
-
-    Only the parts that the batch's keys fall into are read and written, into new folders. Then a list of all parts'
-    folders takes effect by one rename: a crash before it leaves the table as it was, and the batch can be run again.
-    One writer at a time, as a stream has. Folders that the last list no longer names stay for readers who began before; delete them at leisure.
-    """
-    spark = batch.sparkSession
-    now = keyed_parts(spark, path)
-    part = F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(PARTS)).cast("int")
-    rows = batch.withColumn("_part", part).withColumn("_batch", F.lit(1))
-    cached = rows.persist()
-    touched = [r[0] for r in cached.select("_part").distinct().collect()]  # at most PARTS rows
-    old = [f"{path}/{now[p]}" for p in touched if p in now]
-    if old:
-        held = spark.read.option("mergeSchema", True).parquet(*old)
-        rows = held.withColumn("_part", part).withColumn("_batch", F.lit(0)).unionByName(rows, allowMissingColumns=True)
-    new, number = uuid.uuid4().hex, len(now) and 1 + max(int(v.split("-")[0]) for v in now.values())
-    merged = latest(rows, [*keys, "_part"], [*order, "_batch"]).drop("_batch")
-    merged.repartition("_part").write.partitionBy("_part").parquet(f"{path}/{number:012d}-{new}")
-    now |= {p: f"{number:012d}-{new}/_part={p}" for p in touched}
-    spark.createDataFrame([(json.dumps(now),)], "value string").coalesce(1).write.text(f"{path}/_new/{new}")
-    jvm, fs, folder = _files(spark, f"{path}/_lists")
-    fs.mkdirs(folder)
-    text = next(f.getPath() for f in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/_new/{new}")) if f.getPath().getName().startswith("part-"))
-    fs.rename(text, jvm.org.apache.hadoop.fs.Path(f"{path}/_lists/{number:012d}-{new}.json"))
-    cached.unpersist()
-
-
 def dimension_rows(routed: DataFrame, columns: list[str], pk: str = "id") -> DataFrame:
     """Rows of one dimension table from routed change maps: all columns text, the key first."""
     names = [pk, *(c for c in columns if c != pk)]
