@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import as_amount, as_int, changed_or_created, compare_times, date_part, day_text, days_between, flag, from_millis, is_json, is_json_object, pick, row_json, split_words, time_text, to_millis, whole_days
 from tidewater.operators import changes as ch
 from tidewater.operators import logs, windows
+from tidewater.plans import keyed
 from tidewater.sinks import latest
 from tidewater.sources import renamed_camel
 
@@ -455,4 +456,5 @@ QUERIES = {
     "time_functions": time_functions,
     "scalar_functions": scalar_functions,
     "table_count": table_count,
+    **keyed.QUERIES,
 }

@@ -1,5 +1,7 @@
 """DuckDB SQL for each query of the catalogue, written from its definition."""
 
+from tidewater.plans import keyed
+
 LOG = "pl AS (SELECT event_id, ts, user_id, event_type, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CAST(ts AS DATE) AS day, event_type = 'view' AS entry FROM events)"
 CHANGES = """oc AS (SELECT *, CASE WHEN o_orderstatus = 'O' THEN 'insert' ELSE 'update' END AS type,
   lag(o_orderstatus) OVER w AS before_status, lag(o_orderpriority) OVER w AS before_priority, lag(o_orderkey) OVER w AS before_key
@@ -89,4 +91,5 @@ CASE WHEN date_trunc('second', ts) < CAST(ts AS DATE) + INTERVAL 12 HOUR THEN -1
 epoch_ms(CAST(CAST(ts AS DATE) AS TIMESTAMP)) // 86400000 AS epoch_day, strftime(CAST(ts AS DATE) - 1, '%Y-%m-%d') AS day_before, CAST(CAST(ts AS DATE) - DATE '2020-01-01' AS INTEGER) AS days_since FROM events""",
     "scalar_functions": "SELECT o_orderkey, TRY_CAST(o_orderpriority AS INTEGER) AS bad_int, CAST(CAST(o_totalprice AS DECIMAL(16,2)) AS DOUBLE) AS amount, CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS is_open, CAST(len(string_split(o_orderpriority, '-')) AS INTEGER) AS parts, true AS row_is_json, o_orderstatus AS status_back, 'search' AS source FROM orders",
     "table_count": "SELECT count(*) AS ct FROM lineitem",
+    **keyed.SQL,
 }
