@@ -42,22 +42,73 @@ def fan_out(log: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def routed(log: DataFrame) -> DataFrame:
-    """route, page_id, ts, body (JSON) of all five outputs of parsed logs, in one pass: each row becomes as many as it has routes."""
-    page = F.col("start").isNull() & F.col("page").isNotNull()
-    whole = F.to_json(F.struct("common", "page", "displays", "actions", "err", "ts"))
-    one = lambda route, body: F.array(F.struct(F.lit(route).alias("route"), body.alias("body")))
-    each = lambda route, items: F.transform(F.coalesce(F.col(items), F.array()), lambda x: F.struct(F.lit(route).alias("route"), F.to_json(x).alias("body")))
-    none = F.array().cast("array<struct<route: string, body: string>>")
+def has_field(field: str) -> Column:
+    """Whether ``object`` has a field, and not as JSON null."""
+    found = F.try_element_at("object", F.lit(field))
+    return found.isNotNull() & ~F.is_variant_null(found)
+
+
+def _of(path: str, kind: str) -> Column:
+    """The value under a field of ``object`` at a path such as common.mid; null where there is none of that kind."""
+    field, _, rest = path.partition(".")
+    return F.try_variant_get(F.try_element_at("object", F.lit(field)), "$" + (f".{rest}" if rest else ""), kind)
+
+
+def log_objects(values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Raw logs as ``value`` and ``object``, the fields of the text as variants, whatever they are; and dirty values: no object, or neither start nor page."""
+    rows = values.select("value", F.from_json("value", "map<string,variant>").alias("object"))
+    good = F.coalesce(is_json_object(F.col("value")) & (has_field("start") | has_field("page")), F.lit(False))
+    return rows.filter(good), rows.filter(~good).select("value")
+
+
+def visits_of(objects: DataFrame) -> DataFrame:
+    """``objects`` with what the repair of new-visitor flags needs: mid, at (time of the log), day, and is_new as 1 or 0."""
+    at = F.timestamp_millis(_of("ts", "long"))
+    return objects.select("*", _of("common.mid", "string").alias("mid"), at.alias("at"), F.to_date(at).alias("day"), F.when(_of("common.is_new", "string") == "1", 1).otherwise(0).alias("is_new"))
+
+
+def with_flag(objects: DataFrame, is_new: str) -> DataFrame:
+    """value and object, with ``common.is_new`` set to 0 where the column ``is_new`` says so and the log has 1."""
+    common = F.map_concat(F.map_filter(F.try_variant_get(F.col("object")["common"], "$", "map<string,variant>"), lambda k, _: k != "is_new"), F.create_map(F.lit("is_new"), F.parse_json(F.lit('"0"'))))
+    # Back from a map to one variant by way of its text.
+    repaired = F.transform_values("object", lambda k, v: F.when(k == "common", F.parse_json(F.to_json(common))).otherwise(v))
+    changes = (F.col(is_new) == 0) & (_of("common.is_new", "string") == "1")
+    return objects.select("value", F.when(changes, repaired).otherwise(F.col("object")).alias("object"))
+
+
+def repaired_log(objects: DataFrame) -> DataFrame:
+    """value and object of a table of logs, new-visitor flags repaired by device; logs without a device stay as they are."""
+    return with_flag(repair_is_new(visits_of(objects), "mid", "day", "is_new", ["at", "value"]), "is_new")
+
+
+def routed(objects: DataFrame) -> DataFrame:
+    """route, page_id, ts, body (JSON) of all five outputs of :func:`log_objects`, in one pass: each row becomes as many as it has routes.
+
+    Error and start: the whole object. Page: the object without displays and actions. Display and action: each of these,
+    with page_id, ts and common of its page. An error row is also what else it is. Bodies are written after the rows are
+    dealt out, so a filter on ``route``, or a query without ``body``, saves the writing.
+    """
+    page = ~has_field("start") & has_field("page")
+    one = lambda route, made: F.array(F.struct(F.lit(route).alias("route"), made.alias("made")))
+    none = F.array().cast("array<struct<route: string, made: map<string,variant>>>")
     if_any = lambda c, rows: F.when(c, rows).otherwise(none)
+    parent = F.create_map(F.lit("page_id"), _of("page.page_id", "variant"), F.lit("ts"), F.try_element_at("object", F.lit("ts")), F.lit("common"), F.try_element_at("object", F.lit("common")))
+    parent = F.map_filter(parent, lambda _, v: v.isNotNull())
+
+    def each(route: str, field: str) -> Column:
+        whole = lambda x: F.map_concat(F.map_filter(x, lambda k, _: ~k.isin("page_id", "ts", "common")), parent)
+        return F.coalesce(F.transform(_of(field, "array<map<string,variant>>"), lambda x: F.struct(F.lit(route).alias("route"), whole(x).alias("made"))), none)
+
+    whole = F.col("object")
     outputs = F.concat(
-        if_any(F.col("err").isNotNull(), one("error", whole)),
-        if_any(F.col("start").isNotNull(), one("start", F.to_json(F.struct("common", "start", "ts")))),
-        if_any(page, one("page", F.to_json(F.struct("common", "page", "ts")))),
+        if_any(has_field("err"), one("error", whole)),
+        if_any(has_field("start"), one("start", whole)),
+        if_any(page, one("page", F.map_filter(whole, lambda k, _: ~k.isin("displays", "actions")))),
         if_any(page, each("display", "displays")),
         if_any(page, each("action", "actions")),
     )
-    return log.select(F.explode(outputs).alias("o"), F.col("page.page_id").alias("page_id"), "ts").select("o.route", "page_id", "ts", "o.body")
+    dealt = objects.select(F.explode(outputs).alias("o"), _of("page.page_id", "string").alias("page_id"), _of("ts", "long").alias("ts"))
+    return dealt.select("o.route", "page_id", "ts", F.to_json("o.made").alias("body"))
 
 
 def session_entries(pages: DataFrame) -> DataFrame:
@@ -75,10 +126,14 @@ def of_pages(pages: DataFrame, *names: str) -> DataFrame:
     return pages.filter(F.col("page.page_id").isin(*names))
 
 
-def searches(pages: DataFrame) -> DataFrame:
-    """Page rows that show the result of a keyword search, with ``keyword``: what was searched for."""
+def searches(pages: DataFrame, ts: str | None = None) -> DataFrame:
+    """Page rows that show the result of a keyword search, with ``keyword``: what was searched for.
+
+    ``ts``: the event time of a stream with a watermark. Named in the condition, it keeps Spark from filtering before
+    the watermark is set, so that all rows move it.
+    """
     found = (F.col("page.last_page_id") == "search") & (F.col("page.item_type") == "keyword") & F.col("page.item").isNotNull()
-    return pages.filter(found).withColumn("keyword", F.col("page.item"))
+    return pages.filter(F.when(found, F.col(ts)).isNotNull() if ts else found).withColumn("keyword", F.col("page.item"))
 
 
 def explode_words(rows: DataFrame, text: str, tokenizer: Callable[[Column], Column] = split_words) -> DataFrame:
@@ -92,11 +147,11 @@ def repair_is_new(rows: DataFrame, key: str, day: str, flag: str, order: list[st
     """New-visitor flag 1 on another day than the key's first visit becomes 0.
 
     First visit: the key's first row's day if its flag is 1, else the day before (a known visitor). Only the first row
-    of each key is aggregated and joined back, so a busy key needs no window of its own.
+    of each key is aggregated and joined back, so a busy key needs no window of its own. Rows without a key stay as they are.
     """
-    first = rows.groupBy(key).agg(F.min_by(F.struct(F.col(day).alias("d"), F.col(flag).alias("f")), F.struct(*order)).alias("_first"))
+    first = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(F.col(day).alias("d"), F.col(flag).alias("f")), F.struct(*order)).alias("_first"))
     seen = F.when(F.col("_first.f") == 1, F.col("_first.d")).otherwise(F.date_sub("_first.d", 1))
-    joined = rows.join(first, key)
+    joined = rows.join(first, key, "left")
     return joined.withColumn(flag, F.when((F.col(flag) == 1) & (F.col(day) != seen), 0).otherwise(F.col(flag))).drop("_first")
 
 

@@ -217,24 +217,28 @@ def comment_grade(spark, d):
     return ch.enrich(rows, t(spark, d, "nation"), "appraise_code", "n_nationkey", small=True, appraise_name="n_name")
 
 
-def event_routes(spark, d):
-    """Events as raw log texts, parsed and routed in one pass."""
+def event_logs(spark, d):
+    """Events as raw log texts, with fields that no schema names."""
     kind, k = F.col("event_type"), F.get_json_object("props", "$.k").cast("int")
-    page = F.struct(kind.alias("page_id"), F.when(kind != "view", "home").alias("last_page_id"))
+    common = F.struct((k % 2).cast("string").alias("is_new"), F.col("user_id").cast("string").alias("mid"), F.concat(F.lit("s"), F.col("user_id") % 10).alias("sid"))
+    page = F.struct(F.when(kind != "view", "home").alias("last_page_id"), kind.alias("page_id"))
     err = F.when(k % 10 == 0, F.struct(F.lit(1).alias("error_code")))
     shown = F.when(k % 3 == 0, F.array(*[F.struct(F.lit(str(i)).alias("item"), F.lit(i).alias("order")) for i in (1, 2)]))
     done = F.when(k % 7 == 0, F.array(F.create_map(F.lit("action_id"), F.lit("cart_add"))))
-    log = F.struct(F.when(kind != "signup", page).alias("page"), F.when(kind == "signup", F.lit("{}")).alias("start"), err.alias("err"), shown.alias("displays"), done.alias("actions"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"))
-    parsed, _ = logs.parse_log(t(spark, d, "events").select(F.to_json(log).alias("value")))
-    return logs.routed(parsed)
+    start = F.when(kind == "signup", F.struct(F.lit("icon").alias("entry")))
+    log = F.struct(common.alias("common"), F.when(kind != "signup", page).alias("page"), start.alias("start"), err.alias("err"), shown.alias("displays"), done.alias("actions"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), F.struct(k.alias("k")).alias("extra"))
+    return t(spark, d, "events").select(F.to_json(log).alias("value"))
 
 
 def log_fan_out(spark, d):
-    return event_routes(spark, d).filter(F.col("route").isin("error", "start", "page")).groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.max(F.floor(F.col("ts") / 1000)).alias("last_second"))
+    routes = logs.routed(logs.log_objects(event_logs(spark, d))[0])
+    return routes.filter(F.col("route").isin("error", "start", "page")).groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.max(F.floor(F.col("ts") / 1000)).alias("last_second"))
 
 
 def log_five_routes(spark, d):
-    return event_routes(spark, d).select("route", "page_id", F.floor(F.col("ts") / 1000).alias("second"), F.get_json_object("body", "$.item").alias("item"))
+    """Every output row of every log, new-visitor flags repaired, bodies whole."""
+    objects, _ = logs.log_objects(event_logs(spark, d))
+    return logs.routed(logs.repaired_log(objects)).select("route", "page_id", F.floor(F.col("ts") / 1000).alias("second"), F.md5("body").alias("body_md5"))
 
 
 def event_pages(spark, d):

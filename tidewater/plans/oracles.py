@@ -6,6 +6,8 @@ LOG = "pl AS (SELECT event_id, ts, user_id, event_type, value, CAST(json_extract
 CHANGES = """oc AS (SELECT *, CASE WHEN o_orderstatus = 'O' THEN 'insert' ELSE 'update' END AS type,
   lag(o_orderstatus) OVER w AS before_status, lag(o_orderpriority) OVER w AS before_priority, lag(o_orderkey) OVER w AS before_key
   FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))"""
+REPAIRED = """f AS (SELECT *, k % 2 AS was_new, first_value(day) OVER w AS fday, first_value(k % 2) OVER w AS fflag FROM pl WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+rep AS (SELECT *, CASE WHEN was_new = 1 AND day <> CASE WHEN fflag = 1 THEN fday ELSE fday - 1 END THEN 0 ELSE was_new END AS is_new FROM f)"""
 VISITORS = "vis AS (SELECT * FROM pl WHERE entry QUALIFY row_number() OVER (PARTITION BY user_id, day ORDER BY ts, event_id) = 1)"
 JUMPS = """jmp AS (SELECT * EXCLUDE (nts, nentry) FROM (SELECT *, lead(ts) OVER w AS nts, lead(entry) OVER w AS nentry FROM pl WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
   WHERE entry AND (nts IS NULL OR nentry OR nts >= ts + INTERVAL 1 HOUR))"""
@@ -77,9 +79,17 @@ SELECT l.l_orderkey AS order_id, l.l_partkey AS sku_id, l.l_extendedprice, o.o_c
 FROM lineitem l LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') o ON l.l_orderkey = o_orderkey LEFT JOIN req ON req.l_orderkey = l.l_orderkey AND req.l_partkey = l.l_partkey LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON l.l_partkey % 25 = n_nationkey
 WHERE l.l_returnflag = 'R' AND l.l_linestatus = 'F'""",
     "coupon_order_fact": f"WITH {CHANGES} SELECT o_orderkey AS id, CASE WHEN before_priority <> o_orderpriority THEN before_priority END AS old_priority, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS order_time FROM oc WHERE type = 'update' AND (before_key IS NULL OR before_priority <> o_orderpriority)",
-    "log_five_routes": f"""WITH {LOG}, r AS (SELECT *, CASE WHEN event_type <> 'signup' THEN event_type END AS page_id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS second FROM pl)
-SELECT 'error' AS route, page_id, second, CAST(NULL AS VARCHAR) AS item FROM r WHERE k % 10 = 0 UNION ALL SELECT 'start', page_id, second, NULL FROM r WHERE event_type = 'signup' UNION ALL SELECT 'page', page_id, second, NULL FROM r WHERE event_type <> 'signup'
-UNION ALL SELECT 'display', page_id, second, unnest(['1', '2']) FROM r WHERE event_type <> 'signup' AND k % 3 = 0 UNION ALL SELECT 'action', page_id, second, NULL FROM r WHERE event_type <> 'signup' AND k % 7 = 0""",
+    "log_five_routes": f"""WITH {LOG}, {REPAIRED}, r AS (SELECT event_type, k, CASE WHEN event_type <> 'signup' THEN event_type END AS page_id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS second,
+'"ts":' || (epoch_us(ts) // 1000) AS moment, '"common":{{"is_new":"' || is_new || '","mid":"' || user_id || '","sid":"s' || (user_id % 10) || '"}}' AS common,
+CASE WHEN event_type = 'signup' THEN ',"start":{{"entry":"icon"}}' WHEN event_type = 'view' THEN ',"page":{{"page_id":"view"}}' ELSE ',"page":{{"last_page_id":"home","page_id":"' || event_type || '"}}' END AS main,
+CASE WHEN k % 10 = 0 THEN ',"err":{{"error_code":1}}' ELSE '' END AS err, ',"extra":{{"k":' || k || '}}' AS extra,
+CASE WHEN k % 3 = 0 THEN ',"displays":[{{"item":"1","order":1}},{{"item":"2","order":2}}]' ELSE '' END || CASE WHEN k % 7 = 0 THEN ',"actions":[{{"action_id":"cart_add"}}]' ELSE '' END AS listed FROM rep),
+b AS (SELECT *, '{{' || common || main || err || listed || ',' || moment || extra || '}}' AS whole, '"page_id":"' || page_id || '",' || moment || ',' || common || '}}' AS parent FROM r),
+o AS (SELECT 'error' AS route, page_id, second, whole AS body FROM b WHERE k % 10 = 0 UNION ALL SELECT 'start', page_id, second, whole FROM b WHERE event_type = 'signup'
+UNION ALL SELECT 'page', page_id, second, '{{' || common || main || err || ',' || moment || extra || '}}' FROM b WHERE event_type <> 'signup'
+UNION ALL SELECT 'display', page_id, second, unnest(['{{"item":"1","order":1,', '{{"item":"2","order":2,']) || parent FROM b WHERE event_type <> 'signup' AND k % 3 = 0
+UNION ALL SELECT 'action', page_id, second, '{{"action_id":"cart_add",' || parent FROM b WHERE event_type <> 'signup' AND k % 7 = 0)
+SELECT route, page_id, second, md5(body) AS body_md5 FROM o""",
     "search_keyword_window": f"WITH {LOG} SELECT {HOUR}, 'search' AS source, keyword, count(*) AS keyword_count FROM (SELECT ts, unnest([event_type, CAST(k AS VARCHAR)]) AS keyword FROM pl WHERE k % 6 = 0) GROUP BY ALL",
     "logged_in_entries": f"WITH {LOG} SELECT event_id, user_id FROM pl WHERE entry AND k % 3 <> 0 AND k % 10 <> 0",
     "login_window": f"WITH {LOG}, d AS (SELECT DISTINCT user_id, day FROM pl WHERE entry AND k % 3 <> 0 AND k % 10 <> 0), b AS (SELECT *, day - lag(day) OVER (PARTITION BY user_id ORDER BY day) AS gap FROM d) SELECT strftime(day, '%Y-%m-%d') AS dt, count(*) AS uu_ct, count(*) FILTER (gap >= 8) AS back_ct FROM b GROUP BY 1",
