@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+from collections.abc import Callable
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 DAY, SECOND = "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss"
@@ -119,3 +122,30 @@ def unix_now() -> Column:
 def changed_or_created(data: Column) -> Column:
     """Event time of a change record's values: ``operate_time``, else ``create_time``."""
     return F.coalesce(pick(data, "operate_time"), pick(data, "create_time"))
+
+
+def words_of(text: str) -> list[str]:
+    """Words of a text as :func:`split_words` cuts it."""
+    return [w for w in re.split(r"[^\w]+|_+", text.lower()) if w]
+
+
+def table_function(tokenizer: Callable[[str], list[str] | None] = words_of):
+    """A table function for SQL: a row for each word that ``tokenizer`` finds in a text. Where it fails, or gives None, the whole text is the word; null gives no row."""
+
+    class Words:
+        def eval(self, text: str):
+            if text is None:
+                return
+            try:
+                found = tokenizer(text)
+            except Exception:  # noqa: BLE001  a text that cannot be cut is kept whole
+                found = None
+            for word in [text] if found is None else found:
+                yield (word,)
+
+    return F.udtf(Words, returnType="word string")
+
+
+def register_table_functions(spark: SparkSession, tokenizer: Callable[[str], list[str] | None] = words_of) -> None:
+    """Makes ``split_words(text)`` known to SQL: ``SELECT ... FROM t, LATERAL split_words(t.item)``."""
+    spark.udtf.register("split_words", table_function(tokenizer))

@@ -9,8 +9,8 @@ from tidewater.functions import as_int, has_key, keep_keys, pick
 from tidewater.sinks import latest
 from tidewater.sources import order_details
 
-#: The most rows of a side that is broadcast.
-SMALL_ROWS = 100_000
+#: The most rows, and bytes as JSON, of a side that is broadcast.
+SMALL_ROWS, SMALL_BYTES = 100_000, 32 << 20
 INSERTS, WRITES = ("insert",), ("bootstrap-insert", "insert", "update")
 
 
@@ -59,8 +59,9 @@ def inserted_details(values: DataFrame) -> DataFrame:
 
 
 def small_side(df: DataFrame) -> DataFrame:
-    """``df`` marked for a broadcast, if a count shows that it has at most SMALL_ROWS rows; else as it is, for a join by shuffles."""
-    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+    """``df`` marked for a broadcast, if a count shows that it has at most SMALL_ROWS rows and SMALL_BYTES bytes; else as it is, for a join by shuffles."""
+    found = df.limit(SMALL_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("size")).first()
+    return F.broadcast(df) if found.n <= SMALL_ROWS and (found.size or 0) <= SMALL_BYTES else df
 
 
 def route(changes: DataFrame, config: DataFrame) -> DataFrame:

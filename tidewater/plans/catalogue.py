@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.functions import as_amount, as_int, changed_or_created, compare_times, date_part, day_text, days_between, flag, from_millis, is_json, is_json_object, pick, row_json, split_words, time_text, to_millis, whole_days
+from tidewater.functions import as_amount, as_int, changed_or_created, compare_times, date_part, day_text, days_between, flag, from_millis, is_json, is_json_object, pick, register_table_functions, row_json, split_words, time_text, to_millis, whole_days
 from tidewater.operators import changes as ch
 from tidewater.operators import logs, windows
 from tidewater.plans import keyed
@@ -252,6 +252,14 @@ def search_keyword_window(spark, d):
     return windows.tumble(words, "ts", "1 hour", ["source", "keyword"], keyword_count=F.count(F.lit(1)))
 
 
+def search_keyword_lateral(spark, d):
+    """The same in SQL, with the table function."""
+    register_table_functions(spark)
+    searched = logs.searches(event_pages(spark, d)).select("ts", "keyword")
+    words = spark.sql("SELECT s.ts, 'search' AS source, w.word AS keyword FROM {searched} s, LATERAL split_words(s.keyword) w", searched=searched)
+    return windows.tumble(words, "ts", "1 hour", ["source", "keyword"], keyword_count=F.count(F.lit(1)))
+
+
 def logged_in_entries(spark, d):
     return logs.logged_in_entries(event_pages(spark, d)).select("event_id", "user_id")
 
@@ -452,6 +460,7 @@ QUERIES = {
     "coupon_order_fact": coupon_order_fact,
     "log_five_routes": log_five_routes,
     "search_keyword_window": search_keyword_window,
+    "search_keyword_lateral": search_keyword_lateral,
     "logged_in_entries": logged_in_entries,
     "login_window": login_window,
     "cart_uu_fallback": cart_uu_fallback,

@@ -103,3 +103,4 @@ epoch_ms(CAST(CAST(ts AS DATE) AS TIMESTAMP)) // 86400000 AS epoch_day, strftime
     "table_count": "SELECT count(*) AS ct FROM lineitem",
     **keyed.SQL,
 }
+SQL["search_keyword_lateral"] = SQL["search_keyword_window"]

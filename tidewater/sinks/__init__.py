@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.sinks import keyed
 from tidewater.sinks.keyed import create_table, keyed_parts, latest, lists, properties, read_changes, read_keyed, replay, upsert, vacuum  # noqa: F401
 
 
@@ -59,3 +60,52 @@ def dimension_rows(routed: DataFrame, columns: list[str], pk: str = "id") -> Dat
 def land_by_date(df: DataFrame, ts: str, path: str) -> None:
     """Raw rows in folders by event date."""
     df.withColumn("dt", F.to_date(ts)).write.mode("append").partitionBy("dt").parquet(path)
+
+
+def land_stamped(path: str):
+    """What a micro-batch does: land its rows under ``path`` with ``arrived_at``, the time at which they came in. A batch run again keeps the stamps of its first run."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        jvm, fs, done = keyed._files(batch.sparkSession, f"{path}/batch={batch_id}/_SUCCESS")
+        if not fs.exists(done):
+            batch.withColumn("arrived_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return each
+
+
+def split_late(path: str, ts: str, delay_s: float = 2.0, skew_s: float = 60.0):
+    """What a micro-batch does: land its rows under ``path`` by lane: on_time, late, future.
+
+    Late: older than the latest on-time row of earlier batches less ``delay_s``. Future: more than ``skew_s`` ahead of the
+    clock; such rows move no watermark. Null times are late. Each row lies in exactly one lane. A batch run again
+    replaces its folder, and keeps its first run's clock.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        jvm, fs, folder = keyed._files(spark, f"{path}/_clock")
+        marks = sorted(int(f.getPath().getName()) for f in fs.listStatus(folder)) if fs.exists(folder) else []
+        begun = [m for m in marks if m % 2 == 0 and m // 2 == batch_id]
+        before = [m for m in marks if m % 2 and m // 2 < batch_id]
+        clock = _read_mark(spark, path, begun[-1]) if begun else _write_mark(spark, path, 2 * batch_id, spark.sql("select unix_millis(current_timestamp())").first()[0])
+        low = _read_mark(spark, path, before[-1]) if before else None
+        at = F.unix_millis(F.col(ts).cast("timestamp"))
+        late = at.isNull() if low is None else at.isNull() | (at < low)
+        lane = F.when(at > clock + int(1000 * skew_s), "future").when(late, "late").otherwise("on_time")
+        batch.withColumn("lane", lane).write.mode("overwrite").partitionBy("lane").parquet(f"{path}/batch={batch_id}")
+        _, _, here = keyed._files(spark, f"{path}/batch={batch_id}/lane=on_time")
+        newest = spark.read.parquet(f"{path}/batch={batch_id}/lane=on_time").agg(F.max(at)).first()[0] if fs.exists(here) else None
+        reached = [x for x in (low, None if newest is None else newest - int(1000 * delay_s)) if x is not None]
+        if reached:
+            _write_mark(spark, path, 2 * batch_id + 1, max(reached))
+
+    return each
+
+
+def _read_mark(spark, path: str, number: int) -> int:
+    return int(spark.read.text(f"{path}/_clock/{number}").first()[0])
+
+
+def _write_mark(spark, path: str, number: int, value: int) -> int:
+    spark.createDataFrame([(str(value),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_clock/{number}")
+    return value

@@ -13,6 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Parts of a keyed table, unless its first batch says otherwise. A table keeps its number.
 PARTS = 64
@@ -65,11 +66,11 @@ def _commit(spark: SparkSession, path: str, number: int, state: dict) -> None:
     fs.delete(jvm.org.apache.hadoop.fs.Path(new), True)
 
 
-def create_table(spark: SparkSession, path: str, schema: str, parts: int = PARTS, properties: str | None = None) -> bool:
+def create_table(spark: SparkSession, path: str, schema: str | StructType, parts: int = PARTS, properties: str | None = None) -> bool:
     """Makes an empty keyed table with the columns of ``schema`` and free-form ``properties``, if there is none; whether it did."""
     if lists(spark, path):
         return False
-    _commit(spark, path, 0, {"parts": {}, "of": parts, "schema": schema, "properties": properties})
+    _commit(spark, path, 0, {"parts": {}, "of": parts, "schema": schema if isinstance(schema, str) else schema.json(), "properties": properties})
     return True
 
 
@@ -89,7 +90,8 @@ def read_keyed(spark: SparkSession, path: str) -> DataFrame | None:
     if now is None:
         return None
     if not now["parts"]:
-        return spark.createDataFrame([], now["schema"])
+        schema = now["schema"]
+        return spark.createDataFrame([], StructType.fromJson(json.loads(schema)) if schema.startswith("{") else schema)
     rows = spark.read.option("mergeSchema", True).parquet(*(f"{path}/{v}" for v in now["parts"].values()))
     return rows.filter(~F.col(GONE)).drop(GONE, KIND)
 

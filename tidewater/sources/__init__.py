@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,12 +66,17 @@ def order_details(values: DataFrame) -> DataFrame:
 
 
 def lookup(spark: SparkSession, path: str | None = None, table: str | None = None, url: str | None = None, schema: str = DICTIONARY) -> DataFrame:
-    """A dimension table as it is now, from JDBC or files. Read again in each micro-batch, it stays fresh."""
+    """A dimension table as it is when this is called, from JDBC or files: a DataFrame of files keeps the list of files that it began with."""
     if url:
         return spark.read.format("jdbc").option("url", url).option("dbtable", table).load()
     return spark.read.schema(schema).parquet(path)
 
 
+def fresh(spark: SparkSession, **where: str) -> Callable[[], DataFrame]:
+    """A lookup to be read anew: each call gives the table as it is then. Called in each micro-batch, it serves as a lookup at processing time."""
+    return lambda: lookup(spark, **where)
+
+
 def routing_config(rows: DataFrame) -> DataFrame:
     """Latest routing row for each source table: key ``source_table``; a row of type delete removes it. ``ts`` orders; ties by the whole row."""
     last = rows.groupBy("source_table").agg(F.max(F.struct("ts", "type", "sink_table", "sink_columns", "sink_pk", "sink_extend")).alias("c"))

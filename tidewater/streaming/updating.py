@@ -55,8 +55,6 @@ class UpdatingJoin:
             if name in sides:
                 self._merge(sides[name], name, side.on, side.order, batch_id)
         held = sinks.read_keyed(spark, f"{self.root}/rows")
-        if held is None:
-            return
         marked, marks = held, []
         for n, (keys, batch) in enumerate([(self.keys, rows), *((s.on, sides[name]) for name, s in self.sides.items() if name in sides)]):
             seen = batch.select(*[F.col(k).alias(f"_k{n}_{i}") for i, k in enumerate(keys)]).distinct().withColumn(f"_m{n}", F.lit(True))
@@ -70,9 +68,7 @@ class UpdatingJoin:
         for n, (name, side) in enumerate(self.sides.items()):
             partners = sinks.read_keyed(spark, f"{self.root}/{name}")
             if partners is None:
-                if side.how == "inner":
-                    joined = joined.limit(0)
-                continue
+                raise ValueError(f"the first batch must have rows, or an empty table, of the side {name}")
             partners = partners.select(*[F.col(k).alias(f"_p{n}_{i}") for i, k in enumerate(side.on)], *[c for c in partners.columns if c not in side.on])
             joined = _join(joined, partners, [(k, f"_p{n}_{i}") for i, k in enumerate(side.on)], side.how)
         # Keys that the batch touched and that have no row now: removed, or without an inner partner.
@@ -82,6 +78,7 @@ class UpdatingJoin:
         sinks.upsert(out, f"{self.root}/result", self.keys, [], "_missing", batch_id, parts=self.parts)
 
     def _merge(self, rows: DataFrame, name: str, keys: list[str], order: list[str], batch_id: int) -> None:
+        sinks.create_table(rows.sparkSession, f"{self.root}/{name}", rows.drop(self.deleted).schema, self.parts)
         sinks.upsert(rows, f"{self.root}/{name}", keys, order, self.deleted if self.deleted in rows.columns else None, batch_id, parts=self.parts)
 
 
