@@ -87,7 +87,7 @@ def test_log_bodies(spark, tmp_path):
     assert got["action", "good_list", raw[1]["ts"]] == {"action_id": "cart", "n": 3} | parent
     flags = {k[1:]: v["common"].get("is_new") for k, v in got.items() if k[0] == "page" and "common" in v}
     assert flags == {("home", raw[0]["ts"]): "1", ("good_list", raw[1]["ts"]): "1", ("nobody", 5): "1", ("home", raw[5]["ts"]): "0", ("next", raw[6]["ts"]): "0", ("home", raw[7]["ts"]): "0", ("home", raw[8]["ts"]): "0"}
-    assert len(table) == 12
+    assert len(table) == 13
 
 
 def test_repair_keeps_rows_without_a_key(spark):
