@@ -170,6 +170,26 @@ def test_one_row_of_each_group_stays(spark):
     assert simhash.keep_first(docs.filter("doc_id is not null and text like 'd%'")).count() == 1 and simhash.keep_first(docs.limit(0)).count() == 0
 
 
+def test_rows_without_an_id_link_others(spark, monkeypatch):
+    """Fingerprints a, b, c, each 4 bits from the next, the middle one of a row without an id only; rows of one id link theirs."""
+    made = {"a": 0, "b": 0xF, "c": 0xFF, "far": 0xFFFF << 40, "lone": -1, "near lone": -2}
+    table = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c"), (None, "c"), (5, "far"), (None, "lone"), (None, "near lone"), (6, "a"), (6, "far")], "doc_id long, text string")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs: docs.select("doc_id", F.element_at(F.create_map(*[F.lit(x) for kv in made.items() for x in kv]).cast("map<string,bigint>"), F.col("text")).alias("fp")))
+    got = lambda rows: sorted(((r.doc_id or 0, r.fp, r.component_id) for r in simhash.near_duplicates(rows).collect()), key=str)
+    want = [(1, 0, 1), (0, 0xF, 1), (2, 0xFF, 1), (0, 0xFF, 1), (5, 0xFFFF << 40, 5), (0, -1, None), (0, -2, None)]
+    assert got(table.filter("doc_id is null or doc_id <> 6")) == sorted(want, key=str)
+    want = [(i, fp, c and 1) for i, fp, c in want] + [(6, 0, 1), (6, 0xFFFF << 40, 1)]
+    assert got(table) == sorted(want, key=str)
+
+
+def test_kept_rows_have_any_columns(spark):
+    rows = [(1, "one two three four five six", "h", "i", "t", "r", 1), (2, "one two three four five six", "h", "i", "t", "r", 2), (2, "one two three four five six", "h", "i", "t", "r", 2), (None, "nine ten", "x", "y", "z", "q", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _h string, _id string, _text string, row string, n long")
+    got = simhash.keep_first(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[3]], key=str)
+    assert sorted(r.n for r in simhash.keep_first(docs.filter("doc_id = 2")).collect()) == [2]
+
+
 def test_masks_cover():
     rng = random.Random(5)
     found = simhash.masks()
@@ -560,3 +580,58 @@ def test_packed_words_come_back():
     numbers = np.array([0, 1, 255, 256, 1 << 40, -1])
     parts, (back, none) = bpe._unpack(bpe._pack([b"", b"xy"], numbers, numbers[:0]))
     assert parts == [b"", b"xy"] and back.tolist() == numbers.tolist() and len(none) == 0
+
+
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice.\n2. Redistributions in binary form must reproduce the above copyright notice.\n"
+MIT_TEXT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"
+LICENCE_CASES = {
+    "bsd2/LICENSE": ("Copyright 2020 A. All rights reserved.\n" + BSD, "BSD-2-Clause"), "bsd2/x.c": ("code here", "BSD-2-Clause"),
+    "bsd3/LICENSE": (BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "BSD-3-Clause"),
+    "zlib/x.c": ("Copyright 1995 M. All rights reserved.\nThis software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "Zlib"),
+    "art/x.c": ("Licensed under the Artistic License, Version 2.0.", "Artistic-2.0"), "eupl/x.c": ("Licensed under the EUPL, Version 1.2", "EUPL-1.2"), "eupl/COPYING": ("European Union Public Licence v. 1.2\nEUPL (c) the European Union", "EUPL-1.2"),
+    "mit0/LICENSE": ("MIT No Attribution\n\nCopyright 2020 A\n\n" + MIT_TEXT, "MIT-0"), "mit/LICENSE": ("Copyright 2020 A\n\n" + MIT_TEXT, "MIT"), "prose/x.c": ("This tool, as a whole, is covered by the GNU General Public License, version 3, as its authors say.", "GPL-3.0"),
+    "wtf/COPYING": ("DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nVersion 2, December 2004", "WTFPL"), "ms/x.c": ("Microsoft Public License (Ms-PL)", "MS-PL"), "gpl2/x.c": ("licensed under the GNU General Public License, version 2.", "GPL-2.0"), "no/x.c": ("the license of version 2.0 of the work", None),
+}
+
+
+def test_licences_that_resemble_others(spark):
+    rows = [(p, t) for p, (t, _) in LICENCE_CASES.items()] + [(f"k{k}/x.c", f"some ordinary words of code number {k} version file") for k in range(300)]
+    got = {r.path: (r.licence, r.score) for r in licences.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert {p: got[p][0] for p in LICENCE_CASES} == {p: name for p, (_, name) in LICENCE_CASES.items()}, {p: got[p] for p in LICENCE_CASES}
+    assert all(got[f"k{k}/x.c"][0] is None for k in range(300))
+
+
+def brute_matches(files, templates, cosine, passage):
+    """Best score by licence of the lines and of the passages of a template's length that have a telling token in its place, by vectors over whole texts."""
+    token = re.compile(r"[^\W_](?:(?:[^\W_]|[.+-])*(?:[^\W_]|\+))?")
+    cut = lambda t: token.findall(t.lower())
+    df = collections.Counter(t for _, text in files for t in set(cut(text or "")))
+    weigh = lambda ts: {t: n * (math.log((len(files) + 1) / (df[t] + 1)) + 1) for t, n in collections.Counter(ts).items()}
+    size = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    out = {}
+    for path, text in files:
+        for name, template in templates:
+            own = weigh(cut(template))
+            must = {t for t in licences.TELLING.get(name, []) if t in own}
+            lines = [(cut(x), False) for x in (text or "").split("\n")]
+            flat, here = cut(text or ""), cut(template)
+            n, anchors = len(here), set(licences.marks(own, passage))
+            aligned = lambda k: any(0 <= k + j < len(flat) and flat[k + j] == t and t in anchors for j, t in enumerate(here))  # noqa: B023, E731
+            for words, whole in lines + [(flat[max(0, k) : k + n], True) for k in range(1 - n, len(flat)) if aligned(k)]:
+                v = weigh(words)
+                if not words or not must <= set(words):
+                    continue
+                products = [v[t] * own[t] for t in v if t in own]
+                score = round(sum(products) / size(v) / size(own), 9)
+                if score >= passage if whole else len(words) <= n and score >= cosine and max(products) <= licences.ALONE * sum(products):
+                    out.setdefault(path, {})[name] = max(score, out.get(path, {}).get(name, 0))
+    return out
+
+
+def test_licence_scores_by_brute_force(spark):
+    """Scores of files equal a TF-IDF over all lines and all passages, computed apart."""
+    files = [(p, t) for p, (t, _) in LICENCE_CASES.items() if len(t) < 700] + [("w/a.c", "/* Licensed under the GNU Lesser\n * General Public\n * License, version 3. */\nsee code"), ("w/b.c", "see which is Released under the MIT License, and code"), ("w/c.c", None), ("w/d.c", "All rights reserved.")]
+    want = brute_matches(files, licences.TEMPLATES, licences.COSINE, licences.PASSAGE)
+    _, found = licences.matches(spark.createDataFrame(files, "path string, text string"))
+    got = {r.path: -r.b.less for r in found.groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("less"), "licence")).alias("b")).collect()}
+    assert got == {p: max(x.values()) for p, x in want.items()} and len(got) > 8

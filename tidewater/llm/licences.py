@@ -24,12 +24,15 @@ LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$"
 # Licence names; the sentences by which files refer to them, the titles, and the passages that tell their texts apart.
 TEMPLATES = [
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "GNU Affero General Public License, version 3"),
     ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
     ("AGPL-3.0", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
     ("Apache-2.0", "You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("Artistic-2.0", "The Artistic License 2.0"),
+    ("Artistic-2.0", "Licensed under the Artistic License, version 2.0."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
     ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
@@ -43,25 +46,43 @@ TEMPLATES = [
     ("CC0-1.0", "CC0 1.0 Universal"),
     ("EPL-2.0", "Eclipse Public License - v 2.0"),
     ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("EUPL-1.2", "European Union Public Licence v. 1.2"),
+    ("EUPL-1.2", "Licensed under the EUPL, Version 1.2 only (the Licence);"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
     ("GPL-2.0", "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "GNU General Public License, version 3"),
     ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
     ("GPL-3.0", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "GNU Lesser General Public License, version 3"),
     ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("LGPL-3.0", "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("MIT-0", "MIT No Attribution"),
+    ("MS-PL", "Microsoft Public License (Ms-PL)"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("Proprietary", "All rights reserved."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("WTFPL", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE"),
     ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
 ]
+#: Words without which a text is not that licence's, where a template has them.
+TELLING = {
+    "AGPL-3.0": ["affero", "agpl-3.0"], "Apache-2.0": ["apache", "apache-2.0"], "Artistic-2.0": ["artistic", "artistic-2.0"], "BSD-2-Clause": ["bsd-2-clause"], "BSD-3-Clause": ["bsd-3-clause", "endorse"],
+    "BSL-1.0": ["boost", "bsl-1.0"], "CC-BY-4.0": ["cc-by-4.0", "creative"], "CC-BY-NC-4.0": ["by-nc", "cc-by-nc-4.0", "attribution-noncommercial"], "CC-BY-SA-4.0": ["by-sa", "cc-by-sa-4.0", "attribution-sharealike"],
+    "CC0-1.0": ["waived", "cc0", "cc0-1.0"], "EPL-2.0": ["eclipse", "epl-2.0"], "EUPL-1.2": ["eupl", "european", "eupl-1.2"], "GPL-2.0": ["gnu", "2", "gpl-2.0"], "GPL-3.0": ["gnu", "gpl-3.0"], "ISC": ["isc", "granted"],
+    "LGPL-2.1": ["lesser", "2.1", "lgpl-2.1"], "LGPL-3.0": ["lesser", "lgpl-3.0"], "MIT": ["mit", "granted"], "MIT-0": ["mit", "attribution", "mit-0"], "MPL-2.0": ["mozilla", "mpl-2.0"], "MS-PL": ["microsoft", "ms-pl"],
+    "Unlicense": ["unencumbered", "unlicense"], "WTFPL": ["fuck", "wtfpl"], "Zlib": ["warranty", "zlib"],
+}
+#: Licences whose text holds another's: where both match a file, the latter is not its licence. Any licence beats "Proprietary".
+HOLDS = {"BSD-3-Clause": ["BSD-2-Clause"], "MIT-0": ["MIT"], "AGPL-3.0": ["GPL-3.0"], "LGPL-3.0": ["GPL-3.0"]}
 #: Every licence is also known by its tag.
 TEMPLATES += [(name, f"SPDX-License-Identifier: {name}") for name in dict(TEMPLATES) if name != "Proprietary"]
 
@@ -122,7 +143,7 @@ def matches(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, cosi
     ``cosine`` and of each passage that reaches ``passage``; ties by name.
 
     A line counts for templates that are no shorter (the rest of a longer one is other text, and its passages are scored),
-    and only if no single token brings more than ALONE of the cosine. A token weighs its count times its inverse document frequency over all files. A full notice is a passage equal to
+    and only if no single token brings more than ALONE of the cosine. What is scored must hold the template's telling words (TELLING). A token weighs its count times its inverse document frequency over all files. A full notice is a passage equal to
     its template, so it scores 1 whatever stands round it and however many files there are.
     """
     spark = files.sparkSession
@@ -134,7 +155,8 @@ def matches(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, cosi
     idf = {t: math.log((total + 1) / (seen.get(t, 0) + 1)) + 1 for t in vocabulary}
     vectors = [{t: own.count(t) * idf[t] for t in own} for own in words]
     norms = [math.sqrt(sum(x * x for x in v.values())) for v in vectors]
-    unit = spark.createDataFrame([(t, k, name, len(words[k]), x / norms[k]) for k, ((name, _), v) in enumerate(zip(templates, vectors, strict=True)) for t, x in v.items()], "t string, u int, licence string, longest int, x double")
+    must = [{t for t in TELLING.get(name, []) if t in v} for (name, _), v in zip(templates, vectors, strict=True)]
+    unit = spark.createDataFrame([(t, k, name, len(words[k]), len(must[k]), int(t in must[k]), x / norms[k]) for k, ((name, _), v) in enumerate(zip(templates, vectors, strict=True)) for t, x in v.items()], "t string, u int, licence string, longest int, must int, telling int, x double")
 
     line_marks = sorted({t for v in vectors for t in marks(v, cosine)})
     anchors = [(t, k, place) for k, v in enumerate(vectors) for needed in [set(marks(v, passage))] for place, t in enumerate(words[k]) if t in needed]
@@ -152,7 +174,7 @@ def matches(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, cosi
     weighed = stash(counted.join(df, "t", "left").select("c", "template", "t", "k", weigh.alias("w")))
     length = weighed.groupBy("c").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"), F.sum("k").alias("n"))
     product = F.col("w") * F.col("x")
-    dot = weighed.join(F.broadcast(unit), "t").filter("template in (-1, u)").groupBy("c", "template", "u", "licence", "longest").agg(F.sum(product).alias("dot"), F.max(product).alias("most"))
+    dot = weighed.join(F.broadcast(unit), "t").filter("template in (-1, u)").groupBy("c", "template", "u", "licence", "longest", "must").agg(F.sum(product).alias("dot"), F.max(product).alias("most"), F.sum("telling").alias("told")).filter("told = must")
     line = (F.col("template") < 0) & (F.col("n") <= F.col("longest")) & (F.col("score") >= cosine) & (F.col("most") <= ALONE * F.col("dot"))
     scored = dot.join(length, "c").withColumn("score", F.round(F.col("dot") / F.col("length"), 9)).filter(line | ((F.col("template") >= 0) & (F.col("score") >= passage)))
     best = scored.groupBy("c").agg(F.min(F.struct((-F.col("score")).alias("less"), "licence")).alias("b"))
@@ -164,7 +186,8 @@ def matches(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, cosi
 def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, cosine: float = COSINE) -> DataFrame:
     """path, licence, score, found ('own', 'inherited' or null), origin (path of the match's file), licence_file, for each path.
 
-    ``files`` has path (parts joined by /) and text. A file's own licence is that of its best matching line or passage. A file is its
+    ``files`` has path (parts joined by /) and text. A file's own licence is that of its best matching line or passage, but for licences
+    that another matching one's text holds (HOLDS). A file is its
     directory's licence file by its name, or if at least half of its tokens lie in matching lines and passages; of several
     in a directory the best score speaks, ties by path. A file without an own licence inherits from the nearest ancestor
     directory that has a licence file. Null or empty texts match nothing; rows that repeat a path are one file, whose
@@ -174,7 +197,11 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, cosine:
     sizes, found = matches(files, templates, cosine)
     found = stash(found)
     covered = found.select("path", "version", F.explode("span").alias("s")).select("path", "version", "s.line", "s.place").distinct().groupBy("path").agg(F.count(F.lit(1)).alias("matched"))
-    own = found.groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("less"), "licence")).alias("b")).join(covered, "path")
+    # Of a file's licences, a row each at most, those that another one's text holds go.
+    named = found.groupBy("path", "licence").agg(F.max("score").alias("score")).groupBy("path").agg(F.collect_list(F.struct((-F.col("score")).alias("less"), "licence")).alias("all"))
+    inside = F.create_map(*[x for name in dict(templates) for x in (F.lit(name), F.array(*[F.lit(h) for h in [*HOLDS.get(name, []), *(["Proprietary"] if name != "Proprietary" else [])]]).cast("array<string>"))])
+    held = F.flatten(F.transform("all", lambda x: inside[x["licence"]]))
+    own = named.select("path", F.array_min(F.filter("all", lambda x: ~F.array_contains(held, x["licence"]))).alias("b")).join(covered, "path")
     sizes = sizes.groupBy("path").agg(F.sum("n").alias("n"))
     name = F.element_at(F.split("path", "/"), -1)
     directory = F.regexp_replace("path", r"/?[^/]*$", "")

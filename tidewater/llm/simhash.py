@@ -148,24 +148,25 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id of every document: the smallest doc_id that links of near fingerprints reach.
 
-    Exact copies share a fingerprint, so only distinct fingerprints enter the tables. Null or empty texts all have
-    fingerprint zero and form a group with whatever is near zero. Repeated rows of a doc_id stay, each with its own
-    fingerprint; a null doc_id gets the component of its fingerprint, if any other document has one. Extra columns of
-    ``docs`` are ignored. An empty table gives an empty result.
+    Exact copies share a fingerprint, so only distinct fingerprints enter the tables, as nodes of their own: those of rows
+    without a doc_id link others too, and such rows get their component's smallest doc_id, null where it has none. Null or
+    empty texts all have fingerprint zero and form a group with whatever is near zero. Repeated rows of a doc_id stay,
+    each with its own fingerprint, and link these. Extra columns of ``docs`` are ignored. An empty table gives an empty result.
     """
     fps = stash(fingerprints(docs))
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("node")).filter("node is not null")
-    # Repeated rows of a doc_id may give several fingerprints the same node: links between equal nodes need no edge.
-    reach = components(links(nodes, radius))
-    rooted = nodes.join(reach, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    if fps.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        rooted = _merged(fps, rooted)
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    reach = components(links(nodes.select("fp", F.col("fp").alias("node")), radius))
+    rooted = stash(nodes.join(reach.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root")))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = rooted.join(named, "root").select("fp", "component_id")
+    if fps.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        rooted = _merged(fps, stash(rooted))
     return fps.join(rooted, "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def _merged(fps: DataFrame, rooted: DataFrame) -> DataFrame:
     """Components joined further where rows of one doc_id have different fingerprints."""
-    seen = fps.join(rooted, "fp").select("doc_id", "component_id").distinct()
+    seen = fps.filter("doc_id is not null").join(rooted, "fp").select("doc_id", "component_id").distinct()
     low = seen.groupBy("doc_id").agg(F.min("component_id").alias("low"))
     further = components(seen.join(low, "doc_id").filter("component_id > low").select(F.col("component_id").alias("a"), F.col("low").alias("b")))
     return rooted.join(further.withColumnRenamed("node", "component_id"), "component_id", "left").select("fp", F.coalesce("component", "component_id").alias("component_id"))
@@ -182,12 +183,13 @@ def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     rows = fps.groupBy("fp", "doc_id", "h").agg(F.count(F.lit(1)).alias("n")).join(reach.withColumnRenamed("node", "fp"), "fp", "left")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h", "n"))
     first = stash(rows.groupBy(F.coalesce("component", "fp").alias("component")).agg(least.alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.h").alias("_text"), "f.n"))
-    hashed = docs.withColumn("_h", F.xxhash64("text"))
-    chosen = lambda only: hashed.join(first.filter(only), hashed["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (hashed["_h"] == F.col("_text")), "left_semi")
-    once = chosen("n = 1").drop("_h")
-    if not first.filter("n > 1").limit(1).count():
-        return once
-    return once.union(chosen("n > 1").dropDuplicates(["doc_id", "_h"]).drop("_h"))
+    # The row travels whole, so that its columns may have any names.
+    hashed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"))
+    chosen = lambda only: hashed.join(first.filter(only).drop("n"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_text")), "left_semi")
+    once = chosen("n = 1")
+    if first.filter("n > 1").limit(1).count():
+        once = once.union(chosen("n > 1").dropDuplicates(["id", "h"]))
+    return once.select("row.*")
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
