@@ -135,6 +135,15 @@ def test_bpe(docs, rows, nothing):
     assert bpe.encode(nothing, BPE).count() == 0
 
 
+def test_bpe_with_few_parts_and_groups_of_blocks(spark, docs, rows, monkeypatch):
+    """More partitions than parts: a part's lists are dealt into groups, and ids are the same."""
+    monkeypatch.setattr(bpe, "MOST_PARTS", 3)
+    monkeypatch.setattr(bpe, "BLOCK_WORDS", 20)
+    t = packing.tokenizer(BPE)
+    got = {r.doc_id: r.ids for r in bpe.encode(docs, BPE).collect()}
+    assert {k: np.frombuffer(v, "<u4").tolist() for k, v in got.items()} == {k: t.encode(text or "", add_special_tokens=False).ids for k, text in rows}
+
+
 def brute_fingerprint(text):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not w:
@@ -368,6 +377,23 @@ def test_language_model_in_many_shards(spark, docs):
     assert got[0] == got[1]
 
 
+def test_maps_keep_no_handles(tmp_path):
+    """More arrays than a process may have open files; arrays of any kind and size, and files that are not there."""
+    import resource
+
+    for k in range(300):
+        kneser.save(f"{tmp_path}/x_{k}.npy", np.arange(k, dtype=np.uint16 if k % 2 else np.uint64))
+    kneser.save(f"{tmp_path}/y_0.npy", np.arange(10, dtype=np.int64).reshape(5, 2))
+    before = resource.getrlimit(resource.RLIMIT_NOFILE)
+    resource.setrlimit(resource.RLIMIT_NOFILE, (min(before[0], 250), before[1]))
+    try:
+        shards = kneser.Shards(f"{tmp_path}/x_{{}}.npy", 301)
+        assert all(shards[k].tolist() == list(range(k)) for k in range(300)) and shards[300] is None and len(shards) == 301
+        assert kneser.Shards(f"{tmp_path}/y_{{}}.npy", 1)[-1].tolist() == np.arange(10).reshape(5, 2).tolist()
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, before)
+
+
 def test_language_model(docs, rows, nothing):
     toks = {k: [*WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), "\n"] for k, t in rows}
     train = [k for k in toks if k % 3]

@@ -23,8 +23,9 @@ from tidewater.llm.packing import ids_of, tokenizer
 
 #: A block ends at this much text or this many distinct words.
 BLOCK_BYTES, BLOCK_WORDS = 96 << 20, 600_000
-#: Parts of a block's word list, by word hash, for each shuffle partition.
-PARTS = 2
+#: Parts of a block's word list, by word hash, for each shuffle partition; and how many a block has at most, so that a part is not a few words
+#: only. Beyond it the lists of a part are dealt into groups of blocks, and a word is encoded once for each group.
+PARTS, MOST_PARTS = 2, 256
 #: Leading bytes of numbers with one and with three further bytes; the least number with three.
 TWO, FOUR = 160, 240
 LARGE = TWO + (FOUR - TWO << 8)
@@ -194,16 +195,18 @@ def blocks(docs: DataFrame, specials: list[str], parts: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), segments(F.col("text"), specials).alias("words")).mapInArrow(run, TABLE)
 
 
-def word_ids(lists: DataFrame, path: str) -> DataFrame:
-    """The word lists, met by part: each distinct word is encoded once, and each list comes back as its ids."""
+def word_ids(lists: DataFrame, path: str, parts: int) -> DataFrame:
+    """The word lists, met by part and group: each distinct word is encoded once in a group, and each list comes back as its ids."""
     n = partitions(lists.sparkSession)
+    groups = -(-PARTS * n // parts)
+    unit = F.col("part") * groups + F.pmod(F.hash("block"), F.lit(groups))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, known, last = tokenizer(path), {}, None
         for batch in batches:
             for row in batch.to_pylist():
-                if row["part"] != last:
-                    known, last = {}, row["part"]
+                if row["unit"] != last:
+                    known, last = {}, row["unit"]
                 words = _unpack_words(row["payload"])
                 new = [w for w in words if w not in known]
                 for w, ids in zip(new, ids_of(tok, [w.decode() for w in new]), strict=True):
@@ -212,7 +215,7 @@ def word_ids(lists: DataFrame, path: str) -> DataFrame:
                 packed = _pack(_planes(np.frombuffer(b"".join(ids), "<u4")), np.array([len(i) for i in ids], dtype=np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([row["part"]], pa.int32()), pa.array([packed], pa.binary())], names=["kind", "block", "part", "payload"])
 
-    return lists.repartitionById(n, F.col("part") % n).sortWithinPartitions("part").mapInArrow(run, TABLE)
+    return lists.withColumn("unit", unit.cast("int")).repartitionById(n, F.col("unit") % n).sortWithinPartitions("unit").mapInArrow(run, TABLE)
 
 
 def piece_table(path: str) -> dict[int, bytes]:
@@ -233,9 +236,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     The blocks are written once to the shared folder, so a lost executor cannot number a block's words anew.
     """
     n = partitions(docs.sparkSession)
-    parts = PARTS * n
+    parts = min(PARTS * n, MOST_PARTS)
     written = stash(blocks(docs, special_tokens(path), parts))
-    encoded = word_ids(written.filter("kind = 0"), path)
+    encoded = word_ids(written.filter("kind = 0"), path, parts)
     # Block k of input partition p goes to task p + k, so that no task gets several while others have none.
     place = ((F.shiftright("block", 32) + F.col("block").bitwiseAND(F.lit((1 << 32) - 1))) % n).cast("int")
     both = written.filter("kind = 1").unionByName(encoded).repartitionById(n, place).sortWithinPartitions("block", F.desc("kind"), "part")

@@ -8,7 +8,9 @@ Each shard is one numpy file in the shared folder, written by the task that hold
 from __future__ import annotations
 
 import io
+import mmap
 import os
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,7 +68,7 @@ class Lookup:
 
     def __init__(self, folder: str, name: str, shards: int):
         self.shards = shards
-        self.keys = [_open(f"{folder}/{name}_keys_{k}.npy") for k in range(shards)]
+        self.keys = Shards(f"{folder}/{name}_keys_{{}}.npy", shards)
 
     def find(self, keys: np.ndarray, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each shard: which of the (sorted, distinct) keys it holds, and where."""
@@ -292,10 +294,10 @@ class Scorer:
         self.m = model
         folder, shards = model["folder"], model["shards"]
         self.words = Words(folder, shards, model["bases"])
-        self.word_counts = [_open(f"{folder}/word_counts_{k}.npy") for k in range(shards)]
+        self.word_counts = Shards(f"{folder}/word_counts_{{}}.npy", shards)
         self.pairs = Lookup(folder, "pair", shards)
-        self.pair_counts = [_open(f"{folder}/pair_counts_{k}.npy") for k in range(shards)]
-        self.sums = [_open(f"{folder}/sums_{k}.npy") for k in range(shards + 1)]
+        self.pair_counts = Shards(f"{folder}/pair_counts_{{}}.npy", shards)
+        self.sums = Shards(f"{folder}/sums_{{}}.npy", shards + 1)
 
     def sums_of(self, ids: np.ndarray) -> np.ndarray:
         """Sum as predecessor, its counts of 1, 2, 3 or more, and predecessors, for sorted distinct ids; zero for unknown."""
@@ -344,8 +346,36 @@ class Scorer:
         return counts, known, np.add.reduceat(base, ends), np.add.reduceat(np.log10(full)[back], ends)
 
 
-def _open(path: str):
-    return np.load(path, mmap_mode="r") if os.path.exists(path) else None
+def _open(path: str) -> np.ndarray | None:
+    """An array mapped from its file, without a handle that stays open: a model may have more files than a process may have handles. None where there is no file."""
+    if not os.path.exists(path):
+        return None
+    with open(path, "rb") as f:
+        np.lib.format.read_magic(f)
+        shape, _, kind = np.lib.format.read_array_header_1_0(f)
+        begin, size = f.tell(), int(np.prod(shape)) * kind.itemsize
+        if not size:
+            return np.zeros(shape, dtype=kind)
+        # Without trackfd (Python 3.13 on), a map would keep a handle of its own; older ones read the file instead.
+        if sys.version_info >= (3, 13):
+            raw = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
+            return np.frombuffer(raw, dtype=kind, count=size // kind.itemsize, offset=begin).reshape(shape)
+    return np.load(path)
+
+
+class Shards:
+    """Arrays of a model by number, each opened when it is first asked for."""
+
+    def __init__(self, pattern: str, n: int):
+        self.pattern, self.held = pattern, [False] * n
+
+    def __len__(self) -> int:
+        return len(self.held)
+
+    def __getitem__(self, k: int) -> np.ndarray | None:
+        if self.held[k] is False:
+            self.held[k] = _open(self.pattern.format(k % len(self.held)))
+        return self.held[k]
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
