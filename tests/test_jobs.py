@@ -233,6 +233,22 @@ def test_windows_of_changes(spark, tmp_path):
     assert [r.cart_add_uu_ct for r in cart] == [1]
 
 
+def test_joined_jobs_as_streams(spark, tmp_path, words):
+    """Payments with the details of their orders, refunds with their order and request, and cart users, each as one stream, equal their tables."""
+    placed = jobs.placed_orders(jobs.order_details(sources.changes(spark.createDataFrame([(v,) for v in FACTS], "value string")), words)).drop("pt", "ts")
+    placed.write.parquet(str(tmp_path / "placed"))  # the details come from where their job wrote them
+    details = lambda live: spark.readStream.schema(placed.schema).parquet(str(tmp_path / "placed")).withWatermark("event_time", "2 seconds") if live else placed
+    build = lambda v: jobs.successful_payments(sources.changes(v), details(v.isStreaming), words)
+    table, stream = both(spark, tmp_path / "paid", FACTS + CLOSING, build, 3)
+    assert sorted((r["order_detail_id"], r["payment_type_name"]) for r in table) == [("11", "card"), ("12", "card")] and stream == table
+    table, stream = both(spark, tmp_path / "refunded", FACTS + CLOSING, lambda v: jobs.refund_payments(sources.changes(v), words), 3)
+    mine = lambda rows: [r for r in rows if r["id"] == "1"]
+    assert [(r["user_id"], r["refund_num"]) for r in mine(table)] == [("7", "1")] and mine(stream) == mine(table)
+    more = [change(k, "cart_info", id=k, user_id=u, sku_num=1, create_time=text(k)) for k, u in ((20, 8), (21, 7), (86400, 7), (5 * 86400, 9), (6 * 86400, 9))]
+    table, stream = both(spark, tmp_path / "carts", FACTS + more, lambda v: jobs.cart_users(sources.changes(v), "1 day"), 4)
+    assert [r["cart_add_uu_ct"] for r in table] == [2, 1, 1, 1] and stream == table[:2]  # a day later than the watermark
+
+
 def test_dimensions(spark, tmp_path):
     """Configuration and changes to keyed tables, by micro-batches; the configuration's later row counts, a deleted one routes nothing."""
     config = spark.createDataFrame([("user_info", 1, "insert", "dim_user", "id,name", None, None), ("user_info", 2, "update", "dim_user", "id, name ,level", "id", None), ("sku_info", 1, "insert", "dim_sku", "id", None, None), ("sku_info", 2, "delete", "dim_sku", "id", None, None)], "source_table string, ts int, type string, sink_table string, sink_columns string, sink_pk string, sink_extend string")
@@ -288,6 +304,15 @@ def test_product_orders(spark):
     assert got == {"pen": (2, 12.5, "brand", "c2", "6", None), None: (1, 1.0, None, None, None, None)}
 
 
+def test_product_orders_as_a_stream(spark, tmp_path):
+    rows = [("u", "1", text(0), "10.5"), ("u", "1", text(1), "2"), ("u", "9", text(2), "1"), ("v", "1", text(3600), "4")]
+    frame = lambda rows, kind: spark.createDataFrame(rows, kind)
+    dims = frame([("1", "2", "3", "4")], "id string, spu_id string, tm_id string, category3_id string"), frame([("2", "pen")], "id string, spu_name string"), frame([("3", "brand")], "id string, tm_name string"), frame([("4", "c3", "5")], "id string, name string, category2_id string"), frame([("5", "c2", "6")], "id string, name string, category1_id string"), frame([("6", "c1")], "id string, name string")
+    values = [json.dumps(dict(zip(("user_id", "sku_id", "order_create_time", "split_total_amount"), r, strict=True))) for r in rows]
+    table, stream = both(spark, tmp_path / "products", values, lambda v: jobs.product_orders(sources.order_details(v), *dims), 2)
+    assert len(table) == 3 and stream == table[:2] and {r["spu_name"] for r in stream} == {"pen", None}
+
+
 def test_files_in_and_out(spark, tmp_path):
     """Readers and writers on files: several sources, page log, lookups, query lists, JSON strings, analytic tables, raw landing."""
     for k in ("a", "b"):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,6 +85,14 @@ def enrich(df: DataFrame, dim: DataFrame, key: str, dim_key: str, how: str = "le
     return df.join(small_side(side) if small else side, F.col(key) == F.col("_k"), how).drop("_k")
 
 
+def enrich_by(df: DataFrame, dim: DataFrame, key: Column, dim_key: Column, joined: Callable[[Column], dict[str, Column]], how: str = "left") -> DataFrame:
+    """``df`` with columns made by a user's functions: ``key`` and ``dim_key`` say what meets, ``joined`` makes the new columns (or new values of old ones)
+    from the dimension's row, a struct that is null where the key is missing. The dimension's key must be unique; no column of it comes along by itself."""
+    side = dim.select(dim_key.alias("_k"), F.struct("*").alias("_dim"))
+    rows = df.withColumn("_key", key)
+    return rows.join(side, F.col("_key") == F.col("_k"), how).withColumns(joined(F.col("_dim"))).drop("_key", "_k", "_dim")
+
+
 def order_detail_wide(details: DataFrame, orders: DataFrame, activities: DataFrame, coupons: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Order details with their order (inner), activity and coupon (left, latest of each detail) and source name (inner).
 

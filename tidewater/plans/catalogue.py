@@ -144,6 +144,14 @@ def lookup_two_roles(spark, d):
     return rows.groupBy("customer_nation", "supplier_nation").agg(F.count(F.lit(1)).alias("n"))
 
 
+def lookup_user_function(spark, d):
+    """A lookup by computed keys whose join function makes columns of both rows."""
+    joined = lambda n: {"place": F.concat_ws("/", n["n_regionkey"], F.lower(n["n_name"])), "own_segment": F.when(n["n_name"].isNull(), "unknown").otherwise(F.col("c_mktsegment"))}
+    some = t(spark, d, "nation").filter("n_nationkey % 4 <> 1")
+    rows = ch.enrich_by(t(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey"), some, F.concat(F.lit("n"), F.col("c_nationkey")), F.concat(F.lit("n"), F.col("n_nationkey")), joined)
+    return rows.select("c_custkey", F.nullif("place", F.lit("")).alias("place"), "own_segment")
+
+
 def wide_details(spark, d):
     details = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("order_detail_id"), "l_partkey", F.col("l_extendedprice").alias("order_price"), F.col("l_quantity").alias("sku_num"), F.concat(F.lit("c"), F.col("l_suppkey") % 25).alias("source_type"))
     orders = t(spark, d, "orders").select(F.col("o_orderkey").alias("order_id"), "o_custkey", "o_orderstatus")
@@ -432,6 +440,7 @@ QUERIES = {
     "lookup_inner": lookup_query("inner"),
     "lookup_left": lookup_query("left"),
     "lookup_two_roles": lookup_two_roles,
+    "lookup_user_function": lookup_user_function,
     "order_detail_wide": order_detail_wide,
     "payment_success": payment_success,
     "refund_request": refund_request,

@@ -40,6 +40,7 @@ UNION ALL SELECT 'dim_seller', CAST(s_suppkey AS VARCHAR), x.col, x.value FROM s
     "dim_upsert_latest": "SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
     "lookup_inner": "SELECT c_custkey, c_nationkey, n_name AS dic_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey % 3 <> 0",
     "lookup_left": "SELECT c_custkey, c_nationkey, n_name AS dic_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 3 <> 0) ON c_nationkey = n_nationkey",
+    "lookup_user_function": "SELECT c_custkey, n_regionkey || '/' || lower(n_name) AS place, CASE WHEN n_name IS NULL THEN 'unknown' ELSE c_mktsegment END AS own_segment FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 4 <> 1) ON c_nationkey = n_nationkey",
     "lookup_two_roles": "SELECT a.n_name AS customer_nation, b.n_name AS supplier_nation, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation a ON c_nationkey = a.n_nationkey LEFT JOIN nation b ON s_nationkey = b.n_nationkey GROUP BY 1, 2",
     "order_detail_wide": "SELECT n_name AS dic_name, o_orderstatus, count(*) AS n, count(*) FILTER (l_partkey % 3 = 0) AS activities, count(*) FILTER (l_partkey % 5 = 0) AS coupons, " + money("CAST(l_extendedprice AS DECIMAL(16,2)) * CAST(l_quantity AS DECIMAL(16,2))") + " AS original FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN nation ON l_suppkey % 25 = n_nationkey GROUP BY 1, 2",
     "payment_success": f"SELECT n_name AS payment_type_name, count(*) AS n, count(DISTINCT o_custkey) AS users, {money('l_extendedprice')} AS paid FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON o_custkey % 25 = n_nationkey WHERE o_orderstatus = 'F' GROUP BY 1",
