@@ -84,7 +84,7 @@ def split_late(path: str, ts: str, delay_s: float = 2.0, skew_s: float = 60.0):
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         jvm, fs, folder = keyed._files(spark, f"{path}/_clock")
-        marks = sorted(int(f.getPath().getName()) for f in fs.listStatus(folder)) if fs.exists(folder) else []
+        marks = sorted(int(f.getPath().getName()) for f in fs.listStatus(folder) if f.getPath().getName().isdigit()) if fs.exists(folder) else []
         begun = [m for m in marks if m % 2 == 0 and m // 2 == batch_id]
         before = [m for m in marks if m % 2 and m // 2 < batch_id]
         clock = _read_mark(spark, path, begun[-1]) if begun else _write_mark(spark, path, 2 * batch_id, spark.sql("select unix_millis(current_timestamp())").first()[0])
@@ -103,9 +103,9 @@ def split_late(path: str, ts: str, delay_s: float = 2.0, skew_s: float = 60.0):
 
 
 def _read_mark(spark, path: str, number: int) -> int:
-    return int(spark.read.text(f"{path}/_clock/{number}").first()[0])
+    return int(keyed.read_small(spark, f"{path}/_clock/{number}"))
 
 
 def _write_mark(spark, path: str, number: int, value: int) -> int:
-    spark.createDataFrame([(str(value),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_clock/{number}")
+    keyed.write_small(spark, f"{path}/_clock/{number}", str(value))
     return value

@@ -44,8 +44,28 @@ def lists(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
 
 
+def read_small(spark: SparkSession, path: str) -> str:
+    """The text of a small file, read by the driver."""
+    jvm, fs, file = _files(spark, path)
+    stream = fs.open(file)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_small(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written by the driver; what was there goes."""
+    _, fs, file = _files(spark, path)
+    stream = fs.create(file, True)
+    try:
+        stream.write(text.encode())
+    finally:
+        stream.close()
+
+
 def _list(spark: SparkSession, path: str, number: int) -> dict:
-    return json.loads(spark.read.text(f"{path}/_lists/{number:012d}.json").first()[0])
+    return json.loads(read_small(spark, f"{path}/_lists/{number:012d}.json"))
 
 
 def _last(spark: SparkSession, path: str) -> dict | None:
@@ -55,15 +75,13 @@ def _last(spark: SparkSession, path: str) -> dict | None:
 
 def _commit(spark: SparkSession, path: str, number: int, state: dict) -> None:
     """Makes list ``number`` of the table by one rename; it must not exist yet."""
-    new = f"{path}/_drafts/{uuid.uuid4().hex}"
-    spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.text(new)
+    draft = f"{path}/_drafts/{uuid.uuid4().hex}"
+    write_small(spark, draft, json.dumps(state))
     jvm, fs, folder = _files(spark, f"{path}/_lists")
     fs.mkdirs(folder)
-    text = next(f.getPath() for f in fs.listStatus(jvm.org.apache.hadoop.fs.Path(new)) if f.getPath().getName().startswith("part-"))
     to = jvm.org.apache.hadoop.fs.Path(f"{path}/_lists/{number:012d}.json")
-    if fs.exists(to) or not fs.rename(text, to):
+    if fs.exists(to) or not fs.rename(jvm.org.apache.hadoop.fs.Path(draft), to):
         raise RuntimeError(f"{to} exists: another writer changed the table meanwhile")
-    fs.delete(jvm.org.apache.hadoop.fs.Path(new), True)
 
 
 def create_table(spark: SparkSession, path: str, schema: str | StructType, parts: int = PARTS, properties: str | None = None) -> bool:
