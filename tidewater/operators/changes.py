@@ -55,9 +55,9 @@ def favoured(column: str = "is_cancel") -> Column:
     return (F.col("type") == "insert") | F.coalesce(back, F.lit(False))
 
 
-def inserted_details(values: DataFrame) -> DataFrame:
-    """Order details of type insert from a stream of their JSON texts; empty texts, by which an upsert stream deletes, are left out."""
-    return order_details(values.filter(F.col("value") != "")).filter("type = 'insert'")
+def inserted_details(values: DataFrame, *columns: str) -> DataFrame:
+    """Order details of type insert from a stream of their JSON texts; empty texts, by which an upsert stream deletes, are left out. With ``columns`` only these and the type are parsed."""
+    return order_details(values.filter(F.col("value") != ""), *(dict.fromkeys([*columns, "type"]) if columns else [])).filter("type = 'insert'")
 
 
 def small_side(df: DataFrame) -> DataFrame:

@@ -54,10 +54,18 @@ def _of(path: str, kind: str) -> Column:
     return F.try_variant_get(F.try_element_at("object", F.lit(field)), "$" + (f".{rest}" if rest else ""), kind)
 
 
+def with_object(rows: DataFrame) -> DataFrame:
+    """Adds ``object``: the fields of the JSON text ``value`` as variants, whatever they are, by name; null where the text is no object.
+
+    It goes through a generator, past which Spark moves no filter: else each condition on a field would parse the text again.
+    """
+    return rows.select("*", F.explode(F.array(F.try_variant_get(F.try_parse_json("value"), "$", "map<string,variant>"))).alias("object"))
+
+
 def log_objects(values: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Raw logs as ``value`` and ``object``, the fields of the text as variants, whatever they are; and dirty values: no object, or neither start nor page."""
-    rows = values.select("value", F.from_json("value", "map<string,variant>").alias("object"))
-    good = F.coalesce(is_json_object(F.col("value")) & (has_field("start") | has_field("page")), F.lit(False))
+    """Raw logs as ``value`` and ``object`` (see :func:`with_object`); and dirty values: no object, or neither start nor page."""
+    rows = with_object(values.select("value"))
+    good = F.coalesce(F.col("object").isNotNull() & (has_field("start") | has_field("page")), F.lit(False))
     return rows.filter(good), rows.filter(~good).select("value")
 
 

@@ -290,7 +290,7 @@ def inserted_details(spark, d):
     """Order details read back from an upsert stream: empty texts and updates are left out."""
     row = F.to_json(F.struct(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("order_detail_id"), F.col("l_orderkey").cast("string").alias("order_id"), F.when(F.col("l_returnflag") == "R", "update").otherwise("insert").alias("type")))
     values = t(spark, d, "lineitem").select(F.when(F.col("l_linenumber") == 7, "").otherwise(row).alias("value"))
-    return ch.inserted_details(values).select("order_detail_id", "order_id")
+    return ch.inserted_details(values, "order_detail_id", "order_id").select("order_detail_id", "order_id")
 
 
 def coupon_order_fact(spark, d):

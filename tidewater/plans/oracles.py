@@ -83,11 +83,11 @@ WHERE l.l_returnflag = 'R' AND l.l_linestatus = 'F'""",
     "log_five_routes": f"""WITH {LOG}, {REPAIRED}, r AS (SELECT event_type, k, CASE WHEN event_type <> 'signup' THEN event_type END AS page_id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS second,
 '"ts":' || (epoch_us(ts) // 1000) AS moment, '"common":{{"is_new":"' || is_new || '","mid":"' || user_id || '","sid":"s' || (user_id % 10) || '"}}' AS common,
 CASE WHEN event_type = 'signup' THEN ',"start":{{"entry":"icon"}}' WHEN event_type = 'view' THEN ',"page":{{"page_id":"view"}}' ELSE ',"page":{{"last_page_id":"home","page_id":"' || event_type || '"}}' END AS main,
-CASE WHEN k % 10 = 0 THEN ',"err":{{"error_code":1}}' ELSE '' END AS err, ',"extra":{{"k":' || k || '}}' AS extra,
-CASE WHEN k % 3 = 0 THEN ',"displays":[{{"item":"1","order":1}},{{"item":"2","order":2}}]' ELSE '' END || CASE WHEN k % 7 = 0 THEN ',"actions":[{{"action_id":"cart_add"}}]' ELSE '' END AS listed FROM rep),
-b AS (SELECT *, '{{' || common || main || err || listed || ',' || moment || extra || '}}' AS whole, '"page_id":"' || page_id || '",' || moment || ',' || common || '}}' AS parent FROM r),
+CASE WHEN k % 10 = 0 THEN ',"err":{{"error_code":1}}' ELSE '' END || ',"extra":{{"k":' || k || '}}' AS rest, CASE WHEN k % 7 = 0 THEN '"actions":[{{"action_id":"cart_add"}}],' ELSE '' END AS done,
+CASE WHEN k % 3 = 0 THEN ',"displays":[{{"item":"1","order":1}},{{"item":"2","order":2}}]' ELSE '' END AS shown FROM rep),
+b AS (SELECT *, '{{' || done || common || shown || rest || main || ',' || moment || '}}' AS whole, '"page_id":"' || page_id || '",' || moment || ',' || common || '}}' AS parent FROM r),
 o AS (SELECT 'error' AS route, page_id, second, whole AS body FROM b WHERE k % 10 = 0 UNION ALL SELECT 'start', page_id, second, whole FROM b WHERE event_type = 'signup'
-UNION ALL SELECT 'page', page_id, second, '{{' || common || main || err || ',' || moment || extra || '}}' FROM b WHERE event_type <> 'signup'
+UNION ALL SELECT 'page', page_id, second, '{{' || common || rest || main || ',' || moment || '}}' FROM b WHERE event_type <> 'signup'
 UNION ALL SELECT 'display', page_id, second, unnest(['{{"item":"1","order":1,', '{{"item":"2","order":2,']) || parent FROM b WHERE event_type <> 'signup' AND k % 3 = 0
 UNION ALL SELECT 'action', page_id, second, '{{"action_id":"cart_add",' || parent FROM b WHERE event_type <> 'signup' AND k % 7 = 0)
 SELECT route, page_id, second, md5(body) AS body_md5 FROM o""",

@@ -60,9 +60,9 @@ def page_log(values: DataFrame, delay: str = "2 seconds") -> DataFrame:
     return rows.withColumn("rt", F.timestamp_seconds(F.floor(F.col("ts") / 1000))).withWatermark("rt", delay)
 
 
-def order_details(values: DataFrame) -> DataFrame:
-    """Order-detail facts as written by the order-detail job."""
-    return json_rows(values, ORDER_DETAIL)
+def order_details(values: DataFrame, *columns: str) -> DataFrame:
+    """Order-detail facts as written by the order-detail job; with ``columns`` only these are parsed."""
+    return json_rows(values, ", ".join(f"{c} {_OTHER.get(c, 'string')}" for c in columns or ORDER_DETAIL_COLUMNS))
 
 
 def lookup(spark: SparkSession, path: str | None = None, table: str | None = None, url: str | None = None, schema: str = DICTIONARY) -> DataFrame:

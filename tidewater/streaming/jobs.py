@@ -62,7 +62,7 @@ def split_log(values: DataFrame, repair: bool = True) -> DataFrame:
         seen = F.col("mid").isNotNull() & F.col("at").isNotNull()
         flagged = streaming.repair_is_new(visits.filter(seen).withColumnRenamed("is_new", "flag"), "at", key="mid").select("value", "is_new")
         rows = flagged.unionByName(visits.filter(~seen).select("value", "is_new"))
-        objects = logs.with_flag(rows.withColumn("object", F.from_json("value", "map<string,variant>")), "is_new")
+        objects = logs.with_flag(logs.with_object(rows), "is_new")
     elif repair:
         objects = logs.repaired_log(objects)
     return logs.routed(objects).unionByName(dirty.select(F.lit("dirty").alias("route"), F.lit(None).cast("string").alias("page_id"), F.lit(None).cast("long").alias("ts"), F.col("value").alias("body")))
