@@ -9,6 +9,7 @@ from tidewater import functions as fn
 from tidewater import sinks, sources, streaming
 from tidewater.operators import changes as ch
 from tidewater.operators import logs, windows
+from tidewater.operators.order import beside
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -58,6 +59,16 @@ def test_bounces(spark):
     assert out == {(1, 0), (2, 0), (3, 0), (4, 0)}
 
 
+def test_rows_beside(spark):
+    """As one window by key would give them, with ties, null values, null parts of the order, and a key that holds half of all rows."""
+    rows = [(k if k % 2 else 1, k * 37 % 500, k, k if k % 5 else None) for k in range(400)]
+    df = spark.createDataFrame(rows, "u int, at int, id int, v int")
+    w = "OVER (PARTITION BY u ORDER BY at, id)"
+    want = df.selectExpr("id", f"lead(struct(v)) {w} AS a", f"lag(struct(v)) {w} AS b").collect()
+    got = beside(beside(df, "u", ["at", "id"], F.col("v"), F.floor(F.col("at") / 50), "a"), "u", ["at", "id"], F.col("v"), F.floor(F.col("at") / 200), "b", after=False)
+    assert got.columns == [*df.columns, "a", "b"] and {r.id: (r.a, r.b) for r in got.collect()} == {r.id: (r.a, r.b) for r in want}
+
+
 def test_returning_boundary(spark):
     days = spark.createDataFrame([(1, dt.date(2024, 1, 1)), (1, dt.date(2024, 1, 8)), (1, dt.date(2024, 1, 16))], "u int, d date")
     assert [r.back for r in windows.returning_users(days, "u", "d").orderBy("d").collect()] == [0, 0, 1]

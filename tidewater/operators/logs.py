@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions import is_json, is_json_object, split_words
+from tidewater.operators.order import beside
 from tidewater.sources import APP_LOG
 
 
@@ -172,13 +173,12 @@ def first_of_day(rows: DataFrame, keys: list[str], day: str, order: list[str]) -
 def bounces(rows: DataFrame, key: str, ts: str, tie: str, entry: str, bound: str = "10 seconds") -> DataFrame:
     """Session entries that stay alone: the key's next row is an entry, comes at the bound or later, or is missing.
 
-    ``entry`` is a boolean column. A next row that is no entry, inside the bound, ends the bounce.
+    ``entry`` is a boolean column. A next row that is no entry, inside the bound, ends the bounce. A key's rows meet by day,
+    so a key with very many rows is spread over tasks; rows with a null key do so within a day only.
     """
-    w = Window.partitionBy(key).orderBy(ts, tie)
-    after = F.lead(F.struct(F.col(ts).alias("t"), F.col(entry).alias("e"))).over(w)
-    marked = rows.withColumn("_next", after)
+    after = beside(rows, key, [ts, tie], F.struct(F.col(ts).alias("t"), F.col(entry).alias("e")), F.to_date(ts), "_next").withColumn("_next", F.col("_next.v"))
     alone = F.col("_next").isNull() | F.col("_next.e") | (F.col("_next.t") >= F.col(ts) + F.expr(f"interval {bound}"))
-    return marked.filter(F.col(entry) & alone).drop("_next")
+    return after.filter(F.col(entry) & alone).drop("_next")
 
 
 def keyword_counts(rows: DataFrame, text: str, keys: list[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import as_amount, as_int, changed_or_created, compare_times, date_part, day_text, days_between, flag, from_millis, is_json, is_json_object, pick, register_table_functions, row_json, split_words, time_text, to_millis, whole_days
 from tidewater.operators import changes as ch
 from tidewater.operators import logs, windows
+from tidewater.operators.order import beside
 from tidewater.plans import keyed
 from tidewater.sinks import latest
 from tidewater.sources import renamed_camel
@@ -37,9 +38,9 @@ def page_log(spark: SparkSession, d: str) -> DataFrame:
 
 def order_changes(spark: SparkSession, d: str) -> DataFrame:
     """Orders as change records."""
-    before = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     values = F.create_map(F.lit("order_status"), F.col("o_orderstatus"), F.lit("priority"), F.col("o_orderpriority"))
-    rows = t(spark, d, "orders").withColumn("data", values).withColumn("before", F.lag("data").over(before))
+    needed = t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority").withColumn("data", values)
+    rows = beside(needed, "o_custkey", ["o_orderdate", "o_orderkey"], F.col("data"), F.year("o_orderdate"), "before", after=False).withColumn("before", F.col("before.v"))
     kind = F.when(F.col("o_orderstatus") == "O", "insert").otherwise("update")
     old = F.when(kind == "update", F.map_filter("before", lambda k, v: v != F.col("data")[k]))
     full = F.map_concat("data", F.create_map(F.lit("id"), F.col("o_orderkey").cast("string"), F.lit("user_id"), F.col("o_custkey").cast("string")))
