@@ -57,3 +57,13 @@ def test_stream_order_users(spark, tmp_path):
     spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     assert {r.event_id: r.first_ever for r in out} == {1: 1, 3: 0, 4: 1, 5: 0, 6: 0}
     assert streaming.in_order(spark.readStream.format("rate").load().withColumn("t", F.col("timestamp")), "t").isStreaming
+
+
+@pytest.mark.parametrize("forget, back", [(None, {1: 0, 2: 0, 3: 1, 4: 1, 5: 0, 6: 0}), (12, {1: 0, 2: 0, 3: 1, 4: 0, 5: 0, 6: 0})])
+def test_stream_forgets_by_event_time(spark, tmp_path, forget, back):
+    """A key whose newest day lies so many days before the watermark is forgotten: it comes back as a new one. Such a stream ends by itself."""
+    rows = [(1, 1, at(0)), (2, 2, at(0)), (1, 3, at(9 * 86400)), (3, 5, at(20 * 86400)), (3, 6, at(21 * 86400)), (2, 4, at(22 * 86400))]
+    out = run(spark, tmp_path, rows, "user_id long, event_id long, ts timestamp", lambda df: streaming.returning_users(df, "ts", delay="0 seconds", forget_days=forget), 6, "append")
+    assert {r.event_id: r.back for r in out} == back
+    with pytest.raises(ValueError):
+        streaming.returning_users(spark.readStream.format("rate").load().select(F.lit(1).alias("user_id"), "timestamp"), "timestamp", forget_days=3)

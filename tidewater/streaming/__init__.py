@@ -15,6 +15,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from tidewater.sinks import stream_batches, upsert
 
+DAY_MS = 86_400_000
 #: Timestamps keep their microseconds in the texts of rows.
 EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
@@ -119,10 +120,11 @@ KEPT_DAYS = 35
 class _Days(StatefulProcessor):
     """Per key the first day and the recent days seen; ``judge`` turns a row and those into output columns and the new first day."""
 
-    def __init__(self, judge, ttl_ms: int | None = None):
-        self.judge, self.ttl = judge, ttl_ms
+    def __init__(self, judge, ttl_ms: int | None = None, forget_days: int | None = None):
+        self.judge, self.ttl, self.forget = judge, ttl_ms, forget_days
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("days", "first long, days array<long>", ttlDurationMs=self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -139,9 +141,16 @@ class _Days(StatefulProcessor):
                 out.append((row, time, *made))
         newest = max(days)
         self.state.update((first, sorted(d for d in days if d >= newest - KEPT_DAYS)))
+        if self.forget:
+            self.handle.registerTimer((newest + self.forget) * DAY_MS)
         if out:
             yield pd.DataFrame(out, columns=["row_", "time_", "a_", "b_"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.forget and self.state.exists() and (max(self.state.get()[1]) + self.forget) * DAY_MS <= timerValues.getCurrentWatermarkInMs():
+            self.state.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
@@ -167,9 +176,11 @@ def _debut_marked(day, flag, first, days, known):
     return (int(not known), int(first is None)), day if first is None else first
 
 
-def _days(rows: DataFrame, ts: str, judge, ttl_ms: int | None, key: str, tie: str | None, flag: str | None, delay: str | None, a: str, b: str | None = None) -> DataFrame:
+def _days(rows: DataFrame, ts: str, judge, ttl_ms: int | None, key: str, tie: str | None, flag: str | None, delay: str | None, forget_days: int | None, a: str, b: str | None = None) -> DataFrame:
     if ttl_ms and delay:
         raise ValueError("a time-to-live needs processing time, a watermark event time: state has one or the other")
+    if forget_days and not delay:
+        raise ValueError("state that is forgotten by event time needs a watermark: give its delay")
     if tie is None and "event_id" in rows.columns and dict(rows.dtypes)["event_id"] in ("bigint", "int"):
         tie = "event_id"
     timed = rows.filter(F.col(key).isNotNull() & F.col(ts).isNotNull())
@@ -180,27 +191,28 @@ def _days(rows: DataFrame, ts: str, judge, ttl_ms: int | None, key: str, tie: st
     mode = "EventTime" if delay else "ProcessingTime" if ttl_ms else "None"
     kind = "row_ string, time_ timestamp, a_ int, b_ int"
     carried = {"eventTimeColumnName": "time_"} if delay else {}
-    out = packed.groupBy("key_").transformWithStateInPandas(_Days(judge, ttl_ms), kind, "Append" if delay else "Update", mode, **carried)
+    out = packed.groupBy("key_").transformWithStateInPandas(_Days(judge, ttl_ms, forget_days), kind, "Append" if delay else "Update", mode, **carried)
     made = [F.col("a_").alias(a), *([F.col("b_").alias(b)] if b else [])]
     return _unpacked(out.withColumnRenamed("time_", ts), rows.drop(a, *([b] if b else [])), *made, keep=ts)
 
 
-def repair_is_new(rows: DataFrame, ts: str, ttl_ms: int | None = None, key: str = "user_id", flag: str = "flag", tie: str | None = None, delay: str | None = None) -> DataFrame:
+def repair_is_new(rows: DataFrame, ts: str, ttl_ms: int | None = None, key: str = "user_id", flag: str = "flag", tie: str | None = None, delay: str | None = None, forget_days: int | None = None) -> DataFrame:
     """``rows`` with is_new: the flag repaired by the key's first visit; rows of a key in time order across batches. Rows without a key or a time are left out.
 
-    ``ttl_ms``: forget keys unseen for so long. ``delay``: set and carry on a watermark of that delay, for windows behind it.
+    ``ttl_ms``: forget keys unseen for so long, by the clock. ``delay``: set and carry on a watermark of that delay, for windows
+    behind it; then ``forget_days``: forget keys whose newest day is so many days before the watermark.
     """
-    return _days(rows, ts, _repair, ttl_ms, key, tie, flag, delay, "is_new")
+    return _days(rows, ts, _repair, ttl_ms, key, tie, flag, delay, forget_days, "is_new")
 
 
-def returning_users(rows: DataFrame, ts: str, gap: int = 8, ttl_ms: int | None = None, key: str = "user_id", tie: str | None = None, delay: str | None = None) -> DataFrame:
-    """The first arrival of each user and day, late days included, with uu (1) and back: each user and day comes out once. ``delay``: as above."""
-    return _days(rows, ts, _returning(gap), ttl_ms, key, tie, None, delay, "uu", "back")
+def returning_users(rows: DataFrame, ts: str, gap: int = 8, ttl_ms: int | None = None, key: str = "user_id", tie: str | None = None, delay: str | None = None, forget_days: int | None = None) -> DataFrame:
+    """The first arrival of each user and day, late days included, with uu (1) and back: each user and day comes out once. ``delay``, ``forget_days``: as above."""
+    return _days(rows, ts, _returning(gap), ttl_ms, key, tie, None, delay, forget_days, "uu", "back")
 
 
-def order_users(rows: DataFrame, ts: str, ttl_ms: int | None = None, key: str = "user_id", tie: str | None = None, delay: str | None = None, every: bool = False) -> DataFrame:
-    """The first order of each user and day with uu (1) and first_ever; with ``every`` all orders, uu and first_ever 0 for the others. ``delay``: as above."""
-    return _days(rows, ts, _debut_marked if every else _debut, ttl_ms, key, tie, None, delay, "uu", "first_ever")
+def order_users(rows: DataFrame, ts: str, ttl_ms: int | None = None, key: str = "user_id", tie: str | None = None, delay: str | None = None, forget_days: int | None = None, every: bool = False) -> DataFrame:
+    """The first order of each user and day with uu (1) and first_ever; with ``every`` all orders, uu and first_ever 0 for the others. ``delay``, ``forget_days``: as above."""
+    return _days(rows, ts, _debut_marked if every else _debut, ttl_ms, key, tie, None, delay, forget_days, "uu", "first_ever")
 
 
 class _Latest(StatefulProcessor):
