@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater import sinks
 from tidewater.session import shared_folder
+from tidewater.streaming import jobs
 from tidewater.streaming.updating import Side, UpdatingJoin
 
 
@@ -40,7 +42,48 @@ def updating_join(spark, d):
     return counted(join.changes(spark), F.concat_ws(" ", "commit", "row_kind")).unionByName(counted(join.result(spark), F.lit("table")))
 
 
-QUERIES = {"changelog_replay": changelog_replay, "updating_join": updating_join}
+def dimension_load(spark, d):
+    """Dimension tables after five micro-batches that touch them by turns: customers, suppliers, newer customers, older ones together with
+    a configuration that stops the suppliers and brings the parts, and parts with suppliers."""
+    root = f"{shared_folder(spark)}/dims"
+    kind = "`table` string, type string, ts long, data map<string,string>"
+
+    def rows(source: str, key: str, ts: int, where: str = "true", **columns) -> DataFrame:
+        pairs = [x for k, c in ({"id": F.col(key)} | columns).items() for x in (F.lit(k), c.cast("string"))]
+        return _t(spark, d, source).filter(where).select(F.lit(source).alias("table"), F.lit("update").alias("type"), F.lit(ts).cast("long").alias("ts"), F.create_map(*pairs).alias("data"))
+
+    def setting(ts: int, source: str, sink: str, columns: str, of: str = "insert") -> tuple:
+        return "table_process", of, ts, {"source_table": source, "sink_table": sink, "sink_columns": columns}
+
+    settings = lambda *s: spark.createDataFrame(list(s), kind)
+    each = jobs.load_dimensions(None, root, parts=4)
+    customers = lambda ts, where, name, seg: rows("customer", "c_custkey", ts, where, name=name, seg=seg)
+    batches = [
+        settings(setting(0, "customer", "dim_user", "id,name,seg"), setting(0, "supplier", "dim_seller", "id, name")).union(customers(1, "true", F.col("c_name"), F.col("c_mktsegment"))),
+        rows("supplier", "s_suppkey", 1, name=F.col("s_name"), secret=F.lit("x")),
+        customers(3, "c_nationkey < 10", F.col("c_name"), F.lit("NEW")),
+        customers(2, "true", F.concat("c_name", F.lit("!")), F.lit("OLD")).union(settings(setting(4, "supplier", "dim_seller", "id", "delete"), setting(4, "part", "dim_part", "id,name"))),
+        rows("part", "p_partkey", 1, name=F.col("p_brand")).union(rows("supplier", "s_suppkey", 9, name=F.lit("late"))),
+    ]
+    for n, batch in enumerate(batches):
+        each(batch, n)
+    out = [sinks.read_keyed(spark, f"{root}/{t}") for t in ("dim_user", "dim_seller", "dim_part")]
+    shaped = [o.select(F.lit(t).alias("dim"), "id", "name", F.col("seg") if "seg" in o.columns else F.lit(None).cast("string").alias("seg"), "ts") for t, o in zip(("user", "seller", "part"), out, strict=True)]
+    return shaped[0].unionByName(shaped[1]).unionByName(shaped[2])
+
+
+def late_lanes(spark, d):
+    """Events in three batches, those more than ten days behind the newest of earlier batches set aside: rows and newest time by batch and lane."""
+    path = f"{shared_folder(spark)}/lanes"
+    each = sinks.split_late(path, "ts", 864_000)
+    events = _t(spark, d, "events").select("event_id", "ts", F.floor(F.get_json_object("props", "$.k").cast("int") / 34).alias("b"))
+    for b in range(3):
+        each(events.filter(F.col("b") == b), b)
+    landed = spark.read.option("basePath", path).parquet(*[f"{path}/batch={b}" for b in range(3)])
+    return landed.groupBy("b", "lane").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("events"))
+
+
+QUERIES = {"changelog_replay": changelog_replay, "updating_join": updating_join, "dimension_load": dimension_load, "late_lanes": late_lanes}
 
 SQL = {
     "changelog_replay": """WITH b AS (SELECT o_custkey AS k, o_orderkey AS v, o_orderdate AS d, o_orderstatus = 'P' AS gone, quarter(o_orderdate) AS q FROM orders),
@@ -56,4 +99,9 @@ SELECT stage, count(*) AS n, CAST(sum(v) AS BIGINT) AS orders FROM c GROUP BY st
 c AS (SELECT b || ' +I' AS stage, o_orderkey, CASE WHEN cb <= b THEN c_name END AS c_name FROM o UNION ALL SELECT cb || ' -U', o_orderkey, NULL FROM o WHERE cb > b
  UNION ALL SELECT cb || ' +U', o_orderkey, c_name FROM o WHERE cb > b UNION ALL SELECT 'table', o_orderkey, c_name FROM o)
 SELECT stage, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS orders, count(c_name) AS named FROM c GROUP BY stage""",
+    "dimension_load": """SELECT 'user' AS dim, CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_nationkey < 10 THEN c_name ELSE c_name || '!' END AS name, CASE WHEN c_nationkey < 10 THEN 'NEW' ELSE 'OLD' END AS seg, CAST(CASE WHEN c_nationkey < 10 THEN 3 ELSE 2 END AS BIGINT) AS ts FROM customer
+UNION ALL SELECT 'seller', CAST(s_suppkey AS VARCHAR), s_name, NULL, 1 FROM supplier UNION ALL SELECT 'part', CAST(p_partkey AS VARCHAR), p_brand, NULL, 1 FROM part""",
+    "late_lanes": """WITH e AS (SELECT event_id, ts, CAST(json_extract_string(props, '$.k') AS INTEGER) // 34 AS b FROM events),
+m AS (SELECT b, epoch_us(max(ts)) // 1000 AS newest FROM e GROUP BY b), w AS (SELECT a.b, max(c.newest) - 864000000 AS low FROM m a LEFT JOIN m c ON c.b < a.b GROUP BY a.b)
+SELECT CAST(b AS BIGINT) AS b, CASE WHEN epoch_us(ts) // 1000 < low THEN 'late' ELSE 'on_time' END AS lane, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS events FROM e JOIN w USING (b) GROUP BY 1, 2""",
 }
