@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater import sinks
+from tidewater import sinks, sources
 
 KIND = "id int, ts int, v string, gone boolean"
 
@@ -117,3 +117,45 @@ def test_second_writer_gets_an_error(spark, tmp_path, monkeypatch):
         put(spark, path, [(3, 1, "c", False)])
     monkeypatch.undo()
     assert sorted(r.id for r in sinks.read_keyed(spark, path).select(F.col("id")).collect()) == [1, 2]
+
+
+def test_published_records_rebuild_the_table(spark, tmp_path):
+    """Whatever the batches between two calls, records read in any order give the table; deletes are tombstones; nothing is sent twice."""
+    rng = random.Random(9)
+    path, to, copy, held, want = str(tmp_path / "t"), str(tmp_path / "topic"), str(tmp_path / "copy"), {}, []
+    assert sinks.publish(spark, path, ["id"], to) == -1
+    for k in range(6):
+        rows = [(rng.choice([None, *range(5)]), rng.randint(0, 5), rng.choice(["a", None]), rng.random() < 0.4) for _ in range(rng.choice([0, 3, 8]))]
+        put(spark, path, rows, batch_id=k)
+        held, changes = merged(held, rows)
+        want += [c for c in changes if c[1] != "-U"]
+        if rng.random() < 0.5:
+            assert sinks.publish(spark, path, ["id"], to) == sinks.publish(spark, path, ["id"], to) == max(sinks.lists(spark, path), default=-1)
+    sinks.publish(spark, path, ["id"], to)
+    rows = sources.upserts(sources.keyed_records(spark, f"{to}/records"), "id int, ts int, v string")
+    got = rows.collect()
+    assert sorted(((r.id, r.gone) for r in got), key=str) == sorted(((c[0], c[1] == "-D") for c in want), key=str)
+    assert any(r.gone for r in got) and all(r.ts is None and r.v is None for r in got if r.gone)
+    for n in rng.sample(sinks.lists(spark, path), len(sinks.lists(spark, path))):
+        sinks.upsert(rows.filter(F.col("offset") == n), copy, ["id"], ["offset"], "gone", parts=2)
+    assert {r.id: (r.ts, r.v) for r in sinks.read_keyed(spark, copy).collect()} == {k: v[:2] for k, v in held.items() if not v[2]}
+    for k in range(3):
+        put(spark, path, [(1, 10 + k, "z", False)])
+    sinks.vacuum(spark, path, keep=1)
+    with pytest.raises(ValueError, match="were not sent"):
+        sinks.publish(spark, path, ["id"], to)
+
+
+def test_records_keep_times_whole(spark, tmp_path):
+    rows = spark.sql("SELECT 1 AS id, timestamp'2024-01-01 00:00:00.123456' AS a, timestamp_ntz'2024-01-01 00:00:00.654321' AS b, map('k', 1.5D) AS c, true AS gone UNION ALL SELECT 2, null, null, null, null")
+    path = str(tmp_path / "t")
+    sinks.upsert(rows.drop("gone"), path, ["id"], [], parts=1)
+    sinks.publish(spark, path, ["id"], str(tmp_path / "topic"))
+    back = sources.upserts(sources.keyed_records(spark, str(tmp_path / "topic" / "records")), rows.drop("gone").schema)
+    assert [tuple(r) for r in back.orderBy("id").select("id", "a", "b", "c", "gone").collect()] == [(*r[:4], False) for r in rows.orderBy("id").collect()]
+
+
+def test_kafka_options():
+    got = sources.kafka_options("a,b", "h:1", "jobs", startingOffsets="latest", failOnDataLoss="false")
+    assert got == {"kafka.bootstrap.servers": "h:1", "subscribe": "a,b", "startingOffsets": "latest", "groupIdPrefix": "jobs", "failOnDataLoss": "false"}
+    assert sources.kafka_options("a", "h:1") == {"kafka.bootstrap.servers": "h:1", "subscribe": "a", "startingOffsets": "earliest"}

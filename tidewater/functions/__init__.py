@@ -8,6 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+#: Timestamps keep their microseconds in JSON texts of rows.
+EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
 DAY, SECOND = "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater import sinks
+from tidewater import sinks, sources
 from tidewater.session import shared_folder
 from tidewater.streaming import jobs
 from tidewater.streaming.updating import Side, UpdatingJoin
@@ -15,15 +15,21 @@ def _t(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _latest_orders(spark, d, path):
+    """Runs the batches of changelog_replay one by one into ``path``."""
+    orders = _t(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey", (F.col("o_orderstatus") == "P").alias("gone"), F.quarter("o_orderdate").alias("q"))
+    for q in range(1, 5):
+        yield sinks.upsert(orders.filter(F.col("q") == q).drop("q"), path, ["o_custkey"], ["o_orderdate", "o_orderkey"], "gone", q, parts=8)
+
+
 def changelog_replay(spark, d):
     """The latest order of each customer as a keyed table, orders coming in by quarter of the year (so that older ones come later), pending ones as deletes.
 
     Counts of the changes of each batch, of the table, and of the table that the changelog replays to.
     """
     path = f"{shared_folder(spark)}/latest"
-    orders = _t(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey", (F.col("o_orderstatus") == "P").alias("gone"), F.quarter("o_orderdate").alias("q"))
-    for q in range(1, 5):
-        sinks.upsert(orders.filter(F.col("q") == q).drop("q"), path, ["o_custkey"], ["o_orderdate", "o_orderkey"], "gone", q, parts=8)
+    for _ in _latest_orders(spark, d, path):
+        pass
     log = sinks.read_changes(spark, path)
     counted = lambda rows, stage: rows.groupBy(stage.alias("stage")).agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("orders"))
     table = counted(sinks.read_keyed(spark, path), F.lit("table"))
@@ -31,6 +37,22 @@ def changelog_replay(spark, d):
     return counted(log, F.concat_ws(" ", "commit", "row_kind")).unionByName(table).unionByName(replayed)
 
 
+def upsert_topic(spark, d):
+    """The table of changelog_replay published as upsert records, twice after two batches each, and read into a second table, newest records first.
+
+    Counts of the records by the batch that they came from, with a row or as tombstones, and of the second table.
+    """
+    root = shared_folder(spark)
+    for n, _ in enumerate(_latest_orders(spark, d, f"{root}/latest")):
+        if n % 2:
+            sinks.publish(spark, f"{root}/latest", ["o_custkey"], f"{root}/topic")
+    rows = sources.upserts(sources.keyed_records(spark, f"{root}/topic/records"), sinks.read_keyed(spark, f"{root}/latest").schema)
+    for n in reversed(range(4)):
+        sinks.upsert(rows.filter(F.col("offset") == n), f"{root}/copy", ["o_custkey"], ["offset"], "gone", parts=8)
+    counted = lambda some, stage: some.groupBy(stage.alias("stage")).agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("orders"))
+    return counted(rows, F.concat("offset", F.when(F.col("gone"), " tombstone").otherwise(" row"))).unionByName(counted(sinks.read_keyed(spark, f"{root}/copy"), F.lit("copy")))
+
+
 def updating_join(spark, d):
     """Orders with their customers, each coming in three batches: an order whose customer is not there goes out without, and again later."""
     join = UpdatingJoin(f"{shared_folder(spark)}/join", ["o_orderkey"], [], {"customers": Side(["o_custkey"], [])}, parts=8)
@@ -83,17 +105,22 @@ def late_lanes(spark, d):
     return landed.groupBy("b", "lane").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("events"))
 
 
-QUERIES = {"changelog_replay": changelog_replay, "updating_join": updating_join, "dimension_load": dimension_load, "late_lanes": late_lanes}
+QUERIES = {"changelog_replay": changelog_replay, "updating_join": updating_join, "dimension_load": dimension_load, "late_lanes": late_lanes, "upsert_topic": upsert_topic}
 
-SQL = {
-    "changelog_replay": """WITH b AS (SELECT o_custkey AS k, o_orderkey AS v, o_orderdate AS d, o_orderstatus = 'P' AS gone, quarter(o_orderdate) AS q FROM orders),
+#: Latest orders after each batch (l), and those that stay (live).
+_CHANGED = """WITH b AS (SELECT o_custkey AS k, o_orderkey AS v, o_orderdate AS d, o_orderstatus = 'P' AS gone, quarter(o_orderdate) AS q FROM orders),
 t AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY k, q ORDER BY d DESC, v DESC) = 1),
 s AS (SELECT a.k, a.q, c.v, c.gone FROM t a JOIN t c ON a.k = c.k AND c.q <= a.q QUALIFY row_number() OVER (PARTITION BY a.k, a.q ORDER BY c.d DESC, c.v DESC) = 1),
 l AS (SELECT *, coalesce(lag(gone) OVER w, true) AS was_gone, lag(v) OVER w AS was FROM s WINDOW w AS (PARTITION BY k ORDER BY q)),
 live AS (SELECT v FROM (SELECT *, max(q) OVER (PARTITION BY k) AS last FROM s) WHERE q = last AND NOT gone),
-c AS (SELECT (q - 1) || ' +I' AS stage, v FROM l WHERE NOT gone AND was_gone UNION ALL SELECT (q - 1) || ' -D', was FROM l WHERE gone AND NOT was_gone
+"""
+
+SQL = {
+    "changelog_replay": _CHANGED + """c AS (SELECT (q - 1) || ' +I' AS stage, v FROM l WHERE NOT gone AND was_gone UNION ALL SELECT (q - 1) || ' -D', was FROM l WHERE gone AND NOT was_gone
  UNION ALL SELECT (q - 1) || ' -U', was FROM l WHERE NOT gone AND NOT was_gone AND v <> was UNION ALL SELECT (q - 1) || ' +U', v FROM l WHERE NOT gone AND NOT was_gone AND v <> was
  UNION ALL SELECT 'table', v FROM live UNION ALL SELECT 'replayed', v FROM live)
+SELECT stage, count(*) AS n, CAST(sum(v) AS BIGINT) AS orders FROM c GROUP BY stage""",
+    "upsert_topic": _CHANGED + """c AS (SELECT (q - 1) || ' row' AS stage, v FROM l WHERE NOT gone AND (was_gone OR v <> was) UNION ALL SELECT (q - 1) || ' tombstone', NULL FROM l WHERE gone AND NOT was_gone UNION ALL SELECT 'copy', v FROM live)
 SELECT stage, count(*) AS n, CAST(sum(v) AS BIGINT) AS orders FROM c GROUP BY stage""",
     "updating_join": """WITH o AS (SELECT o_orderkey, c_name, (month(o_orderdate) - 1) // 4 AS b, c_nationkey // 9 AS cb FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
 c AS (SELECT b || ' +I' AS stage, o_orderkey, CASE WHEN cb <= b THEN c_name END AS c_name FROM o UNION ALL SELECT cb || ' -U', o_orderkey, NULL FROM o WHERE cb > b

@@ -6,8 +6,9 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tidewater.functions import camel
+from tidewater.functions import EXACT, camel
 
 CHANGE = "database string, `table` string, type string, ts bigint, xid bigint, commit boolean, data map<string,string>, old map<string,string>"
 COMMON = "common struct<ar:string,ba:string,ch:string,is_new:string,md:string,mid:string,os:string,uid:string,vc:string>"
@@ -29,15 +30,37 @@ _OTHER = {"pt": "timestamp", "ts": "timestamp", "old": "map<string,string>"}
 ORDER_DETAIL = ", ".join(f"{c} {_OTHER.get(c, 'string')}" for c in ORDER_DETAIL_COLUMNS)
 
 
-def strings(spark: SparkSession, path: str | None = None, stream: bool = False, topic: str | None = None, servers: str | None = None, **options: str) -> DataFrame:
+def kafka_options(topic: str, servers: str, group: str | None = None, **options: str) -> dict[str, str]:
+    """Options of a Kafka reader. A stream goes on from its checkpoint, which holds what a group's offsets would; one without begins at the
+    earliest rows, or at ``startingOffsets``. ``group`` begins the names of its consumer groups, so that two queries do not share one and halve the rows."""
+    named = {"groupIdPrefix": group} if group else {}
+    return {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": "earliest"} | named | options
+
+
+def strings(spark: SparkSession, path: str | None = None, stream: bool = False, topic: str | None = None, servers: str | None = None, group: str | None = None, **options: str) -> DataFrame:
     """One column ``value``; null becomes empty. A Kafka topic where ``topic`` is given (its connector must be on the classpath), else text files."""
     reader = spark.readStream if stream else spark.read
     if topic:
-        raw = reader.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).options(**{"startingOffsets": "earliest"} | options).load()
+        raw = reader.format("kafka").options(**kafka_options(topic, servers, group, **options)).load()
         return raw.select(F.coalesce(F.col("value").cast("string"), F.lit("")).alias("value"))
     return reader.format("text").options(**options).load(path).select(F.coalesce("value", F.lit("")).alias("value"))
 
 
+def keyed_records(spark: SparkSession, path: str | None = None, stream: bool = False, topic: str | None = None, servers: str | None = None, group: str | None = None, **options: str) -> DataFrame:
+    """Records of an upsert topic: key, value (null: a deleted key) and offset, which orders the records of a key. A Kafka topic where ``topic`` is given, else the files of ``publish``."""
+    reader = spark.readStream if stream else spark.read
+    if topic:
+        raw = reader.format("kafka").options(**kafka_options(topic, servers, group, **options)).load()
+        return raw.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "offset")
+    return reader.schema("key string, value string, commit long").options(**options).json(path).select("key", "value", F.col("commit").alias("offset"))
+
+
+def upserts(records: DataFrame, schema: str | StructType) -> DataFrame:
+    """Rows of ``schema`` from upsert records, with ``gone`` (a deleted key, of which only the key's columns are filled) and offset: what ``upsert`` takes, ordered by offset. ``schema`` has no columns of these two names."""
+    row = F.from_json(F.coalesce("value", "key"), schema, EXACT)
+    return records.select(row.alias("r"), F.col("value").isNull().alias("gone"), "offset").select("r.*", "gone", "offset")
+
+
 def topics(spark: SparkSession, paths: Iterable[str], **options) -> list[DataFrame]:
     """Several sources of one job."""
     return [strings(spark, p, **options) for p in paths]

@@ -13,11 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from tidewater.functions import EXACT
 from tidewater.sinks import stream_batches, upsert
 
 DAY_MS = 86_400_000
-#: Timestamps keep their microseconds in the texts of rows.
-EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 def first_of_day(rows: DataFrame, keys: list[str], ts: str, delay: str = "1 day") -> DataFrame:
