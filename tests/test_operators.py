@@ -125,3 +125,16 @@ def test_large_dimension_is_not_broadcast(spark, monkeypatch):
     assert hinted()
     monkeypatch.setattr(ch, "SMALL_ROWS", 1)
     assert not hinted() and ch.enrich(facts, dim, "k", "id", small=True, name="n").count() == 2
+
+
+def test_json_ends_with_its_value(spark):
+    """A text is JSON only as a whole: nothing may follow the value, whatever it closes."""
+    good = ["7", " 7\n", '{"a":1}', '{"a":{"b":1,"b":2}}', "[1,[2]]", '"x"', "null", "true", "1" * 1500]
+    bad = ["7 of them", "7 8", '{"a":1}x', '{"a":1} {', "[1,2]]", "1],[2", "1]", "1}", '1,"b":2', "1,2", "1]}", "1}}", '"a" "b"', "", " ", "{", "'a'", "01", "{a:1}", "a", None]
+    rows = spark.createDataFrame([(v, True) for v in good] + [(v, False) for v in bad], "value string, ok boolean")
+    assert rows.filter(fn.is_json(F.col("value")) != F.col("ok")).collect() == []
+    objects = spark.createDataFrame([('{"page":{"page_id":"home"}}' + end,) for end in ("", " ", " {", "}", "x")], "value string")
+    clean, dirty = logs.log_objects(objects)
+    assert clean.count() == 2 and dirty.count() == 3
+    clean, dirty = logs.parse_or_divert(objects, "page string")
+    assert clean.count() == 2 and dirty.count() == 3

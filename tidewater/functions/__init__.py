@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Timestamps keep their microseconds in JSON texts of rows.
 EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
+#: JSON texts as RFC 8259 has them, of any length; a text that is none stands in ``bad``.
+STRICT = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "maxNumLen": str(2**31 - 1), "maxStringLen": str(2**31 - 1)}
+
 DAY, SECOND = "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss"
 
 
@@ -88,8 +91,13 @@ def keep_keys(m: Column, comma_list: Column) -> Column:
 
 
 def is_json(text: Column) -> Column:
-    """Whether the text is JSON of any kind."""
-    return F.coalesce(F.try_parse_json(text).isNotNull(), F.lit(False))
+    """Whether the whole text is one JSON value of any kind (RFC 8259; a repeated key is allowed).
+
+    Spark's parsers stop behind the first value, so that "7 of them" would pass as 7. What parses both as the one
+    item of an array and as the one field of an object has nothing behind its value.
+    """
+    inside = lambda begin, end: F.from_json(F.concat(F.lit(begin), text, F.lit(end)), "v string, bad string", STRICT)["bad"].isNull()
+    return F.coalesce(text.isNotNull() & inside('{"v":[', "]}") & inside('{"v":{"a":', "}}"), F.lit(False))
 
 
 def is_json_object(text: Column) -> Column:

@@ -60,7 +60,7 @@ def with_object(rows: DataFrame) -> DataFrame:
 
     It goes through a generator, past which Spark moves no filter: else each condition on a field would parse the text again.
     """
-    return rows.select("*", F.explode(F.array(F.try_variant_get(F.try_parse_json("value"), "$", "map<string,variant>"))).alias("object"))
+    return rows.select("*", F.explode(F.array(F.try_variant_get(F.when(is_json(F.col("value")), F.try_parse_json("value")), "$", "map<string,variant>"))).alias("object"))
 
 
 def log_objects(values: DataFrame) -> tuple[DataFrame, DataFrame]:
