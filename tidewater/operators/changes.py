@@ -13,6 +13,8 @@ from tidewater.sources import order_details
 
 #: The most rows, and bytes as JSON, of a side that is broadcast.
 SMALL_ROWS, SMALL_BYTES = 100_000, 32 << 20
+#: Rows of a dimension beyond which it is hashed part by part instead.
+LARGE_ROWS = 2_000_000
 INSERTS, WRITES = ("insert",), ("bootstrap-insert", "insert", "update")
 
 
@@ -75,13 +77,16 @@ def route(changes: DataFrame, config: DataFrame) -> DataFrame:
     return joined.select("sink_table", "sink_pk", "sink_extend", "ts", keep_keys(F.col("data"), F.col("sink_columns")).alias("data"))
 
 
-def enrich(df: DataFrame, dim: DataFrame, key: str, dim_key: str, how: str = "left", small: bool = False, **columns: str) -> DataFrame:
+def enrich(df: DataFrame, dim: DataFrame, key: str, dim_key: str, how: str = "left", small: bool = False, large: bool = False, **columns: str) -> DataFrame:
     """``df`` with columns of a dimension (new name = its column) by key; a missing key gives nulls, or no row with how='inner'.
 
     The dimension's key must be unique. ``small``: a dimension that should be small, such as a code dictionary, is
-    broadcast if a count agrees; for others Spark chooses from their size.
+    broadcast if a count agrees; for others Spark chooses from their size. ``large``: a dimension with which many rows meet; if a
+    count finds it too long for a broadcast, it is hashed part by part, so that those rows need no sort.
     """
     side = dim.select(F.col(dim_key).alias("_k"), *[F.col(c).alias(n) for n, c in columns.items()])
+    if large and dim.count() > LARGE_ROWS:
+        side = side.hint("shuffle_hash")
     return df.join(small_side(side) if small else side, F.col(key) == F.col("_k"), how).drop("_k")
 
 

@@ -15,7 +15,7 @@ from tidewater.operators import changes as ch
 from tidewater.operators import logs, windows
 from tidewater.operators.order import beside
 from tidewater.plans import keyed
-from tidewater.sinks import latest
+from tidewater.sinks import dealt, latest
 from tidewater.sources import renamed_camel
 
 
@@ -369,7 +369,7 @@ def cart_uu(spark, d):
 def details(spark, d, *columns: str):
     """The latest version of each order detail, with further columns; no other is read."""
     keys, order = ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
-    return latest(t(spark, d, "lineitem").select(*keys, *order, *columns), keys, order)
+    return latest(t(spark, d, "lineitem").select(*keys, *order, *columns), keys, order, by=("l_orderkey",))
 
 
 def order_detail_latest(spark, d):
@@ -388,12 +388,14 @@ def order_window(spark, d):
 
 def brand_category_user_order(spark, d):
     orders = t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate")
-    rows = details(spark, d).join(orders, "l_orderkey")
-    rows = ch.enrich(rows, t(spark, d, "part"), "l_partkey", "p_partkey", trademark_name="p_brand", category3_name="p_type", spu_name="p_name")
-    rows = ch.enrich(rows, t(spark, d, "customer"), "o_custkey", "c_custkey", nation="c_nationkey")
+    orders = ch.enrich(orders, t(spark, d, "customer"), "o_custkey", "c_custkey", large=True, nation="c_nationkey")
+    rows = details(spark, d).select("l_orderkey", "l_partkey", "l_extendedprice").join(orders, "l_orderkey")
+    rows = ch.enrich(rows, t(spark, d, "part"), "l_partkey", "p_partkey", large=True, trademark_name="p_brand", category3_name="p_type", spu_name="p_name")
     rows = ch.enrich(rows, t(spark, d, "nation"), "nation", "n_nationkey", small=True, category2_name="n_name", region="n_regionkey")
     rows = ch.enrich(rows, t(spark, d, "region"), "region", "r_regionkey", small=True, category1_name="r_name")
     keys = ["trademark_name", "category1_name", "category2_name", "category3_name", "o_custkey", "spu_name"]
+    # Nearly each line is a group of its own, so sums before the shuffle would not make it smaller.
+    rows = dealt(rows, t(spark, d, "lineitem").count(), "o_custkey", "spu_name")
     return windows.tumble(rows, "o_orderdate", "1 day", keys, order_count=F.count(F.lit(1)), order_amount=total("l_extendedprice"))
 
 

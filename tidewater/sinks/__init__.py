@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.sinks import keyed
-from tidewater.sinks.keyed import create_table, keyed_parts, latest, lists, properties, read_changes, read_keyed, replay, upsert, vacuum  # noqa: F401
+from tidewater.sinks.keyed import create_table, dealt, keyed_parts, latest, lists, properties, read_changes, read_keyed, replay, upsert, vacuum  # noqa: F401
 from tidewater.sinks.topics import publish, upsert_records  # noqa: F401
 
 

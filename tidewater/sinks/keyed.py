@@ -17,18 +17,31 @@ from pyspark.sql.types import StructType
 
 #: Parts of a keyed table, unless its first batch says otherwise. A table keeps its number.
 PARTS = 64
+#: Rows of a part into which a large table is dealt.
+TASK_ROWS = 500_000
 #: Columns that the files have besides the table's own.
 GONE, KIND, PART, TABLE, AGE = "_gone", "row_kind", "_part", "_in", "_new"
 
 
-def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def latest(df: DataFrame, keys: list[str], order: list[str], by: tuple[str, ...] = ()) -> DataFrame:
     """One row for each key: the one that ``order`` puts last. A partial aggregate, so frequent keys do not gather in one task.
 
     Of rows that ``order`` does not tell apart, the later arrival stays: rows are numbered as their partitions hand them on.
+    ``by``: some of the keys, by which a large table is dealt into parts of bounded size first (see :func:`dealt`). Where keys
+    repeat seldom this saves the sort before the shuffle, and a join by the same columns needs no other one.
     """
     rest = [c for c in df.columns if c not in keys]
     top = F.max_by(F.struct(*rest), F.struct(*order, "_arrival")).alias("_top")
-    return df.withColumn("_arrival", F.monotonically_increasing_id()).groupBy(*keys).agg(top).select(*keys, "_top.*").select(*df.columns)
+    rows = df.withColumn("_arrival", F.monotonically_increasing_id())
+    if by:
+        rows = dealt(rows, df.count(), *by)
+    return rows.groupBy(*keys).agg(top).select(*keys, "_top.*").select(*df.columns)
+
+
+def dealt(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """``df`` of about so many rows dealt by columns into parts of TASK_ROWS rows, so that a task's memory does not grow with the table; a table of one such part stays as it is."""
+    parts = -(-rows // TASK_ROWS)
+    return df.repartition(max(parts, df.sparkSession.sparkContext.defaultParallelism), *by) if parts > 1 else df
 
 
 def _files(spark: SparkSession, path: str):
