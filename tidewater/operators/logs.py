@@ -59,8 +59,11 @@ def with_object(rows: DataFrame) -> DataFrame:
     """Adds ``object``: the fields of the JSON text ``value`` as variants, whatever they are, by name; null where the text is no object.
 
     It goes through a generator, past which Spark moves no filter: else each condition on a field would parse the text again.
+    The text is parsed as the one item of an array, and as the one field of an object, so that nothing may follow it (see :func:`is_json`).
     """
-    return rows.select("*", F.explode(F.array(F.try_variant_get(F.when(is_json(F.col("value")), F.try_parse_json("value")), "$", "map<string,variant>"))).alias("object"))
+    inside = lambda begin, end: F.try_parse_json(F.concat(F.lit(begin), F.col("value"), F.lit(end)))
+    fields = F.try_variant_get(F.when(inside('{"":', "}").isNotNull(), inside("[", "]")), "$[0]", "map<string,variant>")
+    return rows.select("*", F.explode(F.array(fields)).alias("object"))
 
 
 def log_objects(values: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -228,7 +228,7 @@ def comment_grade(spark, d):
 
 def event_logs(spark, d):
     """Events as raw log texts, with fields that no schema names."""
-    kind, k = F.col("event_type"), F.get_json_object("props", "$.k").cast("int")
+    kind, k = F.col("event_type"), F.col("k")
     common = F.struct((k % 2).cast("string").alias("is_new"), F.col("user_id").cast("string").alias("mid"), F.concat(F.lit("s"), F.col("user_id") % 10).alias("sid"))
     page = F.struct(F.when(kind != "view", "home").alias("last_page_id"), kind.alias("page_id"))
     err = F.when(k % 10 == 0, F.struct(F.lit(1).alias("error_code")))
@@ -236,7 +236,8 @@ def event_logs(spark, d):
     done = F.when(k % 7 == 0, F.array(F.create_map(F.lit("action_id"), F.lit("cart_add"))))
     start = F.when(kind == "signup", F.struct(F.lit("icon").alias("entry")))
     log = F.struct(common.alias("common"), F.when(kind != "signup", page).alias("page"), start.alias("start"), err.alias("err"), shown.alias("displays"), done.alias("actions"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), F.struct(k.alias("k")).alias("extra"))
-    return t(spark, d, "events").select(F.to_json(log).alias("value"))
+    rows = t(spark, d, "events").select("ts", "user_id", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    return rows.select(F.to_json(log).alias("value"))
 
 
 def log_fan_out(spark, d):
