@@ -267,6 +267,31 @@ def test_lines_of_rows_with_one_doc_id(spark):
     assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter(want)
 
 
+def test_few_lines_found_are_broadcast(spark, monkeypatch):
+    """Joins with the few lines found similar do not shuffle and sort all lines, whatever Spark's own limit; results are the same."""
+    rows = [(k, f"{' '.join(f'w{(k // 2) * 40 + i}' for i in range(30))} end{k}") for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    plans, write = [], lines.stash
+    monkeypatch.setattr(lines, "stash", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == line_oracle(rows) and len(got) == 6
+    joins = [x for plan in plans for x in plan.split("\n") if "Join" in x and "LeftAnti" in x]
+    assert len(joins) == 3 and all("BroadcastHashJoin" in x for x in joins)
+
+
+def test_words_of_lines(spark):
+    """Lines with only spaces are split at them, others by the pattern: the words are the same."""
+    texts = ["a b", "  a   b ", "a\tb", "a \x0b\x0c\r b", "a\u00a0b c", " \t ", "", None, "x\ny  z\r\n\t\u2003 q", "\x1f a\x85b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("version", F.lit(0).cast("long"))
+    got = {(r.doc_id, r.line): r.w for r in lines.line_words(docs).collect()}
+    assert got == {(k, i): w for k, t in enumerate(texts) for i, x in enumerate((t or "").split("\n")) if (w := WORD.findall(x))}
+
+
 def brute_shingles(text):
     w = WORD.findall(text or "")
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())

@@ -30,11 +30,15 @@ SALT_LEVEL = 13
 
 
 def line_words(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """doc_id, version, line (place from 0), w (words) of each line with a word, or of those in ``only`` (doc_id, version, line)."""
+    """doc_id, version, line (place from 0), w (words) of each line with a word, or of those in ``only`` (doc_id, version, line).
+
+    A line whose only separator is the space, as of nearly all, is split at it, which costs a fraction of the pattern.
+    """
     lines = docs.select("doc_id", "version", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "content")).filter(F.col("content").rlike(WORD_PATTERN))
     if only is not None:
         lines = lines.join(only, LINE, "left_semi")
-    return lines.select(*LINE, words(F.col("content")).alias("w"))
+    content = F.col("content")
+    return lines.select(*LINE, F.when(content.rlike(r"[\x09-\x0D]"), words(content)).otherwise(F.array_remove(F.split(content, " ", -1), "")).alias("w"))
 
 
 def _shingle(i: Column) -> Column:
@@ -125,11 +129,17 @@ def fitting(rows: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     return rows.filter((at("x") < at("y")) & fits).groupBy(at("x").alias("a"), at("y").alias("b")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def few(df: DataFrame) -> DataFrame:
+    """The written ``df``, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 def similar_to_earlier(docs: DataFrame, pairs: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     """b of the written ``pairs`` (a, b) whose token sets are similar in full. Few pairs are sent to the sets; many meet them by shuffles."""
     near = F.broadcast if pairs.count() <= BROADCAST_IDS // 2 else lambda df: df
     ends = stash(pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct().select(*[f"at.{c}" for c in LINE]))
-    full = stash(line_tokens(docs, near(ends))).select(F.struct(*LINE).alias("at"), "tokens")
+    texts = docs.join(near(ends.select("doc_id", "version").distinct()), ["doc_id", "version"], "left_semi")
+    full = stash(line_tokens(texts, near(ends))).select(F.struct(*LINE).alias("at"), "tokens")
     later = full.select(F.col("at").alias("b"), F.col("tokens").alias("y")).join(near(pairs.select("a", "b")), "b")
     earlier = full.select(F.col("at").alias("a"), F.col("tokens").alias("x")).join(near(pairs.select("a").distinct()), "a", "left_semi")
     shared = F.size(F.array_intersect("x", "y"))
@@ -149,8 +159,8 @@ def removed_lines(docs: DataFrame, sets: DataFrame, jaccard: float = JACCARD) ->
     found = stash(similar_to_earlier(docs, best, jaccard))
     # A line still open meets all groups of its token, each group in a task of its own.
     groups = F.explode(F.sequence(F.lit(0), salts(F.col("token")) - 1)).alias("salt")
-    still = rows.filter((salts(F.col("token")) > 1) | F.col("prev").isNotNull()).join(found.select(*[f"b.{c}" for c in LINE]), LINE, "left_anti").select("token", _own().alias("y"), groups)
-    rest = fitting(rows.select("token", "salt", _own().alias("x")).join(still, ["token", "salt"]), jaccard).join(best, ["a", "b"], "left_anti")
+    still = rows.filter((salts(F.col("token")) > 1) | F.col("prev").isNotNull()).join(few(found.select(*[f"b.{c}" for c in LINE])), LINE, "left_anti").select("token", _own().alias("y"), groups)
+    rest = fitting(rows.select("token", "salt", _own().alias("x")).join(still, ["token", "salt"]), jaccard).join(few(best.select("a", "b")), ["a", "b"], "left_anti")
     return found.union(similar_to_earlier(docs, stash(rest), jaccard)).select(*[f"b.{c}" for c in LINE])
 
 
@@ -179,7 +189,7 @@ def dedup_lines(docs: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     version = text_version(docs)
     known = docs.filter("doc_id is not null").select("doc_id", version.alias("version"), "text")
     sets = stash(line_sets(known, jaccard))
-    gone = removed_lines(known, sets, jaccard)
+    gone = few(stash(removed_lines(known, sets, jaccard)))
     kept = stash(kept_flags(sets.select(*LINE).join(gone, LINE, "left_anti")))
     small = kept.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.octet_length("flags")), F.lit(0)).alias("bytes")).first()
     near = small.docs <= BROADCAST_IDS and small.bytes <= BROADCAST_BYTES
