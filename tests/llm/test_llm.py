@@ -292,6 +292,26 @@ def test_words_of_lines(spark):
     assert got == {(k, i): w for k, t in enumerate(texts) for i, x in enumerate((t or "").split("\n")) if (w := WORD.findall(x))}
 
 
+def test_crowding_counts_the_tokens_of_lines(spark):
+    """The compiled count over word hashes finds the buckets of the very tokens that lines have, short lines and odd separators included."""
+    rng = random.Random(12)
+    texts = [f"one two three four five x{k} {' '.join(f'w{rng.randint(0, 10**6)}' for _ in range(6))}\n  short\tone " for k in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("version", F.lit(0).cast("long"))
+    counts = collections.Counter(t % lines.BUCKETS for r in lines.line_tokens(docs).collect() for t in r.tokens)
+    mean = max(1.0, counts.total() / lines.BUCKETS)
+    above = {b: (n - mean) / (lines.SPREAD * mean**0.5) for b, n in counts.items()}
+    got = lines.crowding(docs)
+    assert len(got) == lines.BUCKETS and max(counts.values()) >= 300
+    assert {b: x for b, x in enumerate(got) if x} == {b: min(15, math.floor(math.log2(a)) + 1) for b, a in above.items() if a >= 1}
+
+
+def test_shared_prefixes_keep_lines_with_an_earlier_one(spark):
+    """Of a token's lines all but the first are rows, with the first and the one before; a token of one line leaves no row."""
+    sets = [(k, 0, 0, 4, p) for k, p in enumerate([[7], [5, 7], [6, 7], [8]])]
+    got = lines.shared_prefixes(spark.createDataFrame(sets, "doc_id long, version long, line int, size int, prefix array<long>").repartition(3)).collect()
+    assert sorted((r.token, r.doc_id, r.span & 0xFFFFFFFF, r.first.doc_id, r.prev.doc_id) for r in got) == [(7, 1, 1, 0, 0), (7, 2, 1, 0, 1)]
+
+
 def brute_shingles(text):
     w = WORD.findall(text or "")
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())

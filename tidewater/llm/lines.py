@@ -9,6 +9,7 @@ earlier line (by doc_id, then version, then place) has the same set or a similar
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import WORD_PATTERN, stash, table, words
 
 SHINGLE, JACCARD = 5, 0.8
-#: Numbers that hold the levels of the token counts, for 16 buckets each.
-WORDS = 1 << 14
+#: Buckets of the token counts: as many as the first, quick map of a compiled count holds.
+BUCKETS = 1 << 16
+#: Standard deviations of a chance count above which a bucket counts as crowded. Chance crowds some buckets too, whose tokens only come later in the order.
+SPREAD = 1.5
 #: What names a line.
 LINE = ["doc_id", "version", "line"]
 #: Candidate lines, or documents with kept lines, whose ids (24 bytes each) are broadcast; more are joined by a shuffle.
@@ -32,60 +35,67 @@ SALT_LEVEL = 13
 def line_words(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """doc_id, version, line (place from 0), w (words) of each line with a word, or of those in ``only`` (doc_id, version, line).
 
-    A line whose only separator is the space, as of nearly all, is split at it, which costs a fraction of the pattern.
+    A line whose only separators are single spaces, as of nearly all, is split at them, which costs a fraction of the pattern.
     """
     lines = docs.select("doc_id", "version", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "content")).filter(F.col("content").rlike(WORD_PATTERN))
     if only is not None:
         lines = lines.join(only, LINE, "left_semi")
     content = F.col("content")
-    return lines.select(*LINE, F.when(content.rlike(r"[\x09-\x0D]"), words(content)).otherwise(F.array_remove(F.split(content, " ", -1), "")).alias("w"))
+    odd = functools.reduce(Column.__or__, [content.contains(x) for x in "\t\x0b\x0c\r"])
+    spaced = content.contains("  ") | content.startswith(" ") | content.endswith(" ")
+    at_spaces = F.split(content, " ", -1)
+    return lines.select(*LINE, F.when(odd, words(content)).when(spaced, F.array_remove(at_spaces, "")).otherwise(at_spaces).alias("w"))
 
 
-def _shingle(i: Column) -> Column:
-    """Hash of the words from place i on, SHINGLE of them at most."""
-    return F.xxhash64(*[F.get("w", i + k) for k in range(SHINGLE)])
+def _hashes() -> Column:
+    """Hash of each word, so that the shingles that hold it need not read it again."""
+    return F.transform("w", lambda x: F.xxhash64(x))
+
+
+def _shingle(h: Column, first: Column, i: Column) -> Column:
+    """Hash of SHINGLE neighbours among the word hashes ``h``, of which ``first`` is at place i; of those up to the end, if fewer are left."""
+    return F.xxhash64(first, *[F.get(h, i + k) for k in range(1, SHINGLE)])
+
+
+def _shingles(h: Column) -> Column:
+    """Hashes of all SHINGLE neighbours among the word hashes ``h``; of fewer: of the whole."""
+    each = F.transform(h, lambda x, i: _shingle(h, x, i))
+    return F.slice(each, 1, F.greatest(F.size(h) - SHINGLE + 1, F.lit(1)))
 
 
 def line_tokens(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """doc_id, version, line, tokens (distinct hashes) of each line with a word. (Filter lines before this: Spark would make the tokens anew, word by word, for a filter on them.)"""
-    many = F.transform(F.sequence(F.lit(0), F.size("w") - SHINGLE), _shingle)
-    tokens = F.when(F.size("w") >= SHINGLE, F.array_distinct(many)).otherwise(F.array(_shingle(F.lit(0))))
-    return line_words(docs, only).select(*LINE, tokens.alias("tokens"))
+    # The function reads the word hashes as its variable: a column's array would be unpacked anew for each read.
+    return line_words(docs, only).select(*LINE, F.array_distinct(F.transform(F.array(_hashes()), _shingles)[0]).alias("tokens"))
 
 
 def crowding(docs: DataFrame) -> list[int]:
-    """How crowded each bucket of token hashes is, counted over all lines, as WORDS numbers with 16 levels of 4 bits.
+    """How crowded each bucket of token hashes is, counted over all lines: BUCKETS levels from 0 to 15.
 
-    The count above the mean estimates that of a bucket's most frequent token (repeats inside a line included). Level 0: less than six
-    standard deviations of a chance count (the root of the mean); above it one level more for each doubling. Words are
-    exploded and hashed as columns, not by array functions, so that Spark compiles the whole count.
+    The count above the mean estimates that of a bucket's most frequent token (repeats inside a line included). Level 0: less than SPREAD
+    standard deviations of a chance count (the root of the mean); above it one level more for each doubling. Word hashes
+    are exploded and joined to shingles as columns, not by array functions, so that Spark compiles this part of the count.
+    The explosion is an outer one, since Spark would hash the words twice to see that there are any.
     """
-    at = line_words(docs).select("w", F.posexplode_outer("w").alias("i", "word")).filter((F.col("i") + SHINGLE <= F.size("w")) | (F.col("i") == 0))
-    bucket = _shingle(F.col("i")).bitwiseAND(F.lit(16 * WORDS - 1)).cast("int")
+    hashed = line_words(docs).select(_hashes().alias("h"))
+    at = hashed.select("h", F.posexplode_outer("h").alias("i", "x")).filter((F.col("i") + SHINGLE <= F.size("h")) | (F.col("i") == 0))
+    bucket = _shingle(F.col("h"), F.col("x"), F.col("i")).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
     counts = stash(at.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")))
-    mean = max(1.0, (counts.agg(F.sum("n")).first()[0] or 0) / (16 * WORDS))
-    above = (F.col("n") - mean) / (6 * math.sqrt(mean))
-    level = F.when(above < 1, F.lit(0)).otherwise(F.least(F.lit(15), F.floor(F.log2(above)).cast("int") + 1)).cast("long")
-    packed = F.call_function("shiftleft", level, F.shiftrightunsigned("b", WORDS.bit_length() - 1) * 4)
-    words_of = counts.groupBy(F.col("b").bitwiseAND(F.lit(WORDS - 1)).alias("w")).agg(F.bit_or(packed).alias("levels")).collect()  # WORDS rows
-    found = [0] * WORDS
-    for r in words_of:
-        found[r.w] = r.levels
+    mean = max(1.0, (counts.agg(F.sum("n")).first()[0] or 0) / BUCKETS)
+    above = (F.col("n") - mean) / (SPREAD * math.sqrt(mean))
+    found = [0] * BUCKETS
+    for r in counts.filter(above >= 1).select("b", F.least(F.lit(15), F.floor(F.log2(above)).cast("int") + 1).alias("level")).collect():  # BUCKETS rows at most
+        found[r.b] = r.level
     return found
 
 
-def _level(levels: Column, token: Column) -> Column:
-    word = F.get(levels, token.bitwiseAND(F.lit(WORDS - 1)).cast("int"))
-    place = F.shiftrightunsigned(token, WORDS.bit_length() - 3).bitwiseAND(F.lit(60)).cast("int")
-    return F.coalesce(F.call_function("shiftrightunsigned", word, place).bitwiseAND(F.lit(15)), F.lit(0).cast("long"))  # never null, so that Spark sorts bare numbers
-
-
 def line_sets(docs: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     """set (hashes and size of the token set), doc_id, version and line of its first line, size, prefix: one row for each distinct set."""
     tokens = line_tokens(docs)
-    levels = F.split(F.lit(",".join(map(str, crowding(docs)))), ",").cast("array<bigint>")
-    # The order: by the bucket's level, then by the hash's upper 59 bits.
-    key = lambda t: F.shiftleft(_level(levels, t), 59).bitwiseOR(F.shiftrightunsigned(t, 5))
+    levels = F.split(F.lit(",".join(str(x << 59) for x in crowding(docs))), ",").cast("array<bigint>")
+    # The order: by the bucket's level, then by the hash's upper 59 bits. Never null, so that Spark sorts bare numbers.
+    level = lambda t: F.coalesce(F.get(levels, t.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("long"))
+    key = lambda t: level(t).bitwiseOR(F.shiftrightunsigned(t, 5))
     n = F.size("ordered")
     ordered = tokens.select(*LINE, F.sort_array(F.transform("tokens", key)).alias("ordered"))
     prefix = F.slice("ordered", 1, n - F.ceil(n * jaccard - 1e-9).cast("int") + 1)
@@ -105,18 +115,19 @@ def salts(token: Column) -> Column:
 
 
 def shared_prefixes(sets: DataFrame) -> DataFrame:
-    """doc_id, version, line, span, token, salt of prefix tokens that two sets or more may have; first and prev: the group's first line and the line before.
+    """doc_id, version, line, span, token, salt of prefix tokens with an earlier line, prev being the one just before and first the group's first.
 
     ``span`` holds the size in its upper and the place in its lower half, so that a dealt token is six numbers. Tokens
-    are dealt once; those of a single set, nearly all, end there. The lines of a very frequent token are dealt into several groups.
+    are dealt once; those of a single set, nearly all, end there. The lines of a very frequent token are dealt into several groups,
+    whose first lines are rows too, without a prev.
     """
     every = sets.select(*LINE, "size", F.posexplode("prefix").alias("place", "token"))
     salt = F.pmod(F.hash(*LINE), salts(F.col("token"))).cast("int")
     every = every.select(*LINE, F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("place").cast("long")).alias("span"), "token", salt.alias("salt"))
     by_line = Window.partitionBy("token", "salt").orderBy(*LINE)
-    so_far = by_line.rowsBetween(Window.unboundedPreceding, 0)
-    met = every.withColumn("first", F.first(_own()).over(so_far)).withColumn("prev", F.lag(_own()).over(by_line)).withColumn("_next", F.lead("span").over(by_line))
-    return met.filter((salts(F.col("token")) > 1) | F.col("prev").isNotNull() | F.col("_next").isNotNull()).drop("_next")
+    met = every.withColumn("prev", F.lag(_own()).over(by_line)).filter((salts(F.col("token")) > 1) | F.col("prev").isNotNull())
+    # A group's first line is the one before its second: found among the few rows that are left.
+    return met.withColumn("first", F.first(F.coalesce("prev", _own())).over(by_line.rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def fitting(rows: DataFrame, jaccard: float = JACCARD) -> DataFrame:
@@ -159,8 +170,10 @@ def removed_lines(docs: DataFrame, sets: DataFrame, jaccard: float = JACCARD) ->
     found = stash(similar_to_earlier(docs, best, jaccard))
     # A line still open meets all groups of its token, each group in a task of its own.
     groups = F.explode(F.sequence(F.lit(0), salts(F.col("token")) - 1)).alias("salt")
-    still = rows.filter((salts(F.col("token")) > 1) | F.col("prev").isNotNull()).join(few(found.select(*[f"b.{c}" for c in LINE])), LINE, "left_anti").select("token", _own().alias("y"), groups)
-    rest = fitting(rows.select("token", "salt", _own().alias("x")).join(still, ["token", "salt"]), jaccard).join(few(best.select("a", "b")), ["a", "b"], "left_anti")
+    still = rows.join(few(found.select(*[f"b.{c}" for c in LINE])), LINE, "left_anti").select("token", _own().alias("y"), groups)
+    firsts = rows.filter((salts(F.col("token")) == 1) & (F.col("prev") == F.col("first"))).select("token", "salt", F.col("first").alias("x"))
+    all_of = rows.select("token", "salt", _own().alias("x")).union(firsts)
+    rest = fitting(all_of.join(still, ["token", "salt"]), jaccard).join(few(best.select("a", "b")), ["a", "b"], "left_anti")
     return found.union(similar_to_earlier(docs, stash(rest), jaccard)).select(*[f"b.{c}" for c in LINE])
 
 
