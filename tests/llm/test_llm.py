@@ -214,6 +214,23 @@ def test_large_bucket_keeps_links(spark, monkeypatch):
     assert {r.component for r in simhash.components(edges).collect()} == {0}
 
 
+def test_near_duplicates_broadcast_no_table(spark, monkeypatch):
+    """A file far below Spark's limit may hold rows far beyond it, 31 times more once they are exploded: no join broadcasts, before or after Spark has seen sizes."""
+    rows = [(k, f"{' '.join(f'w{k // 2}x{i}' for i in range(40))} end{k}") for k in range(40)]
+    docs = spark.createDataFrame([*rows, (1, "another text of this id")], "doc_id long, text string")
+    plans, write = [], simhash.stash
+    monkeypatch.setattr(simhash, "stash", lambda df: plans.append(df) or write(df))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        for found in (simhash.near_duplicates(docs), simhash.links(simhash.fingerprints(docs).select("fp", F.col("fp").alias("node")))):
+            plans.append(found)
+        texts = [df._jdf.queryExecution().executedPlan().toString() for df in plans if df.count() >= 0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum(x.count("SortMergeJoin") for x in texts) >= 5 and not any("BroadcastHashJoin" in x for x in texts)
+
+
 def line_oracle(rows, t=0.8):
     sets, out = [], {}
     for k, text in rows:

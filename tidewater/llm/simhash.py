@@ -77,6 +77,14 @@ def _forest(fps: np.ndarray, nodes: np.ndarray, radius: int) -> list[tuple[int,
     return [(a, b) for a, b in zip(nodes.tolist(), low[label].tolist(), strict=True) if a != b]
 
 
+def joined(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join by shuffles of both sides, whatever Spark takes their sizes to be.
+
+    It sizes them by compressed files, and an explosion to 31 rows like a single one, so it would broadcast tables far beyond its own limit.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """a, b (ids of nodes, b < a): edges that connect all fingerprints within the radius, as a forest for each bucket.
 
@@ -88,7 +96,7 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     sizes = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
     block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    met = keyed.join(sizes, ["t", "key"]).withColumn("blocks", blocks).withColumn("block", block)
+    met = joined(keyed, sizes, ["t", "key"]).withColumn("blocks", blocks).withColumn("block", block)
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("t", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "fp")
 
@@ -137,9 +145,9 @@ def components(edges: DataFrame) -> DataFrame:
         before = (sign.n, sign.s)
         both = now.union(now.select("v", "u"))
         low = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = stash(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct())
+        large = stash(joined(both.filter("v > u"), low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct())
         low = stash(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
+        small = joined(large, low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         now = stash(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u > v").distinct())
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
@@ -156,20 +164,20 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     fps = stash(fingerprints(docs))
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     reach = components(links(nodes.select("fp", F.col("fp").alias("node")), radius))
-    rooted = stash(nodes.join(reach.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root")))
+    rooted = stash(joined(nodes, reach.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root")))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    rooted = rooted.join(named, "root").select("fp", "component_id")
+    rooted = joined(rooted, named, "root").select("fp", "component_id")
     if fps.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
         rooted = _merged(fps, stash(rooted))
-    return fps.join(rooted, "fp", "left").select("doc_id", "fp", "component_id")
+    return joined(fps, rooted, "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def _merged(fps: DataFrame, rooted: DataFrame) -> DataFrame:
     """Components joined further where rows of one doc_id have different fingerprints."""
-    seen = fps.filter("doc_id is not null").join(rooted, "fp").select("doc_id", "component_id").distinct()
+    seen = joined(fps.filter("doc_id is not null"), rooted, "fp").select("doc_id", "component_id").distinct()
     low = seen.groupBy("doc_id").agg(F.min("component_id").alias("low"))
-    further = components(seen.join(low, "doc_id").filter("component_id > low").select(F.col("component_id").alias("a"), F.col("low").alias("b")))
-    return rooted.join(further.withColumnRenamed("node", "component_id"), "component_id", "left").select("fp", F.coalesce("component", "component_id").alias("component_id"))
+    further = components(joined(seen, low, "doc_id").filter("component_id > low").select(F.col("component_id").alias("a"), F.col("low").alias("b")))
+    return joined(rooted, further.withColumnRenamed("node", "component_id"), "component_id", "left").select("fp", F.coalesce("component", "component_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -180,7 +188,7 @@ def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     fps = stash(fingerprints(docs.select("doc_id", "text", F.xxhash64("text").alias("h")), "h"))
     reach = components(links(fps.select("fp", F.col("fp").alias("node")).distinct(), radius))
-    rows = fps.groupBy("fp", "doc_id", "h").agg(F.count(F.lit(1)).alias("n")).join(reach.withColumnRenamed("node", "fp"), "fp", "left")
+    rows = joined(fps.groupBy("fp", "doc_id", "h").agg(F.count(F.lit(1)).alias("n")), reach.withColumnRenamed("node", "fp"), "fp", "left")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h", "n"))
     first = stash(rows.groupBy(F.coalesce("component", "fp").alias("component")).agg(least.alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.h").alias("_text"), "f.n"))
     # The row travels whole, so that its columns may have any names.
