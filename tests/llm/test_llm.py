@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -14,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, chat, convnet, kneser, licences, lines, packing, rules, simhash, sketch
+from tidewater.llm import bpe, chat, common, convnet, kneser, licences, lines, packing, rules, simhash, sketch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BPE, WORDS = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
@@ -301,6 +302,39 @@ def test_few_lines_found_are_broadcast(spark, monkeypatch):
     assert len(joins) == 3 and all("BroadcastHashJoin" in x for x in joins)
 
 
+def test_many_candidate_lines_do_not_shuffle_all_texts(spark, monkeypatch):
+    """Where candidate lines are too many to be broadcast, marks drop most others before any shuffle; no shuffle files stay behind; results are the same."""
+    rows = [(k, f"{' '.join(f'w{(k // 2) * 40 + i}' for i in range(30))} end{k}\na line {k}\n\n  another {k}") for k in range(12)]
+    docs = spark.createDataFrame([*rows, (None, "no id")], "doc_id long, text string").repartition(3)
+    plans, write = [], lines.stash
+    monkeypatch.setattr(lines, "stash", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    monkeypatch.setattr(lines, "BROADCAST_IDS", -1)
+    blocks = lambda: {x for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").split() if x.startswith("shuffle_")}
+    for marks in (1 << 20, 2):
+        monkeypatch.setattr(lines, "MARKS", marks, raising=False)
+        known, plans[:] = docs.filter("doc_id is not null").withColumn("version", F.lit(0).cast("long")), []
+        sets = write(lines.line_sets(known))
+        assert len({r.doc_id for r in lines.removed_lines(known, sets).collect()}) == 6
+        verified = [x for x in plans if "posexplode" in x and "array_distinct" in x]
+        assert len(verified) == 2 and all(x.index("SortMergeJoin") < x.index("BroadcastHashJoin") < x.index("Generate") for x in verified)
+        texts = {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()}
+        assert texts.pop(None) == "no id" and texts == line_oracle(rows)
+    before = blocks()
+    held = lines.stash(docs.groupBy("doc_id").agg(F.min("text")).repartition(2))
+    deadline = time.time() + 20
+    while blocks() - before and time.time() < deadline:
+        time.sleep(0.1)
+    assert not blocks() - before and held.count() == 13 and spark.conf.get(common.CLEANUP, "false") == "false"
+
+
+def test_marks_keep_the_lines_they_are_made_from(spark):
+    every = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("version"), (F.col("id") % 3).cast("int").alias("line"), F.lit("text").alias("content"))
+    ends = every.filter("doc_id % 100 = 0").drop("content")
+    got = lines.marked(every, ends)
+    found = {r.doc_id for r in got.collect()}
+    assert got.columns == every.columns and set(range(0, 3000, 100)) <= found and len(found) < 60
+
+
 def test_words_of_lines(spark):
     """Lines with only spaces are split at them, others by the pattern: the words are the same."""
     texts = ["a b", "  a   b ", "a\tb", "a \x0b\x0c\r b", "a\u00a0b c", " \t ", "", None, "x\ny  z\r\n\t\u2003 q", "\x1f a\x85b"]

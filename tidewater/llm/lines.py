@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,18 +29,19 @@ LINE = ["doc_id", "version", "line"]
 BROADCAST_IDS = 1_000_000
 #: The same for the bytes that mark kept lines.
 BROADCAST_BYTES = 16 << 20
+#: Rows of 64 bits each, broadcast at most, that tell most other lines from candidate lines where these are too many to be broadcast themselves.
+MARKS = 1 << 20
 #: Tokens of buckets beyond this level of crowding are dealt into two groups, those of the highest into four: the first line of each group meets all lines.
 SALT_LEVEL = 13
 
 
-def line_words(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """doc_id, version, line (place from 0), w (words) of each line with a word, or of those in ``only`` (doc_id, version, line).
+def line_words(docs: DataFrame, only: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """doc_id, version, line (place from 0), w (words) of each line with a word, or of those that ``only`` leaves of all lines.
 
     A line whose only separators are single spaces, as of nearly all, is split at them, which costs a fraction of the pattern.
     """
-    lines = docs.select("doc_id", "version", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "content")).filter(F.col("content").rlike(WORD_PATTERN))
-    if only is not None:
-        lines = lines.join(only, LINE, "left_semi")
+    lines = docs.select("doc_id", "version", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "content"))
+    lines = lines.filter(F.col("content").rlike(WORD_PATTERN)) if only is None else only(lines)
     content = F.col("content")
     odd = functools.reduce(Column.__or__, [content.contains(x) for x in "\t\x0b\x0c\r"])
     spaced = content.contains("  ") | content.startswith(" ") | content.endswith(" ")
@@ -63,8 +65,8 @@ def _shingles(h: Column) -> Column:
     return F.slice(each, 1, F.greatest(F.size(h) - SHINGLE + 1, F.lit(1)))
 
 
-def line_tokens(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """doc_id, version, line, tokens (distinct hashes) of each line with a word. (Filter lines before this: Spark would make the tokens anew, word by word, for a filter on them.)"""
+def line_tokens(docs: DataFrame, only: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """doc_id, version, line, tokens (distinct hashes) of each line with a word, or of those that ``only`` leaves. (Filter lines before this: Spark would make the tokens anew, word by word, for a filter on them.)"""
     # The function reads the word hashes as its variable: a column's array would be unpacked anew for each read.
     return line_words(docs, only).select(*LINE, F.array_distinct(F.transform(F.array(_hashes()), _shingles)[0]).alias("tokens"))
 
@@ -141,16 +143,30 @@ def fitting(rows: DataFrame, jaccard: float = JACCARD) -> DataFrame:
 
 
 def few(df: DataFrame) -> DataFrame:
-    """The written ``df``, to be broadcast if it has few rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+    """The written ``df``, to be broadcast if it has few rows, and not otherwise, however small its file."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df.hint("merge")
+
+
+def marked(lines: DataFrame, ends: DataFrame) -> DataFrame:
+    """``lines`` without most of those that are not in ``ends`` (doc_id, version, line): rows whose hash has a bit that one of ``ends`` has set."""
+    h = F.xxhash64(*LINE)
+    word, bit = F.pmod(F.shiftright(h, 6), F.lit(MARKS)), F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    marks = ends.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("mask"))
+    return lines.withColumn("word", word).join(F.broadcast(marks), "word").filter(F.col("mask").bitwiseAND(bit) != 0).select(lines.columns)
 
 
 def similar_to_earlier(docs: DataFrame, pairs: DataFrame, jaccard: float = JACCARD) -> DataFrame:
-    """b of the written ``pairs`` (a, b) whose token sets are similar in full. Few pairs are sent to the sets; many meet them by shuffles."""
-    near = F.broadcast if pairs.count() <= BROADCAST_IDS // 2 else lambda df: df
+    """b of the written ``pairs`` (a, b) whose token sets are similar in full.
+
+    Few pairs are sent to the sets; many meet them by shuffles, of the lines that marks let through and not of all texts.
+    """
+    few_pairs = pairs.count() <= BROADCAST_IDS // 2
+    near = F.broadcast if few_pairs else lambda df: df.hint("merge")
     ends = stash(pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct().select(*[f"at.{c}" for c in LINE]))
-    texts = docs.join(near(ends.select("doc_id", "version").distinct()), ["doc_id", "version"], "left_semi")
-    full = stash(line_tokens(texts, near(ends))).select(F.struct(*LINE).alias("at"), "tokens")
+    texts = docs.join(F.broadcast(ends.select("doc_id", "version").distinct()), ["doc_id", "version"], "left_semi") if few_pairs else docs
+    # Marked lines meet the ends in an inner join: Spark would do a semi-join first, of all lines.
+    wanted = lambda lines: lines.join(F.broadcast(ends), LINE, "left_semi") if few_pairs else marked(lines, ends).join(ends.hint("merge"), LINE)
+    full = stash(line_tokens(texts, wanted)).select(F.struct(*LINE).alias("at"), "tokens")
     later = full.select(F.col("at").alias("b"), F.col("tokens").alias("y")).join(near(pairs.select("a", "b")), "b")
     earlier = full.select(F.col("at").alias("a"), F.col("tokens").alias("x")).join(near(pairs.select("a").distinct()), "a", "left_semi")
     shared = F.size(F.array_intersect("x", "y"))
@@ -206,11 +222,11 @@ def dedup_lines(docs: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     kept = stash(kept_flags(sets.select(*LINE).join(gone, LINE, "left_anti")))
     small = kept.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.octet_length("flags")), F.lit(0)).alias("bytes")).first()
     near = small.docs <= BROADCAST_IDS and small.bytes <= BROADCAST_BYTES
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", version.alias("version"), "text")
-    joined = rows.join(F.broadcast(kept) if near else kept, ["doc_id", "version"], "left")
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", version.alias("version"))  # a text goes once where this is shuffled
+    joined = rows.join(F.broadcast(kept) if near else kept.hint("merge"), ["doc_id", "version"], "left")
     blank = lambda x: ~F.coalesce(x, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    read = F.col("doc_id").isNotNull() & F.coalesce(~blank(F.col("text")), F.lit(False))
-    found = joined.select("row", "text", "flags", read.alias("read")).filter(~F.col("read") | F.col("flags").isNotNull())
+    read = F.col("doc_id").isNotNull() & F.coalesce(~blank(F.col("row.text")), F.lit(False))
+    found = joined.select("row", F.col("row.text").alias("text"), "flags", read.alias("read")).filter(~F.col("read") | F.col("flags").isNotNull())
     stays = lambda x, i: blank(x) | (F.substring("flags", i + 1, F.lit(1)) == F.lit(b"1"))
     text = F.when(F.col("read"), F.array_join(F.filter(F.split("text", "\n", -1), stays), "\n")).otherwise(F.col("text"))
     out = found.select("row", "read", text.alias("text"))
