@@ -327,6 +327,19 @@ def test_many_candidate_lines_do_not_shuffle_all_texts(spark, monkeypatch):
     assert not blocks() - before and held.count() == 13 and spark.conf.get(common.CLEANUP, "false") == "false"
 
 
+def test_very_many_pairs_are_compared_part_by_part(spark, monkeypatch):
+    """Pairs carry token sets through the shuffles, so they go in parts that are written one after the other; each b is found once."""
+    rows = [(k, f"{' '.join(f'w{i}' for i in range(60))} end{k}") for k in range(20)] + [(k, " ".join(f"v{k}x{i}" for i in range(30))) for k in range(20, 24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("version", F.lit(0).cast("long"))
+    kind = "struct<doc_id:long,version:long,line:int>"
+    pairs = lines.stash(spark.createDataFrame([((a, 0, 0), (b, 0, 0)) for b in range(24) for a in range(b)], f"a {kind}, b {kind}"))
+    written, write = [], lines.stash
+    monkeypatch.setattr(lines, "stash", lambda df: written.append(df.columns) or write(df))
+    monkeypatch.setattr(lines, "BROADCAST_IDS", -1)
+    got = [r.b.doc_id for r in lines.similar_to_earlier(docs, pairs).collect()]
+    assert sorted(got) == list(range(1, 20)) and written.count(["b"]) == 4
+
+
 def test_marks_keep_the_lines_they_are_made_from(spark):
     every = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("version"), (F.col("id") % 3).cast("int").alias("line"), F.lit("text").alias("content"))
     ends = every.filter("doc_id % 100 = 0").drop("content")

@@ -31,6 +31,8 @@ BROADCAST_IDS = 1_000_000
 BROADCAST_BYTES = 16 << 20
 #: Rows of 64 bits each, broadcast at most, that tell most other lines from candidate lines where these are too many to be broadcast themselves.
 MARKS = 1 << 20
+#: Pairs for each candidate line whose token sets are shuffled at a time, where they are too many to be broadcast: what this takes of the disks stays in proportion to the lines.
+PAIRS_AT_ONCE = 3
 #: Tokens of buckets beyond this level of crowding are dealt into two groups, those of the highest into four: the first line of each group meets all lines.
 SALT_LEVEL = 13
 
@@ -142,9 +144,9 @@ def fitting(rows: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     return rows.filter((at("x") < at("y")) & fits).groupBy(at("x").alias("a"), at("y").alias("b")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def few(df: DataFrame) -> DataFrame:
-    """The written ``df``, to be broadcast if it has few rows, and not otherwise, however small its file."""
-    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df.hint("merge")
+def few(df: DataFrame, ids: int = 1) -> DataFrame:
+    """The written ``df`` of ``ids`` lines a row, to be broadcast if it has few rows, and not otherwise, however small its file."""
+    return F.broadcast(df) if df.count() * ids <= BROADCAST_IDS else df.hint("merge")
 
 
 def marked(lines: DataFrame, ends: DataFrame) -> DataFrame:
@@ -159,18 +161,28 @@ def similar_to_earlier(docs: DataFrame, pairs: DataFrame, jaccard: float = JACCA
     """b of the written ``pairs`` (a, b) whose token sets are similar in full.
 
     Few pairs are sent to the sets; many meet them by shuffles, of the lines that marks let through and not of all texts.
+    Each pair then carries a token set, so very many pairs go one part after the other, whose shuffle files go with it.
     """
-    few_pairs = pairs.count() <= BROADCAST_IDS // 2
+    n = pairs.count()
+    few_pairs = n <= BROADCAST_IDS // 2
     near = F.broadcast if few_pairs else lambda df: df.hint("merge")
     ends = stash(pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct().select(*[f"at.{c}" for c in LINE]))
     texts = docs.join(F.broadcast(ends.select("doc_id", "version").distinct()), ["doc_id", "version"], "left_semi") if few_pairs else docs
     # Marked lines meet the ends in an inner join: Spark would do a semi-join first, of all lines.
     wanted = lambda lines: lines.join(F.broadcast(ends), LINE, "left_semi") if few_pairs else marked(lines, ends).join(ends.hint("merge"), LINE)
     full = stash(line_tokens(texts, wanted)).select(F.struct(*LINE).alias("at"), "tokens")
-    later = full.select(F.col("at").alias("b"), F.col("tokens").alias("y")).join(near(pairs.select("a", "b")), "b")
-    earlier = full.select(F.col("at").alias("a"), F.col("tokens").alias("x")).join(near(pairs.select("a").distinct()), "a", "left_semi")
     shared = F.size(F.array_intersect("x", "y"))
-    return later.join(earlier, "a").filter(shared >= jaccard * (F.size("x") + F.size("y") - shared) - 1e-9).select("b").distinct()
+
+    def similar(of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        later = of(full.select(F.col("at").alias("b"), F.col("tokens").alias("y"))).join(near(of(pairs.select("a", "b"))), "b")
+        earlier = full.select(F.col("at").alias("a"), F.col("tokens").alias("x")).join(near(of(pairs).select("a").distinct()), "a", "left_semi")
+        return later.join(earlier, "a").filter(shared >= jaccard * (F.size("x") + F.size("y") - shared) - 1e-9).select("b").distinct()
+
+    parts = 1 if few_pairs else math.ceil(n / (PAIRS_AT_ONCE * max(1, ends.count())))
+    if parts <= 1:
+        return similar(lambda df: df)
+    part = F.pmod(F.xxhash64(*[f"b.{c}" for c in LINE]), F.lit(parts))
+    return functools.reduce(DataFrame.union, [stash(similar(lambda df, k=k: df.filter(part == k))) for k in range(parts)])
 
 
 def removed_lines(docs: DataFrame, sets: DataFrame, jaccard: float = JACCARD) -> DataFrame:
@@ -189,7 +201,7 @@ def removed_lines(docs: DataFrame, sets: DataFrame, jaccard: float = JACCARD) ->
     still = rows.join(few(found.select(*[f"b.{c}" for c in LINE])), LINE, "left_anti").select("token", _own().alias("y"), groups)
     firsts = rows.filter((salts(F.col("token")) == 1) & (F.col("prev") == F.col("first"))).select("token", "salt", F.col("first").alias("x"))
     all_of = rows.select("token", "salt", _own().alias("x")).union(firsts)
-    rest = fitting(all_of.join(still, ["token", "salt"]), jaccard).join(few(best.select("a", "b")), ["a", "b"], "left_anti")
+    rest = fitting(all_of.join(still, ["token", "salt"]), jaccard).join(few(best.select("a", "b"), 2), ["a", "b"], "left_anti")
     return found.union(similar_to_earlier(docs, stash(rest), jaccard)).select(*[f"b.{c}" for c in LINE])
 
 
